@@ -1,0 +1,77 @@
+"""Strict reading of one JSON answer, for the rows ``from_json`` cannot decide."""
+
+from __future__ import annotations
+
+import json
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# The column types an answer may use.
+ANSWER_TYPES = ["numeric", "integer", "text", "boolean", "datetime"]
+
+
+def _number(value):
+    """A number as a lenient validator takes it; ValueError for anything else."""
+    if value is None:
+        return None
+    if isinstance(value, (bool, int, float, str)):
+        return float(value)
+    raise ValueError
+
+
+def _checked(data) -> dict | None:
+    try:
+        text_fields = [data["domain"], data["domain_description"]]
+        columns = []
+        for c in data["columns"]:
+            hint = c.get("distribution_hint")
+            text_fields += [c["column_name"], c["data_type"], c["description"], hint or ""]
+            ratio = _number(c.get("null_ratio"))
+            if c["data_type"] not in ANSWER_TYPES or (ratio is not None and not 0 <= ratio <= 1):
+                return None
+            columns.append(
+                {
+                    "column_name": c["column_name"],
+                    "data_type": c["data_type"],
+                    "description": c["description"],
+                    "distribution_hint": hint,
+                    **{k: _number(c.get(k)) for k in ("min", "max", "mean")},
+                    "null_ratio": ratio,
+                }
+            )
+    except (KeyError, TypeError, ValueError, AttributeError):
+        return None
+    if not columns or not all(isinstance(t, str) for t in text_fields):
+        return None
+    return {"domain": text_fields[0], "domain_description": text_fields[1], "columns": columns}
+
+
+def _read_object(text: str | None) -> str | None:
+    """The JSON object that starts at the first brace, checked, as JSON."""
+    start = text.find("{") if text else -1
+    if start < 0:
+        return None
+    try:
+        data, _ = json.JSONDecoder().raw_decode(text, start)
+    except (ValueError, RecursionError):
+        return None
+    checked = _checked(data)
+    return json.dumps(checked) if checked else None
+
+
+def answer_reader():
+    """Arrow-batched UDF: response text to checked JSON, NULL where invalid."""
+    # ship the code itself, so that the executors need no installed package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(_read_object, na_action="ignore").astype(object)
+
+    read.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(read, T.StringType())
