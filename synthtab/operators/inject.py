@@ -244,9 +244,10 @@ def apply_skew(df: DataFrame, profile: Mapping, key: Key, seed: int = 0) -> Data
         mean, std, low, high = row[4 * i : 4 * i + 4]
         if mean is None:
             continue
-        spec = ColumnSpec(c, "numeric", p["distribution_hint"], mean, std, low, high)
+        # measured from the lowest value, where every sampler is well behaved
+        spec = ColumnSpec(c, "numeric", p["distribution_hint"], mean - low, std, 0.0, high - low)
         drawn = SAMPLERS[spec.hint](spec, _draw(df, key, seed, f"{c}:skew"))
-        changes[c] = F.when(values[c].isNotNull(), drawn)
+        changes[c] = F.when(values[c].isNotNull(), drawn + F.lit(low))
     return _replace(df, changes)
 
 

@@ -92,7 +92,7 @@ def correlation_difference(df: DataFrame, specs: Iterable[ColumnSpec | Mapping])
         if value is None or np.isnan(other):
             return None
         total += 2 * abs(value - other)
-    return round(total / len(wanted) ** 2, 4)
+    return round(float(total) / len(wanted) ** 2, 4)
 
 
 def score_batch(df: DataFrame, specs: Iterable[ColumnSpec | Mapping]) -> dict[str, float]:

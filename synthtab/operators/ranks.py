@@ -13,8 +13,9 @@ reducer.  Here
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,7 @@ from synthtab.functions.literals import double_array, double_arrays, search_sort
 ROWS_PER_CELL = 200_000
 MAX_CELLS = 16_384
 ROWS_PER_SALT = 5_000_000
+LARGEST = sys.float_info.max  # stands for infinity while buckets are counted
 
 
 def clean_double(col: Column) -> Column:
@@ -164,9 +166,12 @@ def quantiles(
 ) -> dict[str, list[float] | None]:
     """Exact quantiles with linear interpolation; None for an all-null column."""
     known = extents(df, columns) if known is None else known
-    plan, targets = {}, []
+    columns, plan, targets = dict(columns), {}, []
     for name in columns:
         extent = known[name]
+        if extent.count and math.isinf(extent.high - extent.low):
+            columns[name] = F.greatest(F.least(columns[name], F.lit(LARGEST)), F.lit(-LARGEST))
+            extent = Extent(extent.count, max(extent.low, -LARGEST), min(extent.high, LARGEST))
         if extent.count == 0:
             continue
         plan[name] = []
@@ -186,6 +191,9 @@ def quantiles(
 
 def _between(a: float, b: float, share: float) -> float:
     """Linear interpolation measured from the nearer end."""
+    a, b = (math.copysign(math.inf, v) if abs(v) == LARGEST else v for v in (a, b))
+    if a == b:
+        return a
     step = b - a
     return b - step * (1 - share) if share >= 0.5 else a + step * share
 
@@ -307,17 +315,7 @@ def running(column: str) -> Column:
     return F.sum(column).over(in_cell_order().rowsBetween(W.unboundedPreceding, W.currentRow))
 
 
-# ---- smallest gap ----------------------------------------------------------
-
-
-def smallest_gaps(cell_rows: DataFrame) -> DataFrame:
-    """Per ``col``: smallest gap from per-cell (gap, low, high); 0 for one value.
-
-    A column has at most ``MAX_CELLS`` cells, so the window is small.
-    """
-    before = F.lag("high").over(W.partitionBy("col").orderBy("cell"))
-    stitched = cell_rows.withColumn("gap", F.least("gap", F.col("low") - before))
-    return stitched.groupBy("col").agg(F.coalesce(F.min("gap"), F.lit(0.0)).alias("precision"))
+# ---- gaps ------------------------------------------------------------------
 
 
 def cell_gap() -> Column:
@@ -517,9 +515,3 @@ def _rank_table(values: DataFrame, cells: Cells, i: int, name: str, masks: list)
         "value",
         *[F.when(F.col(f"n_{m}") > 0, place[m]).alias(f"rank_{i}_{m}") for m in masks],
     )
-
-
-def names_in(columns: Iterable[str], table: DataFrame, out: str = "column_name") -> DataFrame:
-    """Replace ``col`` positions by column names."""
-    names = F.array(*[F.lit(c) for c in columns])
-    return table.withColumn(out, F.get(names, F.col("col"))).drop("col")
