@@ -6,10 +6,11 @@ one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthtab.functions.answers import ANSWER_TYPES, answer_reader
 from synthtab.plans.imperfections import SEED_DOMAINS
 from synthtab.plans.spec import ColumnSpec, generic_schema
 from synthtab.sources.catalog import STATS, cache_get, cache_key, merged_schema
@@ -19,7 +20,13 @@ COLUMN = (
     "min double, max double, mean double, null_ratio double>"
 )
 ANSWER = f"struct<domain string, domain_description string, columns array<{COLUMN}>>"
-_READ = f"domain string, domain_description string, columns array<{COLUMN}>, _bad string"
+_TEXTS = ("column_name", "data_type", "description", "distribution_hint")
+_NUMBERS = ("min", "max", "mean", "null_ratio")
+_RAW_COLUMN = ", ".join(f"{n} string" for n in _TEXTS + _NUMBERS)
+_READ = f"domain string, domain_description string, columns array<struct<{_RAW_COLUMN}>>, _bad string"
+
+# The column types an answer may use.
+ANSWER_TYPES = ["numeric", "integer", "text", "boolean", "datetime"]
 
 _TEXT_FIELDS = "domain|domain_description|column_name|data_type|description|distribution_hint"
 
@@ -82,31 +89,39 @@ def is_valid_answer(answer: Column) -> Column:
     return F.coalesce(valid, F.lit(False))
 
 
+def _number(value: Column) -> Column:
+    """A JSON scalar as double; NULL if it is no number."""
+    return F.when(value == "true", F.lit(1.0)).when(value == "false", F.lit(0.0)).otherwise(value.try_cast("double"))
+
+
 def parse_answers(df: DataFrame, text: str, out: str = "answer") -> DataFrame:
     """Add the validated answer (see ``ANSWER``) of a response text, NULL if none.
 
-    Well-formed JSON is read by ``from_json``.  Only what that cannot decide
-    (commentary around the object, numbers written as text) goes through an
-    Arrow-batched Python parser.
+    The JSON object starts at the first brace of the fenced part; whatever
+    follows the object is commentary.  Numbers may be written as text, text
+    must be text.
     """
-    body = fenced_json(F.col(text))
+    body, read, typed = F.col("_body"), F.col("_read"), F.col("_typed")
+    # projections of their own, so that every step is computed once a row
+    staged = df.withColumn("_body", fenced_json(F.col(text)))
+    start = F.when(body.contains("{"), F.expr("substring(_body, locate('{', _body))"))
+    staged = staged.withColumn("_body", start)
     options = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
-    read = F.from_json(body, _READ, options)
-    # text fields holding something else than text need the strict parser
-    loose = body.rlike(rf'"({_TEXT_FIELDS})"\s*:\s*[^"\s]')
-    whole = body.startswith("{") & body.endswith("}")
-    sure = whole & ~loose & read["_bad"].isNull() & is_valid_answer(read)
-    quick = F.when(
-        F.coalesce(sure, F.lit(False)),
-        F.struct(read["domain"], read["domain_description"], read["columns"]).cast(ANSWER),
+    staged = staged.withColumn("_read", F.from_json(body, _READ, options))
+    columns = F.transform(
+        read["columns"],
+        lambda c: F.struct(*[c[n] for n in _TEXTS], *[_number(c[n]).alias(n) for n in _NUMBERS]),
     )
-    staged = df.withColumn("_quick", quick)
-    rest = F.when(F.col("_quick").isNull(), fenced_json(F.col(text)))
-    return staged.withColumn(out, F.coalesce("_quick", _strict_answer(rest))).drop("_quick")
-
-
-def _strict_answer(text: Column) -> Column:
-    return F.from_json(answer_reader()(text), ANSWER.removeprefix("struct<").removesuffix(">"))
+    answer = F.struct(read["domain"], read["domain_description"], columns.alias("columns"))
+    staged = staged.withColumn("_typed", answer.cast(ANSWER))
+    numbers = F.forall(
+        F.arrays_zip(read["columns"].alias("r"), typed["columns"].alias("t")),
+        lambda z: reduce(Column.__and__, [z["r"][n].isNull() | z["t"][n].isNotNull() for n in _NUMBERS]),
+    )
+    texts = ~body.rlike(rf'"({_TEXT_FIELDS})"\s*:\s*(?!null\b)[^"\s]')
+    valid = read["_bad"].isNull() & texts & is_valid_answer(typed) & numbers
+    staged = staged.withColumn(out, F.when(F.coalesce(valid, F.lit(False)), typed))
+    return staged.drop("_body", "_read", "_typed")
 
 
 # ---- specs -----------------------------------------------------------------------

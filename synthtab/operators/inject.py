@@ -157,13 +157,14 @@ def inject_outliers(df: DataFrame, profile: Mapping, key: Key, seed: int = 0) ->
     values = {c: v for c, v in values.items() if known[c].count >= 5}
     if not values:
         return df
-    quartiles = ranks.quantiles(df, values, [0.25, 0.75], known)
     choices, sizes = {}, {}
     for c in values:
         k = max(1, int(rows * (patterns[c]["outlier_pct"] / 100.0)))
         choices[c] = ranks.Choice(_draw(df, key, seed, f"{c}:outlier").u1, k, rows)
         sizes[c] = _draw(df, key, seed, f"{c}:outlier-size")
-    chosen = ranks.exact_k(df, choices, row_key(df, key))
+    quartiles, chosen = ranks.quantiles_and_choices(
+        df, values, [0.25, 0.75], known, choices, row_key(df, key)
+    )
     changes = {}
     for c in values:
         q1, q3 = quartiles[c]

@@ -74,12 +74,19 @@ class _Target:
     single: bool = False
     values: tuple[float, float] | None = None
     equal: int = 0
+    full: tuple[float, float] | None = None  # the safe interval behind a guess
 
     @property
     def interval(self) -> tuple[str, float, float]:
         return self.name, self.low, self.high
 
-    def narrow(self, counts: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> None:
+    def narrow(self, under: int, counts: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> None:
+        if self.full is not None:
+            inside = under <= self.first and self.second < under + counts.sum()
+            if not inside:
+                (self.low, self.high), self.full = self.full, None
+                return
+            self.below, self.full = under, None
         ends = self.below + np.cumsum(counts)
         i = int(np.searchsorted(ends, self.first, side="right"))
         start, end = int(ends[i] - counts[i]), int(ends[i])
@@ -135,7 +142,9 @@ def _histograms(df, columns, intervals, buckets):
         entries.append(
             F.struct(
                 F.lit(i).alias("i"),
-                F.when(inside, _bucket(value, low, high, buckets)).alias("b"),
+                F.when(inside, _bucket(value, low, high, buckets))
+                .when(value < F.lit(low), F.lit(-1))
+                .alias("b"),
                 value.alias("v"),
             )
         )
@@ -143,7 +152,7 @@ def _histograms(df, columns, intervals, buckets):
         cells = values.select(entries[0].alias("e")).select("e.i", "e.b", "e.v")
     else:
         cells = values.select(F.inline(F.array(*entries)))
-    # values outside every interval form one group, dropped after the count
+    # -1 counts the values below an interval; those above form one group, dropped
     table = (
         cells.groupBy("i", "b")
         .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -152,10 +161,45 @@ def _histograms(df, columns, intervals, buckets):
         .dropna(subset=["b"])
         .sort_values(["i", "b"])
     )
-    return {
-        intervals[i]: (g["n"].to_numpy(), g["lo"].to_numpy(), g["hi"].to_numpy())
-        for i, g in table.groupby("i")
-    }
+    out = {interval: (0, *[np.empty(0)] * 3) for interval in intervals}
+    for i, g in table.groupby("i"):
+        under, g = g.loc[g["b"] < 0, "n"].sum(), g[g["b"] >= 0]
+        out[intervals[i]] = (int(under), g["n"].to_numpy(), g["lo"].to_numpy(), g["hi"].to_numpy())
+    return out
+
+
+class _QuantilePlan:
+    def __init__(self, columns: dict[str, Column], probabilities: Sequence[float], known: dict[str, Extent]):
+        self.names, self.columns = list(columns), dict(columns)
+        self.parts: dict[str, list[tuple[_Target, float]]] = {}
+        for name in self.names:
+            extent = known[name]
+            if extent.count and math.isinf(extent.high - extent.low):
+                self.columns[name] = F.greatest(F.least(columns[name], F.lit(LARGEST)), F.lit(-LARGEST))
+                extent = Extent(extent.count, max(extent.low, -LARGEST), min(extent.high, LARGEST))
+            if extent.count == 0:
+                continue
+            self.parts[name] = []
+            for p in probabilities:
+                place = (extent.count - 1) * p
+                first = math.floor(place)
+                second = first + 1 if place > first else first
+                target = _Target(name, first, second, extent.low, extent.high)
+                self.parts[name].append((target, place - first))
+
+    @property
+    def targets(self) -> list[_Target]:
+        return [t for parts in self.parts.values() for t, _ in parts]
+
+    def result(self) -> dict[str, list[float] | None]:
+        out: dict[str, list[float] | None] = {name: None for name in self.names}
+        for name, parts in self.parts.items():
+            out[name] = [_between(*t.values, share) for t, share in parts]
+        return out
+
+
+def _largest(known: dict[str, Extent]) -> int:
+    return max((e.count for e in known.values()), default=0)
 
 
 def quantiles(
@@ -166,27 +210,9 @@ def quantiles(
 ) -> dict[str, list[float] | None]:
     """Exact quantiles with linear interpolation; None for an all-null column."""
     known = extents(df, columns) if known is None else known
-    columns, plan, targets = dict(columns), {}, []
-    for name in columns:
-        extent = known[name]
-        if extent.count and math.isinf(extent.high - extent.low):
-            columns[name] = F.greatest(F.least(columns[name], F.lit(LARGEST)), F.lit(-LARGEST))
-            extent = Extent(extent.count, max(extent.low, -LARGEST), min(extent.high, LARGEST))
-        if extent.count == 0:
-            continue
-        plan[name] = []
-        for p in probabilities:
-            place = (extent.count - 1) * p
-            first = math.floor(place)
-            second = first + 1 if place > first else first
-            target = _Target(name, first, second, extent.low, extent.high)
-            plan[name].append((target, place - first))
-            targets.append(target)
-    _solve(df, columns, targets, max((e.count for e in known.values()), default=0))
-    out: dict[str, list[float] | None] = {name: None for name in columns}
-    for name, parts in plan.items():
-        out[name] = [_between(*t.values, share) for t, share in parts]
-    return out
+    plan = _QuantilePlan(columns, probabilities, known)
+    _solve(df, plan.columns, plan.targets, _largest(known))
+    return plan.result()
 
 
 def _between(a: float, b: float, share: float) -> float:
@@ -207,29 +233,65 @@ class Choice:
     available: int
 
 
+class _ChoicePlan:
+    def __init__(self, choices: dict[str, Choice]):
+        self.choices = choices
+        # names of their own, as a column may have both a draw and quantiles
+        self.columns = {f"draw of {name}": c.draw for name, c in choices.items()}
+        self.cuts = {
+            name: self._target(f"draw of {name}", c) for name, c in choices.items() if c.k < c.available
+        }
+
+    @staticmethod
+    def _target(name: str, choice: Choice) -> _Target:
+        # draws are uniform, so the cut lies close to k / available
+        share = choice.k / choice.available
+        slack = 6 * math.sqrt(max(share * (1 - share), 1 / choice.available) / choice.available)
+        low, high = max(0.0, share - slack), min(1.0, share + slack)
+        return _Target(name, choice.k - 1, choice.k - 1, low, high, single=True, full=(0.0, 1.0))
+
+    def conditions(self, df: DataFrame, key: Column) -> dict[str, Column]:
+        out = {}
+        for name, choice in self.choices.items():
+            t = self.cuts.get(name)
+            if t is None:
+                out[name] = choice.draw.isNotNull()
+                continue
+            cut = F.lit(t.values[0])
+            needed = choice.k - t.below
+            condition = choice.draw <= cut
+            if needed < t.equal:
+                last = _tie_break(df.filter(choice.draw == cut), key, needed, t.equal)
+                condition = (choice.draw < cut) | ((choice.draw == cut) & (key <= F.lit(last)))
+            out[name] = F.coalesce(condition, F.lit(False))
+        return out
+
+
 def exact_k(df: DataFrame, choices: dict[str, Choice], key: Column) -> dict[str, Column]:
     """Conditions that pick exactly the k rows with the smallest draws.
 
     Equal to ``row_number() over (order by draw, key) <= k``, for all choices
-    in a few counting passes.  The key must be unique.
+    in one or two counting passes.  The key must be unique.
     """
-    conditions, targets = {}, {}
-    for name, choice in choices.items():
-        if choice.k >= choice.available:
-            conditions[name] = choice.draw.isNotNull()
-        else:
-            targets[name] = _Target(name, choice.k - 1, choice.k - 1, 0.0, 1.0, single=True)
-    draws = {name: choices[name].draw for name in targets}
-    _solve(df, draws, list(targets.values()), max((c.available for c in choices.values()), default=0))
-    for name, t in targets.items():
-        draw, cut = choices[name].draw, F.lit(t.values[0])
-        needed = choices[name].k - t.below
-        condition = draw <= cut
-        if needed < t.equal:
-            last = _tie_break(df.filter(draw == cut), key, needed, t.equal)
-            condition = (draw < cut) | ((draw == cut) & (key <= F.lit(last)))
-        conditions[name] = F.coalesce(condition, F.lit(False))
-    return conditions
+    plan = _ChoicePlan(choices)
+    rows = max((c.available for c in choices.values()), default=0)
+    _solve(df, plan.columns, list(plan.cuts.values()), rows)
+    return plan.conditions(df, key)
+
+
+def quantiles_and_choices(
+    df: DataFrame,
+    columns: dict[str, Column],
+    probabilities: Sequence[float],
+    known: dict[str, Extent],
+    choices: dict[str, Choice],
+    key: Column,
+) -> tuple[dict[str, list[float] | None], dict[str, Column]]:
+    """``quantiles`` and ``exact_k`` in shared passes."""
+    first, second = _QuantilePlan(columns, probabilities, known), _ChoicePlan(choices)
+    rows = max([_largest(known), *[c.available for c in choices.values()]])
+    _solve(df, {**first.columns, **second.columns}, first.targets + list(second.cuts.values()), rows)
+    return first.result(), second.conditions(df, key)
 
 
 def _tie_break(ties: DataFrame, key: Column, needed: int, equal: int) -> str:

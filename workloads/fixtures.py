@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from synthtab.functions.rng import Draw, row_key
 from synthtab.plans.spec import ColumnSpec
-from synthtab.sources.catalog import cache_key, stable_id
+from synthtab.sources.catalog import SCHEMAS, cache_key, cache_put, stable_id
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
 EPOCH = "2024-01-01 00:00:00"
@@ -236,6 +236,11 @@ def cached_answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def cache_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The cache after all answers were put: one per description text."""
+    return cache_put(spark.createDataFrame([], SCHEMAS["cache"]), cached_answers(spark, folder))
+
+
 NOW_HOURS = 745
 
 

@@ -856,12 +856,13 @@ SELECT * FROM n UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey
 ANSWER = """'{"domain": "' || CASE WHEN id % 2 = 0 THEN 'AUTOMOBILE' ELSE 'unknown' END || '", "domain_description": "parts", "columns": [{"column_name": "c' || id
   || '", "data_type": "numeric", "description": "size", "distribution_hint": "", "min": 0, "max": ' || (id + 1) || ', "null_ratio": ' ||
   CASE WHEN id % 7 = 0 THEN '1.5' ELSE '0.25' END || '}, {"column_name": "label", "data_type": "text", "description": "name"}]}'"""
-CACHE = f"""cache AS (SELECT sha256(lower(trim(CASE WHEN id % 3 = 0 THEN {STRIPPED} || ' other' ELSE {STRIPPED} END))) AS cache_key, 'm' AS model,
+RAW_CACHE = f"""raw AS (SELECT sha256(lower(trim(CASE WHEN id % 3 = 0 THEN {STRIPPED} || ' other' ELSE {STRIPPED} END))) AS cache_key, 'm' AS model,
   CASE WHEN id % 5 = 1 THEN '{{broken' ELSE {ANSWER} END AS response, {hours('id % 50')} AS created_at, {hours('720 + id % 50')} AS expires_at FROM des)"""
 LATEST_CACHE = "QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC, response DESC) = 1"
+CACHE = f"{RAW_CACHE}, cache AS (SELECT * FROM raw {LATEST_CACHE})"
 ORACLES["cache_write"] = f"""
-WITH {DESCRIBED}, {CACHE}, al AS (SELECT * FROM cache UNION ALL
-  SELECT cache_key, model, 'again ' || response, created_at + INTERVAL 10 HOUR, expires_at FROM cache)
+WITH {DESCRIBED}, {RAW_CACHE}, al AS (SELECT * FROM raw UNION ALL
+  SELECT cache_key, model, 'again ' || response, created_at + INTERVAL 10 HOUR, expires_at FROM raw)
 SELECT cache_key, model, response, epoch_us(created_at) AS created_at, epoch_us(expires_at) AS expires_at FROM al {LATEST_CACHE}"""
 NOW = hours(str(fx.NOW_HOURS))
 ORACLES["cache_lookup"] = f"""

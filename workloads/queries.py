@@ -569,7 +569,7 @@ def cache_write(spark, folder):
 def cache_lookup(spark, folder):
     requests = fx.descriptions(spark, folder)
     key = catalog.cache_key(discover.strip(F.col("text")))
-    found = catalog.cache_get(requests, fx.cached_answers(spark, folder), key, fx.moment(F.lit(fx.NOW_HOURS)))
+    found = catalog.cache_get(requests, fx.cache_table(spark, folder), key, fx.moment(F.lit(fx.NOW_HOURS)))
     return found.select("id", "response")
 
 
@@ -612,7 +612,7 @@ def resolve_descriptions(spark, folder):
         fx.one_row_per_column(fx.catalog_columns(spark, folder)),
     )
     found = discover.resolve_descriptions(
-        requests, "text", specs, fx.cached_answers(spark, folder), "response", fx.moment(F.lit(fx.NOW_HOURS))
+        requests, "text", specs, fx.cache_table(spark, folder), "response", fx.moment(F.lit(fx.NOW_HOURS))
     )
     return found.select(
         "id",
