@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,24 +17,39 @@ from synthtab.operators.profile import Profiler
 SAMPLES = 5
 
 
-def _by_column(df: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def _labelled_values(df: DataFrame, names: list[str]) -> DataFrame:
+    """(col, num, v): every present value as text, with a number to order by.
+
+    One scan for all columns, however the source is stored.
+    """
+    entries = []
+    for i, name in enumerate(names):
+        value, number = col(name), F.lit(None).cast("double")
+        if is_numeric(df, name):
+            number = as_double(df, name)
+            if isinstance(kind(df, name), (T.FloatType, T.DoubleType)):
+                value = F.when(value == 0, F.lit(0).cast(kind(df, name))).otherwise(value)  # no -0.0
+        text = F.when(~is_missing(df, name), value.cast("string"))
+        entries.append(F.struct(F.lit(i).alias("col"), number.alias("num"), text.alias("v")))
+    return df.select(F.inline(F.array(*entries))).filter("v IS NOT NULL")
 
 
 def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Per column: null ratio, distinct count, moments and range, sample values.
 
-    The samples are the smallest distinct values (rows have no order).  The
-    exact distinct counts deduplicate before the shuffle, column by column;
-    ``approx_distinct`` replaces them with sketches.
+    The samples are the smallest distinct values (rows have no order).  Two
+    scans: one aggregate, and one that keeps the distinct values of all
+    columns, deduplicated before the shuffle.  ``approx_distinct`` counts with
+    sketches in the first scan and finds the samples by a top-k alone.
     """
     stats = []
-    for name in df.columns:
+    for i, name in enumerate(df.columns):
         missing = is_missing(df, name)
         value = as_double(df, name) if is_numeric(df, name) else F.lit(None).cast("double")
         distinct = F.approx_count_distinct(F.when(~missing, col(name))) if approx_distinct else F.lit(None)
         stats.append(
             F.struct(
+                F.lit(i).alias("col"),
                 F.lit(name).alias("column_name"),
                 F.avg(missing.cast("double")).alias("null_ratio"),
                 F.avg(value).alias("mean"),
@@ -44,44 +60,28 @@ def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
             )
         )
     moments = df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
-    parts = []
-    for i, name in enumerate(df.columns):
-        present = df.filter(~is_missing(df, name)).select(col(name).alias("v")).distinct()
-        label = F.lit(name).alias("column_name")
-        if not approx_distinct:
-            parts.append(
-                present.agg(F.count("*").alias("distinct_count")).select(
-                    label, "distinct_count", F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("sample")
-                )
-            )
-        first = present.orderBy("v").limit(SAMPLES).agg(F.collect_list("v").alias("vs"))
-        texts = first.select(label, F.posexplode("vs").alias("place", "v"))
-        parts.append(
-            texts.select(
-                "column_name",
-                F.lit(None).cast("bigint").alias("distinct_count"),
-                "place",
-                F.col("v").cast("string").alias("sample"),
-            )
-        )
-    found = _by_column(df, parts).groupBy("column_name").agg(
-        F.max("distinct_count").alias("distinct_count"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "sample")))
-        ).alias("samples"),
+    values = _labelled_values(df, df.columns).distinct()
+    # row_number() <= k keeps k rows per column and task before the shuffle
+    first = W.partitionBy("col").orderBy("num", "v")
+    samples = (
+        values.withColumn("place", F.row_number().over(first))
+        .filter(F.col("place") <= SAMPLES)
+        .groupBy("col")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("samples"))
     )
-    joined = moments.join(found, "column_name", "left")
-    samples = F.coalesce(F.to_json(F.transform("samples", lambda s: s["sample"])), F.lit("[]"))
-    distinct = F.col("approx") if approx_distinct else F.col("distinct_count")
+    joined = moments.join(samples, "col", "left")
+    if not approx_distinct:
+        joined = joined.join(values.groupBy("col").agg(F.count("*").alias("exact")), "col", "left")
+    texts = F.coalesce(F.to_json(F.transform("samples", lambda s: s["v"])), F.lit("[]"))
     return joined.select(
         "column_name",
         "null_ratio",
-        F.coalesce(distinct, F.lit(0)).cast("bigint").alias("distinct_count"),
+        F.coalesce("approx" if approx_distinct else "exact", F.lit(0)).cast("bigint").alias("distinct_count"),
         "mean",
         "std",
         "min",
         "max",
-        samples.alias("sample_values"),
+        texts.alias("sample_values"),
     )
 
 
@@ -180,17 +180,15 @@ def column_statistics(df: DataFrame) -> DataFrame:
     if not labels:
         empty = [F.lit(None).cast(t).alias(n) for n, t in (("unique", "bigint"), ("top", "string"), ("freq", "bigint"))]
         return moments.select("column_name", "count", *empty, *titles)
-    parts = []
-    for c in labels:
-        counted = df.filter(col(c).isNotNull()).groupBy(col(c).cast("string").alias("v")).count()
-        parts.append(
-            counted.agg(
-                F.count("*").alias("unique"),
-                F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("top"),
-                F.max("count").alias("freq"),
-            ).withColumn("column_name", F.lit(c))
-        )
-    return moments.join(_by_column(df, parts), "column_name", "left").select(
+    counted = _labelled_values(df, labels).groupBy("col", "v").agg(F.count("*").alias("n"))
+    tops = counted.groupBy("col").agg(
+        F.count("*").alias("unique"),
+        F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"),
+        F.max("n").alias("freq"),
+    )
+    names = F.array(*[F.lit(c) for c in labels])
+    tops = tops.withColumn("column_name", F.get(names, F.col("col"))).drop("col")
+    return moments.join(tops, "column_name", "left").select(
         "column_name", "count", "unique", "top", "freq", *titles
     )
 

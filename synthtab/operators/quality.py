@@ -63,20 +63,31 @@ def ks_columns(df: DataFrame, specs: Iterable[ColumnSpec | Mapping]) -> dict[str
     return {c: round(f[0], 4) for c, f in found.items() if f is not None and f[1] >= 10}
 
 
-def null_drift(df: DataFrame, specs: Iterable[ColumnSpec | Mapping]) -> dict[str, float]:
+def _present(df: DataFrame, specs: list[ColumnSpec]) -> tuple[int, dict[str, int]]:
+    """Row count and non-null counts of the schema's columns, in one pass."""
+    wanted = [s.name for s in specs if s.name in df.columns]
+    row = df.agg(F.count("*"), *[count_if(~is_missing(df, c)) for c in wanted]).first()
+    return row[0], {c: row[i + 1] for i, c in enumerate(wanted)}
+
+
+def null_drift(
+    df: DataFrame, specs: Iterable[ColumnSpec | Mapping], counts: tuple[int, dict[str, int]] | None = None
+) -> dict[str, float]:
     """Distance of each column's null share from the schema's null ratio."""
-    wanted = [s for s in last_wins(as_specs(specs)) if s.name in df.columns]
-    if not wanted:
-        return {}
-    row = df.agg(F.count("*"), *[count_if(is_missing(df, s.name)) for s in wanted]).first()
-    if not row[0]:
+    specs = last_wins(as_specs(specs))
+    rows, present = counts or _present(df, specs)
+    if not rows:
         return {}
     return {
-        s.name: round(abs(row[i + 1] / row[0] - (s.null_ratio or 0.0)), 4) for i, s in enumerate(wanted)
+        s.name: round(abs(1 - present[s.name] / rows - (s.null_ratio or 0.0)), 4)
+        for s in specs
+        if s.name in present
     }
 
 
-def correlation_difference(df: DataFrame, specs: Iterable[ColumnSpec | Mapping]) -> float | None:
+def correlation_difference(
+    df: DataFrame, specs: Iterable[ColumnSpec | Mapping], counts: tuple[int, dict[str, int]] | None = None
+) -> float | None:
     """Mean absolute difference of the Spearman matrices, diagonal included.
 
     None with fewer than two numeric columns or where a column is constant.
@@ -84,7 +95,8 @@ def correlation_difference(df: DataFrame, specs: Iterable[ColumnSpec | Mapping])
     wanted = tuple(s for s in reference_specs(specs) if s.name in df.columns and is_numeric(df, s.name))
     if len(wanted) < 2:
         return None
-    batch = ranks.spearman(df, {s.name: as_double(df, s.name) for s in wanted})
+    rows, present = counts or _present(df, list(wanted))
+    batch = ranks.spearman(df, {s.name: as_double(df, s.name) for s in wanted}, present, rows)
     expected = pd.DataFrame(_collected(df.sparkSession, wanted)).rank().corr()
     total = 0.0
     for (a, b), value in batch.items():
@@ -98,14 +110,15 @@ def correlation_difference(df: DataFrame, specs: Iterable[ColumnSpec | Mapping])
 def score_batch(df: DataFrame, specs: Iterable[ColumnSpec | Mapping]) -> dict[str, float]:
     """All metrics of one batch and the composite score in [0, 1]."""
     specs = last_wins(as_specs(specs))
-    ks, drift = ks_columns(df, specs), null_drift(df, specs)
+    counts = _present(df, specs)
+    ks, drift = ks_columns(df, specs), null_drift(df, specs, counts)
     metrics: dict[str, float] = {}
     for spec in specs:
         if spec.name in ks:
             metrics[f"ks_{spec.name}"] = ks[spec.name]
         if spec.name in drift:
             metrics[f"null_drift_{spec.name}"] = drift[spec.name]
-    difference = correlation_difference(df, specs)
+    difference = correlation_difference(df, specs, counts)
     if difference is not None:
         metrics["corr_diff"] = difference
     metrics["ks_mean"] = round(float(np.mean(list(ks.values()))), 4) if ks else 0.0

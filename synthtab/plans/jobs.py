@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from synthtab.operators.describe import profile_columns
 from synthtab.operators.profile import Fingerprint, fingerprint
 from synthtab.plans.imperfections import SEED_DOMAINS, default_profile, merge_profile, save_profile
+from synthtab.session import stage
 from synthtab.sources.catalog import Catalog, stable_id
 from synthtab.sources.files import infer_columns, list_csv, read_delimited
 
@@ -21,7 +22,8 @@ Source = tuple[str, str, str]
 
 
 def _read_path(spark: SparkSession, path: str) -> DataFrame:
-    return read_delimited(spark, path)
+    # text is parsed once; the many later passes read the columns they need
+    return stage(read_delimited(spark, path))
 
 
 def _read_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +31,7 @@ def _read_folder(spark: SparkSession, path: str) -> DataFrame:
     first = list_csv(spark, path).first()
     if first is None:
         raise FileNotFoundError(f"no .csv below {path}")
-    return read_delimited(spark, first["path"])
+    return _read_path(spark, first["path"])
 
 
 def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +96,7 @@ def scan_sources(
 def fingerprint_csv(spark: SparkSession, path: str, domain: str = "", dataset: str = "") -> Fingerprint | None:
     """Fingerprint of a delimited file; None if it cannot be read."""
     try:
-        return fingerprint(read_delimited(spark, path), domain, dataset)
+        return fingerprint(_read_path(spark, path), domain, dataset)
     except Exception as error:
         logger.warning("could not analyse %s: %s", path, error)
         return None

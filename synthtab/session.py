@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +26,29 @@ def local_session(cpus: int | str = "*", app: str = "synthtab") -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` into the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names no folder (a test) gets a temporary one; on a
-    cluster the shared folder must be configured, so that a lost executor
-    never takes the data with it.
+    Only a local session that names none (a test) gets a temporary folder; on
+    a cluster it must be a shared one, so that a lost executor takes no data
+    with it.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="synthtab-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="synthtab-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back.
+
+    For inputs that are read many times but costly to make: files that must be
+    parsed, or generated rows.  Later passes read only the columns they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    names = df.columns
+    df.toDF(*[f"c{i}" for i in range(len(names))]).write.parquet(path)
+    return df.sparkSession.read.parquet(path).toDF(*names)

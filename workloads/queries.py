@@ -17,6 +17,7 @@ from synthtab.operators.generate import generate_columns
 from synthtab.operators.profile import Profiler
 from synthtab.plans import imperfections
 from synthtab.plans.spec import ColumnSpec, generic_schema
+from synthtab.session import stage
 from synthtab.sources import catalog
 from workloads import fixtures as fx
 from workloads.fixtures import rounded, table
@@ -256,7 +257,8 @@ def outlier_weekend_events(spark, folder):
 def iqr_outliers_injected(spark, folder):
     li = table(spark, folder, "lineitem").select(*fx.LINE_KEY, "l_extendedprice", "l_quantity", "l_discount")
     bad = st.inject_outliers(li, fx.PROFILES["outliers"], fx.LINE_KEY, 14)
-    return rounded(st.iqr_outliers(bad.select("l_extendedprice", "l_quantity", "l_discount", "l_shipdate")))
+    bad = stage(bad.select("l_extendedprice", "l_quantity", "l_discount", "l_shipdate"))
+    return rounded(st.iqr_outliers(bad))
 
 
 @query
@@ -425,14 +427,14 @@ def quality_generated(spark, folder):
     key = "o_orderkey"
     df = generate_columns(orders, fx.BATCH, key, F.col(key) + 1, 77, keep=[key])
     df = st.inject_nulls(df, {"null_patterns": {"fee": {"null_pct": 9.0, "pattern": "MCAR"}}}, key, 77)
-    return st.score_frame(df.drop(key), fx.BATCH)
+    return st.score_frame(stage(df.drop(key)), fx.BATCH)
 
 
 @query
 def batched_generation(spark, folder):
     """Batches totalling the rows of ``part``, with feedback in between."""
     rows = table(spark, folder, "part").count()
-    made = st.batched_generate(spark, "custom", rows, -(-rows // 3), fx.BATCH, seed=5, retries=0)
+    made = st.batched_generate(spark, "custom", rows, -(-rows // 3), fx.BATCH, seed=5, retries=0, staged=True)
     return rounded(made.data)
 
 
