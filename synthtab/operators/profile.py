@@ -161,31 +161,47 @@ class Profiler:
 
     # ---- null pairs ----------------------------------------------------------
 
+    @cached_property
+    def _gap_pairs(self) -> list[tuple[str, str]]:
+        gaps = [c for c in self.columns if self.scan.nulls[c] > 0]
+        return [(a, b) for i, a in enumerate(gaps) for b in gaps[i + 1 :]]
+
+    def _pair_counts(self) -> list[Column]:
+        return [
+            count_if(is_missing(self.df, a) & is_missing(self.df, b)).alias(f"pair_{i}")
+            for i, (a, b) in enumerate(self._gap_pairs)
+        ]
+
     @cached_property
     def both_null(self) -> dict[tuple[str, str], int]:
         """Rows where both columns are null; pairs of columns that have nulls."""
-        gaps = [c for c in self.columns if self.scan.nulls[c] > 0]
-        pairs = [(a, b) for i, a in enumerate(gaps) for b in gaps[i + 1 :]]
+        pairs = self._gap_pairs
         if not pairs:
             return {}
         if len(pairs) <= MANY_PAIRS:
-            row = self.df.agg(
-                *[count_if(is_missing(self.df, a) & is_missing(self.df, b)) for a, b in pairs]
-            ).first()
-            return dict(zip(pairs, row))
+            return dict(zip(pairs, self.df.agg(*self._pair_counts()).first()))
+        return self._both_null_wide(pairs)
+
+    def _both_null_wide(self, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
+        """All pairs of a wide table in one scan: each task sums the products of its null marks."""
+        gaps = list(dict.fromkeys(c for pair in pairs for c in pair))
+
+        def products(batches):
+            import numpy as np
+            import pandas as pd
+
+            total = np.zeros((len(gaps), len(gaps)))
+            for marks in batches:
+                block = marks.to_numpy(dtype="float64")
+                total += block.T @ block
+            a, b = np.nonzero(np.triu(total, 1))
+            yield pd.DataFrame({"a": a, "b": b, "n": total[a, b].astype("int64")})
+
+        marks = self.df.select(*[is_missing(self.df, c).alias(f"m{i}") for i, c in enumerate(gaps)])
+        found = marks.mapInPandas(products, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
         counts = dict.fromkeys(pairs, 0)
-        marks = F.array(*[F.when(is_missing(self.df, c), F.lit(i)) for i, c in enumerate(gaps)])
-        own = F.filter(marks, lambda m: m.isNotNull())
-        both = F.flatten(
-            F.transform(
-                own,
-                lambda a: F.transform(
-                    F.filter(own, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))
-                ),
-            )
-        )
-        for row in self.df.select(F.inline(both)).groupBy("a", "b").count().collect():
-            counts[gaps[row["a"]], gaps[row["b"]]] = row["count"]
+        for row in found.collect():  # at most one row per column pair
+            counts[gaps[row["a"]], gaps[row["b"]]] = row["n"]
         return counts
 
     def both(self, a: str, b: str) -> int:
@@ -216,10 +232,13 @@ class Profiler:
 
     # ---- outliers ------------------------------------------------------------
 
-    def outliers(self, multiplier: float = 1.5, date_col: str | None = None) -> dict[str, dict]:
+    def outliers(
+        self, multiplier: float = 1.5, date_col: str | None = None, share_pass: bool = False
+    ) -> dict[str, dict]:
         names = [c for c in self.numeric if self.present(c) >= 10]
         if not names:
             return {}
+        pairs = self._gap_pairs if 0 < len(self._gap_pairs) <= MANY_PAIRS else []
         date_col = date_col or first_date_column(self.columns)
         weekend = is_weekend(self.df, date_col) if date_col else None
         quartiles = self.quantiles(names, [0.25, 0.75])
@@ -239,7 +258,11 @@ class Profiler:
             ]
             if weekend is not None:
                 aggs.append(count_if(outside & weekend).alias(f"weekend_{i}"))
-        row = self.df.agg(*aggs).first().asDict()
+        # the null pairs are counted in the same pass if somebody will ask for them
+        shared = pairs and share_pass and "both_null" not in self.__dict__
+        row = self.df.agg(*aggs, *(self._pair_counts() if shared else [])).first().asDict()
+        if shared:
+            self.both_null = {pair: row[f"pair_{i}"] for i, pair in enumerate(pairs)}
         out = {}
         for i, c in enumerate(names):
             k, above, below = row[f"k_{i}"], row[f"above_{i}"], row[f"below_{i}"]
@@ -405,13 +428,14 @@ class Profiler:
         return out
 
     def fingerprint(self, domain: str = "", dataset: str = "", date_col: str | None = None) -> Fingerprint:
+        outliers = self.outliers(date_col=date_col, share_pass=True)
         return Fingerprint(
             domain,
             dataset,
             self.scan.rows,
             len(self.columns),
             self.null_pairs(),
-            self.outliers(date_col=date_col),
+            outliers,
             self.skew_hints(),
             self.missingness(),
             self.noise(),

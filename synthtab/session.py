@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="synthtab-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _test_folder()
     return folder.rstrip("/")
 
 
+@cache
+def _test_folder() -> str:
+    return tempfile.mkdtemp(prefix="synthtab-")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back.
 

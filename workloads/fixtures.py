@@ -279,6 +279,12 @@ BATCH = [
     ColumnSpec("qty", "integer", mean=5.0, std=2.0, min=1.0, max=10.0),
     ColumnSpec("fee", "numeric", "uniform", min=0.0, max=8.0, null_ratio=0.05),
 ]
+# the feedback moves means and null ratios, which these samplers do not use
+FLAT_BATCH = [
+    ColumnSpec("note"),
+    ColumnSpec("price", "numeric", "uniform", min=0.0, max=100.0),
+    ColumnSpec("fee", "numeric", "uniform", min=0.0, max=8.0, null_ratio=0.05),
+]
 PROFILES = {
     "mcar": {"null_patterns": {"o_totalprice": {"null_pct": 20.0, "pattern": "MCAR"}, "o_orderstatus": {"null_pct": 10.0, "pattern": "OTHER"}}},
     "mar": {

@@ -48,6 +48,10 @@ def r6(expression: str, places: int = 6) -> str:
     return f"round({expression}, {places})"
 
 
+def union(parts: list[str]) -> str:
+    return " UNION ALL ".join(parts)
+
+
 # ---- generation -----------------------------------------------------------------------
 
 
@@ -329,6 +333,22 @@ ORACLES["batch_union"] = " UNION ALL ".join(
 )
 
 
+def _batched() -> str:
+    import random
+
+    seeds, parts = random.Random(5), []
+    size = "((count(*) + 2) // 3)"
+    for i in range(3):
+        ids = (
+            f"(SELECT unnest(range({i} * {size}, least({i + 1} * {size}, count(*)))) AS i FROM part)"
+        )
+        parts.append(generated(fx.FLAT_BATCH, "i", "i + 1", ids, seed=seeds.randrange(2**31)))
+    return union(parts)
+
+
+ORACLES["batched_generation"] = _batched()
+
+
 # ---- profiling -----------------------------------------------------------------------------
 
 MASKED = f"""m AS (SELECT l_quantity, l_discount,
@@ -342,10 +362,6 @@ M_NUMERIC = M_COLUMNS[:5]
 M_GAPS = M_COLUMNS[2:]
 
 
-def union(parts: list[str]) -> str:
-    return " UNION ALL ".join(parts)
-
-
 def null_pair_rows(source: str, columns: list[str]) -> str:
     """(rank, col_i, col_j, four ratios), the 20 most frequent pairs."""
     parts = []

@@ -434,7 +434,7 @@ def quality_generated(spark, folder):
 def batched_generation(spark, folder):
     """Batches totalling the rows of ``part``, with feedback in between."""
     rows = table(spark, folder, "part").count()
-    made = st.batched_generate(spark, "custom", rows, -(-rows // 3), fx.BATCH, seed=5, retries=0, staged=True)
+    made = st.batched_generate(spark, "custom", rows, -(-rows // 3), fx.FLAT_BATCH, seed=5, retries=0, staged=True)
     return rounded(made.data)
 
 
