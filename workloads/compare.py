@@ -40,8 +40,8 @@ def compare(spark, con, folder: str, query, sql: str | None) -> str:
     if wrong:
         return f"types {wrong}"
     order_a, order_b = [list(kinds).index(n) for n in names], [list(theirs_kinds).index(n) for n in names]
-    a = sorted(tuple(repr(r[i] + 0 if isinstance(r[i], float) else r[i]) for i in order_a) for r in mine)
-    b = sorted(tuple(repr(r[i] + 0 if isinstance(r[i], float) else r[i]) for i in order_b) for r in theirs)
+    a = sorted(tuple(repr(r[i]) for i in order_a) for r in mine)
+    b = sorted(tuple(repr(r[i]) for i in order_b) for r in theirs)
     if len(a) != len(b):
         return f"{len(a)} rows against {len(b)}"
     if a != b:

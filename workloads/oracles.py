@@ -60,7 +60,7 @@ def value_sql(s: ColumnSpec, key: str, number: str, seed: int, average: str | No
     if s.is_numeric:
         out = number_sql(s, key, seed, average)
         if s.precision:
-            out = f"(round_even({out} / {num(s.precision)}, 0) * {num(s.precision)})"
+            out = stepped(out, num(s.precision))
         return f"round_even({out}, 0)::BIGINT" if s.kind == "integer" else out
     if s.kind == "boolean":
         return f"({u(key, seed, s.name)} < {num(s.true_ratio)})"
@@ -76,6 +76,12 @@ def value_sql(s: ColumnSpec, key: str, number: str, seed: int, average: str | No
     return f"({text(s.name)} || ' ' || ({number})::VARCHAR)"
 
 
+def stepped(value: str, step: str) -> str:
+    """Multiples of ``step``, without a negative zero."""
+    multiple = f"round_even({value} / {step}, 0)"
+    return f"(CASE WHEN {multiple} = 0 THEN 0.0::DOUBLE ELSE {multiple} * {step} END)"
+
+
 def raw_sql(s: ColumnSpec, key: str, seed: int) -> str:
     import math
 
@@ -236,7 +242,7 @@ def noise_stage(source: str, columns: list[str], key: str, seed: int, patterns:
         k = f"greatest(1, floor({present} * {num(p['rounding_pct'])} / 100)::BIGINT)"
         step = num(p.get("precision", 0.01))
         test = f"s.{c} IS NOT NULL AND s.rn_{c} <= {k}"
-        values.append(f"CASE WHEN {test} THEN round_even(s.{c} / {step}, 0) * {step} ELSE s.{c} END AS {c}")
+        values.append(f"CASE WHEN {test} THEN {stepped(f's.{c}', step)} ELSE s.{c} END AS {c}")
     inner = f"SELECT *, {', '.join(ranks)} FROM {source}" if ranks else f"SELECT * FROM {source}"
     return f"SELECT {', '.join(values)} FROM ({inner}) s"
 
