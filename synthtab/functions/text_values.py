@@ -72,7 +72,12 @@ class TextStream:
 
 def identifier(prefix: str, digits: int) -> Maker:
     """``PREFIX-000123``; drawn from [1, 10^digits), so not unique."""
-    return lambda s: F.format_string(f"{prefix}-%0{digits}d", s.draw().integer(1, 10**digits))
+
+    def make(s: TextStream) -> Column:
+        number = s.draw().integer(1, 10**digits).cast("string")
+        return F.concat(F.lit(f"{prefix}-"), F.lpad(number, digits, "0"))
+
+    return make
 
 
 def one_of(values: list[str]) -> Maker:
