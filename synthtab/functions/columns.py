@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
+UTC_NAMES = ("UTC", "Etc/UTC", "Z", "GMT", "+00:00")
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
@@ -52,3 +53,20 @@ def as_double(df: DataFrame, name: str) -> Column:
 
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
+
+
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    """A date or timestamp as microseconds since 1970, whatever the session's time zone."""
+    value, type_ = col(name), kind(df, name)
+    if isinstance(type_, T.TimestampType):
+        return F.unix_micros(value)
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    if isinstance(type_, T.TimestampNTZType) and zone in UTC_NAMES:
+        return F.unix_micros(value.cast("timestamp"))  # the quick way to the same number
+    seconds = F.unix_date(value.cast("date")).cast("bigint") * 86_400
+    if isinstance(type_, T.DateType):
+        return seconds * 1_000_000
+    # a time without zone has no instant, so it is taken apart
+    seconds = seconds + F.hour(value) * 3600 + F.minute(value) * 60
+    part = (F.extract(F.lit("SECOND"), value) * 1_000_000).cast("bigint")
+    return seconds * 1_000_000 + part

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from synthtab.functions.columns import epoch_micros
+
 _TWO_52 = float(2**52)
 
 
@@ -24,7 +26,7 @@ def row_key(df: DataFrame, key: str | Sequence[str]) -> Column:
         kind = df.schema[name].dataType
         col = F.col(f"`{name}`")
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            col = F.unix_micros(col.cast("timestamp"))
+            col = epoch_micros(df, name)
         elif isinstance(kind, T.DateType):
             col = F.unix_date(col)
         elif isinstance(kind, (T.DoubleType, T.FloatType)):

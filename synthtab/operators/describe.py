@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from synthtab.functions.columns import TEMPORAL, as_double, col, count_if, is_missing, is_numeric, kind
+from synthtab.functions.columns import TEMPORAL, as_double, col, count_if, epoch_micros, is_missing, is_numeric, kind
 from synthtab.functions.distributions import half_even
 from synthtab.operators import ranks
 from synthtab.operators.profile import Profiler
@@ -196,9 +196,7 @@ def column_statistics(df: DataFrame) -> DataFrame:
 def _measure(df: DataFrame, name: str) -> Column:
     if is_numeric(df, name):
         return as_double(df, name)
-    if isinstance(kind(df, name), T.DateType):
-        return F.unix_date(col(name)) * F.lit(86400.0)
-    return F.unix_micros(col(name).cast("timestamp")) / F.lit(1e6)
+    return epoch_micros(df, name) / F.lit(1e6)
 
 
 def _two_places(value: Column) -> Column:

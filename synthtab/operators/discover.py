@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from synthtab.plans.imperfections import SEED_DOMAINS
 from synthtab.plans.spec import ColumnSpec, generic_schema
-from synthtab.sources.catalog import STATS, cache_get, cache_key, merged_schema
+from synthtab.sources.catalog import cache_get, cache_key, merged_schema
 
 COLUMN = (
     "struct<column_name string, data_type string, description string, distribution_hint string, "
@@ -183,7 +183,6 @@ def catalog_specs(domains: DataFrame, datasets: DataFrame, columns: DataFrame) -
         F.collect_list(F.struct("seen", "column_name", entry.alias("spec"))),
         lambda a, b: F.when(a["seen"] > b["seen"], -1).when(a["seen"] < b["seen"], 1).otherwise(0),
     )
-    assert set(STATS) <= set(merged.columns)
     return merged.groupBy("domain").agg(F.transform(ordered, lambda e: e["spec"]).alias("specs"))
 
 

@@ -12,3 +12,19 @@ def test_stage_uses_the_folder_the_session_names(spark, tmp_path):
     assert staged.exceptAll(df).count() == 0
     assert "FileScan parquet" in staged._jdf.queryExecution().executedPlan().toString()
     assert spark.conf.get("spark.checkpoint.dir", None) == before
+
+
+def test_times_as_numbers_ignore_the_time_zone(spark):
+    from synthtab.functions.columns import epoch_micros
+
+    df = spark.sql(
+        "select timestamp_ntz'2024-03-10 02:30:15.123456' as a, timestamp_ntz'1969-12-31 23:59:59.000001' as b, "
+        "date'1960-02-29' as c"
+    )
+    expected = (1710037815123456, -999999, -310521600000000)
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert tuple(df.select(*[epoch_micros(df, c) for c in "abc"]).first()) == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
