@@ -10,12 +10,12 @@ WITH cut AS (
 ), urls AS (
   SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(substr(rest, length(raw_host) + 1), '^([^?#]*)', 1, 's') AS path FROM parts
-), rules(verdict, at, begins) AS (
+), rules(verdict, root, begins) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
     ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), best AS (
-  SELECT page_id, host, path, max_by(at || begins, length(at || begins)) AS rule, max_by(verdict, length(at || begins)) AS verdict
-  FROM urls JOIN rules ON (host = at OR suffix(host, '.' || at)) AND prefix(path, begins) GROUP BY ALL
+  SELECT page_id, host, path, max_by(root || begins, length(root || begins)) AS rule, max_by(verdict, length(root || begins)) AS verdict
+  FROM urls JOIN rules ON (host = root OR suffix(host, '.' || root)) AND prefix(path, begins) GROUP BY ALL
 )
 SELECT u.page_id, u.host, u.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
 FROM urls u LEFT JOIN best b ON u.page_id = b.page_id AND u.host = b.host AND u.path = b.path
@@ -31,4 +31,30 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM norm n JOIN groups g ON n.body = g.body
 """
 
-ORACLES: dict[str, str] = {"op6_url_filter": _OP6, "op7_exact_dedup": _OP7}
+_OP8 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(
+    list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
+), sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), classes AS (
+  SELECT min(doc_id) AS id, any_value(n) AS n, list(doc_id) AS ids, any_value(k) AS k
+  FROM (SELECT doc_id, any_value(n) AS n, list_sort(list(g)) AS k FROM sh GROUP BY doc_id) GROUP BY hash(k), k
+), shc AS (SELECT id, n, unnest(k) AS g FROM classes
+), pairs AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM shc a JOIN shc b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id
+), links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 80 * (na + nb - shared)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(v, r) AS (
+  SELECT id, id FROM classes UNION SELECT e.b, x.r FROM reach x JOIN edges e ON e.a = x.v
+), comp AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v
+), named AS (SELECT unnest(c.ids) AS doc_id, m.component_id FROM classes c JOIN comp m ON c.id = m.v)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(n.component_id, s.doc_id) AS component_id,
+  s.doc_id = coalesce(n.component_id, s.doc_id) AS kept
+FROM sets s LEFT JOIN named n ON s.doc_id = n.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op6_url_filter": _OP6, "op7_exact_dedup": _OP7, "op8_near_dup": _OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthtab.llm import exact_dedup, language, packing, token_count, token_files, url_filter
+from synthtab.llm import exact_dedup, language, line_dedup, near_dup, packing, token_count, token_files, url_filter
 from synthtab.llm.common import fresh_path, ship
 
 WORDS = "word_bpe_49k.json"
@@ -36,6 +36,10 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(spark, path).drop("file_no")
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, folder, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"), vocabulary(), limit=2048)
 
@@ -52,6 +56,10 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+def op8_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_groups(table(spark, folder, "documents"), words=4, percent=80)
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language.train(docs.where(~language.held_out()).select("lang", "text"))
@@ -60,5 +68,5 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op4_token_counts, op5_packing, op6_url_filter, op7_exact_dedup, op9_language)
+    f.__name__: f for f in (op1_token_files, op3_line_dedup, op4_token_counts, op5_packing, op6_url_filter, op7_exact_dedup, op8_near_dup, op9_language)
 }
