@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthtab.llm import exact_dedup, language, line_dedup, near_dup, packing, token_count, token_files, url_filter
+from synthtab.llm import decontamination, exact_dedup, language, line_dedup, near_dup, packing, substring_dedup, token_count, token_files, url_filter
 from synthtab.llm.common import fresh_path, ship
 
 WORDS = "word_bpe_49k.json"
@@ -36,6 +36,10 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(spark, path).drop("file_no")
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.span_report(table(spark, folder, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"))
 
@@ -67,6 +71,14 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op3_line_dedup, op4_token_counts, op5_packing, op6_url_filter, op7_exact_dedup, op8_near_dup, op9_language)
-}
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_substring_dedup, op3_line_dedup, op4_token_counts, op5_packing, op6_url_filter,
+        op7_exact_dedup, op8_near_dup, op9_language, op10_decontamination,
+    )
+}

@@ -21,7 +21,7 @@ import numpy as np
 
 MAGIC = 0x31534E52
 SCALE = 20
-LANES = 256
+LANES = 512
 STRIDE = 256
 LOW = np.uint64(1 << 31)
 HEADER = struct.Struct("<IIQIIII")

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from synthtab.llm.common import slices, texts
-from synthtab.llm.words import LONGEST_KEPT, WORDS_KEPT, byte_characters
+from synthtab.llm.words import WORDS_KEPT, byte_characters
 
 #: Bytes of text, and of new words, that are in work at once.
-SLICE = 32 << 20
+SLICE = 16 << 20
 WORD_SLICE = 4 << 20
 NO_RANK = np.int64(1 << 60)
 
@@ -130,13 +130,11 @@ def count_batch(path: str, batch: list[bytes]) -> list[int]:
     table, memory = merges(path), _kept.setdefault(path, {})
     split = [text.split() for text in batch]
     new = list(set(chain.from_iterable(split)) - memory.keys())
-    if len(memory) + len(new) > WORDS_KEPT:
-        memory.clear()
-        new = list(set(chain.from_iterable(split)))
-    counted = dict(zip(new, table.words(new)))
-    memory.update((w, n) for w, n in counted.items() if len(w) <= LONGEST_KEPT)
-    known = memory if all(len(w) <= LONGEST_KEPT for w in new) else memory | counted
-    return [sum(map(known.__getitem__, words)) for words in split]
+    memory.update(zip(new, table.words(new)))
+    counted = [sum(map(memory.__getitem__, words)) for words in split]
+    while len(memory) > WORDS_KEPT:
+        memory.popitem()  # the latest: frequent words come early
+    return counted
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:

@@ -50,8 +50,9 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for width, body in zip(batch.column("width").to_pylist(), batch.column("ids")):
-                ids = np.frombuffer(body.as_buffer(), f"<u{width}")
+            for width in set(batch.column("width").to_pylist()):
+                own = batch.filter(pa.compute.equal(batch.column("width"), width)).column("ids")
+                ids = np.frombuffer(b"".join(own.to_pylist()), f"<u{width}")
                 if len(ids) and ids.max() >= len(total):
                     total = np.append(total, np.zeros(int(ids.max()) + 1, np.int64))
                 seen = np.bincount(ids)

@@ -16,7 +16,7 @@ import numpy as np
 import regex
 
 #: Words remembered by one Python worker, and the longest of them in bytes.
-WORDS_KEPT = 1 << 20
+WORDS_KEPT = 400_000
 LONGEST_KEPT = 64
 
 
@@ -28,10 +28,11 @@ def byte_characters() -> dict[int, str]:
 
 
 def keep(memory: dict, key, value):
-    """Remember a short key; a full memory starts again."""
+    """Remember a short key; a full memory forgets its later half, as frequent words come early."""
     if len(key) <= LONGEST_KEPT:
         if len(memory) >= WORDS_KEPT:
-            memory.clear()
+            for _ in range(WORDS_KEPT // 2):
+                memory.popitem()
         memory[key] = value
     return value
 
@@ -61,6 +62,7 @@ class WordIds(dict):
         steps = json.loads(tokenizer.to_str())
         latin = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         parts = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+        latin &= not any(x.rstrip(".,;:!?").isalpha() for x in self._special)
         latin &= [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed"
         self._pieces = regex.compile(parts[0]["pattern"]["Regex"]).findall if latin else None
         self._piece = PieceIds(tokenizer.model, kind)
@@ -69,13 +71,16 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
+        if self._pieces and (text.isascii() or max(text) < "\u0250"):
+            low = text.lower()
+            stem = low.rstrip(".,;:!?")
+            if stem.isalpha():
+                end = low[len(stem) :]
+                return keep(self, word, self._piece[stem] + self._piece[end] if end else self._piece[stem])
+            if low.isprintable() and not any(x in text for x in self._special):
+                return keep(self, word, b"".join(map(self._piece.__getitem__, self._pieces(low))))
         if any(x in text for x in self._special):
             ids = self._whole.encode(text, add_special_tokens=False).ids
-        elif self._pieces and text.isprintable() and max(text) < "\u0250":
-            low = text.lower()
-            pieces = [low] if low.isalpha() else self._pieces(low)
-            found = b"".join(map(self._piece.__getitem__, pieces))
-            return keep(self, word, found)
         else:
             pieces = self._split.pre_tokenize_str(self._normal.normalize_str(text))
             ids = [t.id for piece, _ in pieces for t in self._model.tokenize(piece)]
