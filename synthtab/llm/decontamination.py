@@ -205,6 +205,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_B
     return spark.createDataFrame([], FOUND) if out is None else out
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """``docs`` without documents that hold an item; null ids, which no pair can name, are judged as id -1."""
+    found = contaminated(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))), benchmark, item_bytes)
+    gone = found.select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("gone"), "left_anti")
+
+
 FOUND = "doc_id long, item_id long, edits int, first_word long, n_words int"
 
 

@@ -156,6 +156,26 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>")
 
 
+def keep_documents(docs: DataFrame, model: Model, least_share: float) -> DataFrame:
+    """Rows of ``docs`` (all columns) whose language holds ``least_share`` of the words; ``und`` goes.
+
+    A narrow pass: the rows travel through the workers, so nothing is joined back.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log))
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        for whole in batches:
+            body = whole.append_column("_body", whole.column("text").cast(pa.binary()).fill_null(b""))
+            for batch in slices(body, "_body", SLICE):
+                name, score, _ = model.predict([x.decode("utf-8", "replace") for x in batch.column("_body").to_pylist()])
+                keep = [n != "und" and s >= least_share for n, s in zip(name, score)]
+                yield whole.slice(0, 0) if not any(keep) else batch.select(whole.schema.names).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """The fifth of the documents that nothing is learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -188,6 +188,16 @@ def shingle_table(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return texts(docs).join(asked, "doc_id").mapInArrow(run, "id long, body binary")
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without all but the first document of each near-duplicate group; null ids and empty texts stay.
+
+    Only the ids that go are joined (rows that repeat an id with other texts
+    go or stay by the id's own component).
+    """
+    gone = near_groups(docs, words, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
