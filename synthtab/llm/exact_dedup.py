@@ -41,7 +41,8 @@ def split_groups(rows: DataFrame, width: int) -> tuple[str, int]:
     dealt = rows.withColumn("digit", digit).join(hot, ["label", "digit"], "left")
     dealt = dealt.withColumn("spread", F.when(F.col("hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "source_row"), F.lit(1 << 30)).cast("int")))
     dealt = dealt.withColumn("digit", F.when(F.col("hot").isNull(), F.col("digit")))
-    met = dealt.join(cold, ["label", "digit", "spread"], "left")
+    # Always a shuffle, at any size: cells are not small where texts are many.
+    met = dealt.join(cold.hint("merge"), ["label", "digit", "spread"], "left")
     cell = F.coalesce("hot", "cold")
     goes_on = F.coalesce(~cell["ended"], F.lit(False))
     met = met.select(
