@@ -74,6 +74,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         yield batch.slice(start)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_cells(rows: DataFrame, cells: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``cells`` (one row for each key, ``count``: its rows among ``total``).
 

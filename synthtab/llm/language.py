@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthtab.llm.common import slices, texts
+from synthtab.llm.common import free_name, slices, texts
 from synthtab.llm.shingles import mix
 
 BUCKETS = 1 << 16
@@ -162,14 +162,14 @@ def keep_documents(docs: DataFrame, model: Model, least_share: float) -> DataFra
     A narrow pass: the rows travel through the workers, so nothing is joined back.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log))
-    schema = docs.schema
+    schema, extra = docs.schema, free_name(docs, "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for whole in batches:
-            body = whole.append_column("_body", whole.column("text").cast(pa.binary()).fill_null(b""))
-            for batch in slices(body, "_body", SLICE):
-                name, score, _ = model.predict([x.decode("utf-8", "replace") for x in batch.column("_body").to_pylist()])
+            body = whole.append_column(extra, whole.column("text").cast(pa.binary()).fill_null(b""))
+            for batch in slices(body, extra, SLICE):
+                name, score, _ = model.predict([x.decode("utf-8", "replace") for x in batch.column(extra).to_pylist()])
                 keep = [n != "und" and s >= least_share for n, s in zip(name, score)]
                 yield whole.slice(0, 0) if not any(keep) else batch.select(whole.schema.names).filter(pa.array(keep))
 

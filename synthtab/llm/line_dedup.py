@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from synthtab.llm.common import drop_stage, join_cells, write_stage
+from synthtab.llm.common import drop_stage, free_name, join_cells, write_stage
 
 #: Shorter lines are left alone: one word in five is no copy.
 MIN_WORDS = 6
@@ -157,14 +157,15 @@ def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataF
     All columns stay, ``n_chars`` (where there is one) follows the text.
     Documents that lose nothing are unchanged, null and empty texts included.
     """
-    dropped = repeated_lines(docs, min_words).groupBy("doc_id", "row_no").agg(F.collect_set("line_no").alias("gone"))
-    dropped = dropped.select(F.col("doc_id").alias("gone_doc"), F.col("row_no").alias("gone_row"), "gone")
-    rows = docs.withColumn("gone_text", F.xxhash64("text"))
-    met = rows.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc")) & (F.col("gone_text") == F.col("gone_row")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    of_doc, of_row, gone, own = (free_name(docs, x) for x in ("gone_doc", "gone_row", "gone", "gone_text"))
+    dropped = repeated_lines(docs, min_words).groupBy("doc_id", "row_no").agg(F.collect_set("line_no").alias(gone))
+    dropped = dropped.select(F.col("doc_id").alias(of_doc), F.col("row_no").alias(of_row), gone)
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    met = rows.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col(of_doc)) & (F.col(own) == F.col(of_row)), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))
     left = F.array_join(kept, "\n")
-    met = met.where(F.col("gone").isNull() | (F.length(F.trim(left)) > 0))
-    new = {"text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)}
+    met = met.where(F.col(gone).isNull() | (F.length(F.trim(left)) > 0))
+    new = {"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
     return met.withColumns(new).select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthtab.llm.common import drop_stage, join_cells, slices, texts, write_stage
+from synthtab.llm.common import drop_stage, free_name, join_cells, slices, texts, write_stage
 from synthtab.llm.components import connected
 from synthtab.llm.shingles import SLICE, constants, mix, shingle_sets, signatures
 
@@ -194,8 +194,9 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80)
     Only the ids that go are joined (rows that repeat an id with other texts
     go or stay by the id's own component).
     """
-    gone = near_groups(docs, words, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    gone = free_name(docs, "gone")
+    ids = near_groups(docs, words, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

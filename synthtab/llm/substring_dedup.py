@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from synthtab.llm.common import drop_stage, join_cells, slices, texts, write_stage
+from synthtab.llm.common import drop_stage, free_name, join_cells, slices, texts, write_stage
 from synthtab.llm.shingles import constants
 
 SLICE = 4 << 20
@@ -40,8 +40,9 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(data: np.ndarray, average: int = AVERAGE) -> np.ndarray:
-    """Ends of the chunks of one text."""
-    ends = np.flatnonzero(gear_hashes(data) < 65536 // average) + 1
+    """Ends of the chunks of one text, never inside a character (but for chunks of ``LONGEST`` bytes)."""
+    whole = np.append((data[1:] & 0xC0) != 0x80, True)
+    ends = np.flatnonzero((gear_hashes(data) < 65536 // average) & whole) + 1
     ends = np.unique(np.append(ends, len(data)))
     gaps = np.diff(np.append(0, ends))
     if (gaps > LONGEST).any():
@@ -114,16 +115,15 @@ def span_report(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 def without_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``docs`` with the repeated spans cut from ``text``; all rows and columns stay."""
-    spans = repeated_spans(docs, min_bytes).groupBy("doc_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("gone"))
-    spans = spans.select(F.col("doc_id").alias("gone_doc"), F.col("row_no").alias("gone_row"), "gone")
-    rows = docs.withColumn("gone_text", F.xxhash64("text"))
-    met = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc")) & (F.col("gone_text") == F.col("gone_row")), "left")
-    body = F.col("text").cast("binary")
+    of_doc, of_row, gone, own = (free_name(docs, x) for x in ("gone_doc", "gone_row", "gone", "gone_text"))
+    spans = repeated_spans(docs, min_bytes).groupBy("doc_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(gone))
+    spans = spans.select(F.col("doc_id").alias(of_doc), F.col("row_no").alias(of_row), gone)
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = docs.withColumn(own, F.xxhash64(body))
+    met = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(of_doc)) & (F.col(own) == F.col(of_row)), "left")
     # What lies between the spans; a cut inside a character is mended by the decoder.
-    edges = F.concat(F.transform("gone", lambda s: s["stop"]), F.array(F.lit(0).cast("long")))
-    begins = F.array_sort(edges)
-    stops = F.concat(F.transform("gone", lambda s: s["start"]), F.array(F.length(body).cast("long")))
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(gone, lambda s: s["stop"]))
+    stops = F.concat(F.transform(gone, lambda s: s["start"]), F.array(F.length(body).cast("long")))
     parts = F.zip_with(begins, stops, lambda a, b: F.substr(body, (a + 1).cast("int"), (b - a).cast("int")))
-    left = F.try_validate_utf8(F.aggregate(parts, F.lit("").cast("binary"), lambda x, y: F.concat(x, y)).cast("string"))
-    left = F.coalesce(left, F.make_valid_utf8(F.aggregate(parts, F.lit("").cast("binary"), lambda x, y: F.concat(x, y)).cast("string")))
-    return met.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    left = F.make_valid_utf8(F.aggregate(parts, F.lit("").cast("binary"), lambda x, y: F.concat(x, y)).cast("string"))
+    return met.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
