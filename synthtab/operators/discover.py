@@ -49,9 +49,10 @@ def route_domains(df: DataFrame, text: str, out: str = "domain") -> DataFrame:
     return df.withColumn(out, found)
 
 
-def clean_description(text: Column) -> Column:
-    """Trimmed, without control characters, first 500 characters."""
-    return F.substring(F.regexp_replace(strip(text), r"[\x00-\x1f\x7f]", ""), 1, 500)
+def clean_description(text: Column, most: int | None = None) -> Column:
+    """Trimmed and without control characters; the whole text, or its first ``most`` characters."""
+    cleaned = F.regexp_replace(strip(text), r"[\x00-\x1f\x7f]", "")
+    return cleaned if most is None else F.substring(cleaned, 1, most)
 
 
 # ---- answers --------------------------------------------------------------------
@@ -118,7 +119,9 @@ def parse_answers(df: DataFrame, text: str, out: str = "answer") -> DataFrame:
         F.arrays_zip(read["columns"].alias("r"), typed["columns"].alias("t")),
         lambda z: reduce(Column.__and__, [z["r"][n].isNull() | z["t"][n].isNotNull() for n in _NUMBERS]),
     )
-    texts = ~body.rlike(rf'"({_TEXT_FIELDS})"\s*:\s*(?!null\b)[^"\s]')
+    # the object alone: what follows it is commentary
+    own = F.get_json_object(body, "$")
+    texts = ~own.rlike(rf'"({_TEXT_FIELDS})"\s*:\s*(?!null\b)[^"\s]')
     valid = read["_bad"].isNull() & texts & is_valid_answer(typed) & numbers
     staged = staged.withColumn(out, F.when(F.coalesce(valid, F.lit(False)), typed))
     return staged.drop("_body", "_read", "_typed")

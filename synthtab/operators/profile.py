@@ -207,7 +207,8 @@ class Profiler:
     def both(self, a: str, b: str) -> int:
         return self.both_null.get((a, b), self.both_null.get((b, a), 0))
 
-    def null_pairs(self, top_k: int = 20) -> list[dict]:
+    def null_pairs(self, top_k: int | None = None) -> list[dict]:
+        """All pairs, most frequent first, or the first ``top_k``."""
         rows, nulls = self.scan.rows, self.scan.nulls
         out = []
         for i, a in enumerate(self.columns):
@@ -453,13 +454,13 @@ def _round_ending(v: Column) -> Column:
 def unbiased_skewness(g1: float | None, n: int) -> float | None:
     """Sample skewness from the population one; 0 for a constant column."""
     if n < 3:
-        return None
+        return 0.0
     return math.sqrt(n * (n - 1)) / (n - 2) * g1 if g1 is not None else 0.0
 
 
 def unbiased_kurtosis(g2: float | None, n: int) -> float | None:
     if n < 4:
-        return None
+        return 0.0
     return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) if g2 is not None else 0.0
 
 

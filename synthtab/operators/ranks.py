@@ -75,10 +75,11 @@ class _Target:
     values: tuple[float, float] | None = None
     equal: int = 0
     full: tuple[float, float] | None = None  # the safe interval behind a guess
+    by_size: bool = False  # the next pass splits by order of magnitude
 
     @property
-    def interval(self) -> tuple[str, float, float]:
-        return self.name, self.low, self.high
+    def interval(self) -> tuple[str, float, float, bool]:
+        return self.name, self.low, self.high, self.by_size
 
     def narrow(self, under: int, counts: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> None:
         if self.full is not None:
@@ -90,6 +91,8 @@ class _Target:
         ends = self.below + np.cumsum(counts)
         i = int(np.searchsorted(ends, self.first, side="right"))
         start, end = int(ends[i] - counts[i]), int(ends[i])
+        # Equal widths that leave most values in one bucket split a long tail: magnitudes come next, and only once.
+        self.by_size = not self.by_size and 2 * counts[i] > counts.sum()
         low, high = float(lows[i]), float(highs[i])
         if low == high:
             self.equal, self.below = end - start, start
@@ -108,15 +111,29 @@ class _Target:
             self.low, self.high, self.below = low, high, start
 
 
-def _bucket(value: Column, low: float, high: float, buckets: int) -> Column:
+SMALLEST = math.log(5e-324)
+
+
+def _magnitude(value: Column | float):
+    """Monotone in the value, and linear in the logarithm of its size."""
+    if isinstance(value, float):
+        return math.copysign(math.log(abs(value)) - SMALLEST + 1, value) if value else 0.0
+    size = F.log(F.abs(value)) - F.lit(SMALLEST) + 1
+    return F.when(value == 0, 0.0).otherwise(F.when(value > 0, size).otherwise(-size))
+
+
+def _bucket(value: Column, low: float, high: float, buckets: int, by_size: bool = False) -> Column:
     """Monotone bucket number of values in [low, high]; both ends differ."""
+    if by_size and _magnitude(low) < _magnitude(high):
+        value, low, high = _magnitude(value), _magnitude(low), _magnitude(high)
     if math.isinf(high - low):
         value, low, high = value * F.lit(0.25), low * 0.25, high * 0.25
     share = (value - F.lit(low)) / F.lit(high - low)
-    return F.floor(share * F.lit(float(buckets))).cast("int")
+    # Logarithms may differ in the last bit between machines: no value of the interval falls below it.
+    return F.greatest(F.floor(share * F.lit(float(buckets))).cast("int"), F.lit(0))
 
 
-def _solve(df: DataFrame, columns: dict[str, Column], targets: list[_Target], rows: int) -> None:
+def _solve(df: DataFrame, columns: dict[str, Column], targets: list[_Target]) -> None:
     for t in targets:
         if t.low == t.high:
             t.values, t.equal = (t.low, t.low), -1
@@ -125,24 +142,24 @@ def _solve(df: DataFrame, columns: dict[str, Column], targets: list[_Target], ro
         if not open_targets:
             return
         intervals = sorted({t.interval for t in open_targets})
-        buckets = 4096 if rows < 5_000_000 else max(4096, 65_536 // len(intervals))
+        buckets = max(4096, 65_536 // len(intervals))
         hist = _histograms(df, columns, intervals, buckets)
         for t in open_targets:
             t.narrow(*hist[t.interval])
 
 
 def _histograms(df, columns, intervals, buckets):
-    names = list(dict.fromkeys(name for name, _, _ in intervals))
+    names = list(dict.fromkeys(name for name, *_ in intervals))
     # a projection of its own, so that an expensive draw is computed once a row
     values = df.select(*[columns[name].alias(f"v{j}") for j, name in enumerate(names)])
     entries = []
-    for i, (name, low, high) in enumerate(intervals):
+    for i, (name, low, high, by_size) in enumerate(intervals):
         value = F.col(f"v{names.index(name)}")
         inside = value.between(F.lit(low), F.lit(high))
         entries.append(
             F.struct(
                 F.lit(i).alias("i"),
-                F.when(inside, _bucket(value, low, high, buckets))
+                F.when(inside, _bucket(value, low, high, buckets, by_size))
                 .when(value < F.lit(low), F.lit(-1))
                 .alias("b"),
                 value.alias("v"),
@@ -211,7 +228,7 @@ def quantiles(
     """Exact quantiles with linear interpolation; None for an all-null column."""
     known = extents(df, columns) if known is None else known
     plan = _QuantilePlan(columns, probabilities, known)
-    _solve(df, plan.columns, plan.targets, _largest(known))
+    _solve(df, plan.columns, plan.targets)
     return plan.result()
 
 
@@ -274,8 +291,7 @@ def exact_k(df: DataFrame, choices: dict[str, Choice], key: Column) -> dict[str,
     in one or two counting passes.  The key must be unique.
     """
     plan = _ChoicePlan(choices)
-    rows = max((c.available for c in choices.values()), default=0)
-    _solve(df, plan.columns, list(plan.cuts.values()), rows)
+    _solve(df, plan.columns, list(plan.cuts.values()))
     return plan.conditions(df, key)
 
 
@@ -289,8 +305,7 @@ def quantiles_and_choices(
 ) -> tuple[dict[str, list[float] | None], dict[str, Column]]:
     """``quantiles`` and ``exact_k`` in shared passes."""
     first, second = _QuantilePlan(columns, probabilities, known), _ChoicePlan(choices)
-    rows = max([_largest(known), *[c.available for c in choices.values()]])
-    _solve(df, {**first.columns, **second.columns}, first.targets + list(second.cuts.values()), rows)
+    _solve(df, {**first.columns, **second.columns}, first.targets + list(second.cuts.values()))
     return first.result(), second.conditions(df, key)
 
 

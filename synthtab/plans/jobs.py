@@ -13,7 +13,7 @@ from synthtab.operators.profile import Fingerprint, fingerprint
 from synthtab.plans.imperfections import SEED_DOMAINS, default_profile, merge_profile, save_profile
 from synthtab.session import stage
 from synthtab.sources.catalog import Catalog, stable_id
-from synthtab.sources.files import infer_columns, list_csv, read_delimited
+from synthtab.sources.files import infer_columns, list_csv, read_delimited, read_files
 
 logger = logging.getLogger(__name__)
 
@@ -27,11 +27,11 @@ def _read_path(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """The first CSV below a folder."""
-    first = list_csv(spark, path).first()
-    if first is None:
+    """Every CSV below a folder as one table; files may differ in delimiter and columns."""
+    files = [r["path"] for r in list_csv(spark, path).collect()]  # names only
+    if not files:
         raise FileNotFoundError(f"no .csv below {path}")
-    return _read_path(spark, first["path"])
+    return stage(read_files(spark, files))
 
 
 def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -102,8 +102,8 @@ def fingerprint_csv(spark: SparkSession, path: str, domain: str = "", dataset: s
         return None
 
 
-def fingerprint_domain(catalog: Catalog, domain: str, newest: int = 5) -> list[Fingerprint]:
-    """Fingerprints of the newest datasets of a domain; failures are skipped."""
+def fingerprint_domain(catalog: Catalog, domain: str, newest: int | None = None) -> list[Fingerprint]:
+    """Fingerprints of all datasets of a domain, or of the newest; failures are skipped."""
     found = []
     for row in catalog.datasets(domain, newest).collect():
         try:

@@ -117,9 +117,9 @@ def resolve_schema(domain: str, specs=None, catalog=None) -> list[ColumnSpec]:
 # ---- edited schemas --------------------------------------------------------
 
 
-def clean_name(name: str | None) -> str:
-    """Drop characters other than word characters, ``-`` and space; 128 at most."""
-    kept = re.sub(r"[^\w\- ]", "", name or "")[:128]
+def clean_name(name: str | None, most: int | None = None) -> str:
+    """Drop characters other than word characters, ``-`` and space; cut at ``most`` characters if given."""
+    kept = re.sub(r"[^\w\- ]", "", name or "")[:most]
     return kept if kept.strip() else "column"
 
 

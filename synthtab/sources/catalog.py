@@ -63,11 +63,12 @@ def upsert_datasets(datasets: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.groupBy("source_url").agg(*picks).select(*columns)
 
 
-def list_datasets(datasets: DataFrame, domain_id: int | None = None, limit: int = 100) -> DataFrame:
-    """Newest first (a top-k)."""
+def list_datasets(datasets: DataFrame, domain_id: int | None = None, limit: int | None = None) -> DataFrame:
+    """Newest first; all of them, or the newest ``limit``."""
     if domain_id:
         datasets = datasets.filter(F.col("domain_id") == F.lit(domain_id))
-    return datasets.orderBy(F.desc("crawled_at"), "id").limit(limit)
+    newest = datasets.orderBy(F.desc("crawled_at"), "id")
+    return newest if limit is None else newest.limit(limit)
 
 
 def put_columns(columns: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -184,12 +185,14 @@ class Catalog:
 
     # domains
 
-    def add_domain(self, name: str, description: str = "") -> None:
-        self.add_domains([(name, description)])
+    def add_domain(self, name: str, description: str = "", parent_id: int | None = None) -> None:
+        self.add_domains([(name, description, parent_id)])
 
-    def add_domains(self, domains: Iterable[tuple[str, str]]) -> None:
-        rows = self.spark.createDataFrame(list(domains), "name string, description string")
-        rows = rows.withColumns({"parent_domain_id": F.lit(None).cast("bigint"), "created_at": F.now()})
+    def add_domains(self, domains: Iterable[tuple]) -> None:
+        """Rows of name, description and, where there is one, the parent's id."""
+        full = [(*row, None)[:3] for row in domains]
+        rows = self.spark.createDataFrame(full, "name string, description string, parent_domain_id bigint")
+        rows = rows.withColumn("created_at", F.now())
         self._save("domains", upsert_domains(self.table("domains"), rows))
 
     def domain(self, name: str | None = None, id: int | None = None):
@@ -208,7 +211,7 @@ class Catalog:
     def dataset(self, id: int):
         return self.table("datasets").filter(F.col("id") == F.lit(id)).first()
 
-    def datasets(self, domain: str | None = None, limit: int = 100) -> DataFrame:
+    def datasets(self, domain: str | None = None, limit: int | None = None) -> DataFrame:
         if domain is None:
             return list_datasets(self.table("datasets"), None, limit)
         row = self.domain(domain)

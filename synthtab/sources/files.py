@@ -42,20 +42,55 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     return ","
 
 
+#: One dialect for reading and writing: quotes are doubled, an empty cell is null, a quoted empty cell is empty text.
+DIALECT = {"header": True, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""'}
+
+
 def read_delimited(
-    spark: SparkSession, path: str, max_rows: int | None = None, schema: str | T.StructType | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    max_rows: int | None = None,
+    schema: str | T.StructType | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """A headed UTF-8 file (or folder of files) with its delimiter detected.
+    """A headed UTF-8 file (or folder of files in one dialect) with its delimiter detected.
 
     The whole input by default.  Give a ``schema`` for very large inputs: it
-    saves the pass that infers the types.
+    saves the pass that infers the types.  Cells may hold line breaks, so a
+    file is read by one task; ``multi_line=False`` splits large files that
+    have none.
     """
-    reader = spark.read.option("header", True).option("sep", detect_delimiter(spark, path))
+    first = path if isinstance(path, str) else path[0]
+    # The parser gives an empty cell ``nullValue`` and a quoted one ``emptyValue``: they must differ to be told apart.
+    options = {**DIALECT, "nullValue": "\x00", "emptyValue": "", "multiLine": multi_line, "sep": detect_delimiter(spark, first)}
+    reader = spark.read.options(**options)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     return df.limit(max_rows) if max_rows is not None else df
 
 
+def read_files(spark: SparkSession, paths: list[str], multi_line: bool = True) -> DataFrame:
+    """Headed files as one table: each file's own delimiter and header, columns matched by name.
+
+    Files that share both are read together, so the plan grows with the
+    number of layouts and not with that of files.
+    """
+    layouts: dict[tuple, list[str]] = {}
+    for path in paths:
+        sep = detect_delimiter(spark, path)
+        header = spark.read.text(path).head()
+        layouts.setdefault((sep, header and header[0].strip()), []).append(path)
+    tables = [read_delimited(spark, same, multi_line=multi_line) for same in layouts.values()]
+    out = tables[0]
+    for more in tables[1:]:
+        kinds, others = dict(out.dtypes), dict(more.dtypes)
+        mixed = [c for c in kinds if c in others and kinds[c] != others[c]]
+        # one type for a column that files disagree on
+        out, more = (df.withColumns({c: col(c).cast("string") for c in mixed}) for df in (out, more))
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
 def list_csv(spark: SparkSession, path: str) -> DataFrame:
     """Paths of a ``.csv`` file or of every nested ``.csv`` below a folder."""
     listing = (
@@ -144,7 +179,8 @@ def guard_formulas(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    guard_formulas(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    guard_formulas(df).write.mode(mode).options(**DIALECT, **kept).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -180,7 +180,7 @@ def test_save_and_load(spark, catalog):
     imp.save_profile(catalog, "energy", {})
     assert imp.load_profile(catalog, "energy") == imp.default_profile("energy")
     assert catalog.counts()["profiles"] == 1
-    assert catalog.domain("energy")["description"] == "Energy data domain"
+    assert catalog.domain("energy")["description"] == "Tables about energy"
     catalog.put_profile("energy", "{broken")
     assert imp.load_profile(catalog, "energy") == imp.default_profile("energy")
 

@@ -72,7 +72,8 @@ def test_routing(spark):
 def test_cleaning(spark):
     df = spark.createDataFrame([("\n a\tb\x00c\x7fd" + "é" * 600,)], "t string")
     cleaned = df.select(discover.clean_description(F.col("t"))).first()[0]
-    assert cleaned == "abcd" + "é" * 496
+    assert cleaned == "abcd" + "é" * 600
+    assert df.select(discover.clean_description(F.col("t"), 500)).first()[0] == "abcd" + "é" * 496
 
 
 def empty(spark, name):
@@ -133,3 +134,10 @@ def test_description_values(spark):
 def test_hopeless_answers(spark, text):
     df = spark.createDataFrame([(text,)], "t string")
     assert discover.parse_answers(df, "t").first()["answer"] is None
+
+
+def test_commentary_after_the_object(spark):
+    answer = '{"domain": "d", "domain_description": "t", "columns": [{"column_name": "c", "data_type": "numeric", "description": "x"}]}'
+    rows = [(1, answer + ' Note: "domain": free text'), (2, answer.replace('"d"', "5")), (3, answer + " {")]
+    found = discover.parse_answers(spark.createDataFrame(rows, "id int, response string"), "response")
+    assert {r["id"]: r["answer"] is not None for r in found.collect()} == {1: True, 2: False, 3: True}

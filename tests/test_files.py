@@ -72,8 +72,7 @@ def test_formula_guard_and_csv(spark, tmp_path):
 def test_json_keeps_nulls(spark, tmp_path):
     df = spark.createDataFrame([("a", None)], "s string, x double").withColumn("t", F.lit("2024-01-02").cast("timestamp_ntz"))
     st.write_json(df, str(tmp_path / "j"))
-    part = next(p for p in (tmp_path / "j").iterdir() if p.suffix == ".json")
-    row = json.loads(part.read_text())
+    row = json.loads("".join(p.read_text() for p in (tmp_path / "j").glob("*.json")))
     assert row == {"s": "a", "x": None, "t": "2024-01-02T00:00:00.000"}
 
 
@@ -88,3 +87,21 @@ def test_clean_columns(spark):
     assert st.clean_columns(df).columns == ["prce", "price", "column", "a b"]
     twice = spark.createDataFrame([(1, 2)], ["a!", "a?"])
     assert st.clean_columns(twice).columns == ["a", "a_2"]
+
+
+def test_text_comes_back_as_it_was(spark, tmp_path):
+    rows = [(1, 'say "hi", ok'), (2, "two\nlines"), (3, ""), (4, None), (5, "a,b;c\td"), (6, '""'), (7, "back\\slash\\"), (8, " edge ")]
+    df = spark.createDataFrame(rows, "id int, words string").coalesce(1)
+    files.write_csv(df, str(tmp_path / "out"))
+    back = files.read_delimited(spark, str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+def test_all_files_of_a_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n2,y\n")
+    (tmp_path / "b.csv").write_text("id;size\n3;4.5\n")
+    (tmp_path / "c.csv").write_text("id,name\nq,z\n")
+    from synthtab.plans.jobs import READERS
+
+    df = READERS["folder"](spark, str(tmp_path))
+    assert sorted(df.columns) == ["id", "name", "size"] and sorted(r["id"] for r in df.collect()) == ["1", "2", "3", "q"]

@@ -156,3 +156,27 @@ def test_kolmogorov_p_values():
     assert ranks.kolmogorov_p(1.6276 / np.sqrt(500), 1000, 1000) == pytest.approx(0.01, abs=1e-4)
     assert ranks.kolmogorov_p(0.0, 10, 10) == 1.0
     assert ranks.kolmogorov_p(1.0, 10_000, 10_000) == 0.0
+
+
+@pytest.mark.parametrize("kind", ["uniform", "tails", "point", "cluster", "infinite"])
+def test_quantiles_take_few_passes_on_any_data(spark, monkeypatch, kind):
+    rng = np.random.default_rng(4)
+    n = 20_000
+    values = {
+        "uniform": rng.random(n),
+        "tails": rng.choice([-1, 1], n) * 10.0 ** rng.uniform(-300, 300, n),
+        "point": np.where(rng.random(n) < 0.6, 1.5, 10.0 ** rng.uniform(-300, 300, n)),
+        "cluster": np.where(rng.random(n) < 0.5, 1e300 * rng.random(n), 7 + 1e-9 * rng.random(n)),
+        "infinite": np.where(rng.random(n) < 0.1, np.inf, rng.normal(size=n)),
+    }[kind]
+    passes = []
+    real = ranks._histograms
+    monkeypatch.setattr(ranks, "_histograms", lambda *a: passes.append(1) or real(*a))
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    found = ranks.quantiles(df, {"x": F.col("x")}, [0.1, 0.25, 0.5, 0.75])["x"]
+    assert len(passes) <= 4
+    ordered = np.sort(values)
+    for p, q in zip([0.1, 0.25, 0.5, 0.75], found):
+        place = (n - 1) * p
+        a, b = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
+        assert a <= q <= b

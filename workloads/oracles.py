@@ -788,7 +788,7 @@ STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 ROUTE = "CASE " + " ".join(f"WHEN contains(lower({STRIPPED}), '{d}') THEN '{d}'" for d in SEED_DOMAINS) + " END"
 ORACLES["route_descriptions"] = f"WITH {DESCRIBED} SELECT id, {ROUTE} AS domain FROM des"
 ORACLES["clean_documents"] = (
-    f"SELECT doc_id, substring(regexp_replace({STRIPPED}, '[\\x00-\\x1f\\x7f]', '', 'g'), 1, 500) AS cleaned FROM documents"
+    f"SELECT doc_id, regexp_replace({STRIPPED}, '[\\x00-\\x1f\\x7f]', '', 'g') AS cleaned FROM documents"
 )
 ORACLES["guard_formulas"] = """
 WITH c AS (SELECT o_orderkey AS id, list_extract(['=', '+', '-', '@', 'a', NULL], o_orderkey % 6 + 1) || o_orderpriority AS s,
