@@ -28,6 +28,8 @@ from synthtab.functions.literals import double_array, double_arrays, search_sort
 ROWS_PER_CELL = 200_000
 MAX_CELLS = 16_384
 ROWS_PER_SALT = 5_000_000
+DIGEST_GROUPS = 256
+DIGEST_ACCURACY = 10_000
 LARGEST = sys.float_info.max  # stands for infinity while buckets are counted
 
 
@@ -339,16 +341,38 @@ class Cells:
         return max((len(e) for e in self.edges.values()), default=0)
 
 
+def _cut_points(df: DataFrame, columns: list[Column], parts: int) -> list[list[float]]:
+    """About ``parts - 1`` evenly spaced quantiles of each column.
+
+    Partitions send their digests to ``DIGEST_GROUPS`` tasks, and each of
+    those a bounded list of values here, so no task meets all digests.
+    """
+    group = F.pmod(F.spark_partition_id(), F.lit(DIGEST_GROUPS))
+    steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    long = df.select(group.alias("g"), *[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    aggs = [x for i in range(len(columns)) for x in (F.count(f"c{i}"), F.percentile_approx(f"c{i}", steps, DIGEST_ACCURACY))]
+    found = long.groupBy("g").agg(*aggs).collect()
+    out = []
+    for i in range(len(columns)):
+        lists = [(r[1 + 2 * i], r[2 + 2 * i]) for r in found if r[1 + 2 * i]]
+        if not lists:
+            out.append([])
+            continue
+        values = np.concatenate([v for _, v in lists])
+        weights = np.concatenate([np.full(len(v), n / len(v)) for n, v in lists])
+        order = np.argsort(values, kind="stable")
+        reached = np.cumsum(weights[order])
+        at = np.searchsorted(reached, np.arange(1, parts) / parts * reached[-1])
+        out.append(values[order][np.minimum(at, len(values) - 1)].tolist())
+    return out
+
+
 def value_cells(df: DataFrame, columns: dict[str, Column], rows: int) -> Cells:
     parts = min(MAX_CELLS, math.ceil(rows / ROWS_PER_CELL))
     edges: dict[str, list[float]] = {name: [] for name in columns}
     hot: dict[str, dict[float, int]] = {name: {} for name in columns}
     if parts > 1 and columns:
-        steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-        accuracy = F.lit(max(10_000, 4 * parts))
-        row = df.agg(*[F.percentile_approx(c, steps, accuracy) for c in columns.values()]).first()
-        for i, name in enumerate(columns):
-            values = row[i] or []
+        for name, values in zip(columns, _cut_points(df, list(columns.values()), parts)):
             edges[name] = sorted(set(values))
             repeated = Counter(values)
             hot[name] = {v: math.ceil((k + 1) * rows / parts) for v, k in repeated.items() if k > 1}

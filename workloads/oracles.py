@@ -606,13 +606,29 @@ def column_profile(source: str, columns: dict[str, bool], places: int = 6) -> st
 
 
 ORACLES["profile_columns_orders"] = column_profile(
-    "orders", {"o_custkey": True, "o_totalprice": True, "o_orderstatus": False, "o_orderpriority": False}
+    "orders", {"o_orderkey": True, "o_custkey": True, "o_totalprice": True, "o_orderstatus": False, "o_orderpriority": False}
 )
 ORACLES["profile_columns_masked"] = f"WITH {MASKED} " + column_profile(
     "m", {"l_quantity": True, "l_discount": True, "tax_mcar": True, "price_mar": True, "flag_b": False}, 4
 )
 
 
+# ---- files -------------------------------------------------------------------------------------
+
+ORACLES["csv_round_trip"] = r"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'say "hi", ; ' || text
+  WHEN doc_id % 7 = 0 THEN '' ELSE text END AS text, lang, source FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\-@]') THEN chr(39) || text ELSE text END AS text, lang, source FROM d"""
+ORACLES["csv_types_orders"] = """
+SELECT (row_number() OVER () - 1)::INTEGER AS position, column_name,
+  CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') OR column_type LIKE 'DECIMAL%' THEN 'numeric' ELSE 'text' END AS data_type
+FROM (DESCRIBE SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority FROM orders)"""
+ORACLES["folder_of_csv"] = """
+SELECT n_nationkey::BIGINT AS n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 1 THEN 'r' || n_nationkey END AS remark FROM nation"""
+ORACLES["json_round_trip"] = "SELECT doc_id, text, n_chars FROM documents"
+ORACLES["parquet_round_trip"] = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+ORACLES["cleaned_names"] = "SELECT n_nationkey AS key, n_name AS key_2 FROM nation"
+
 # ---- reports -----------------------------------------------------------------------------------
 
 ORACLES["preview_orders"] = "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from synthtab.operators import ranks
 from synthtab.operators.generate import generate_columns
 from synthtab.operators.profile import Profiler
 from synthtab.plans import imperfections
+from synthtab.plans.jobs import READERS
 from synthtab.plans.spec import ColumnSpec, generic_schema
-from synthtab.session import stage
+from synthtab.session import shared_folder, stage
 from synthtab.sources import catalog
 from workloads import fixtures as fx
 from workloads.fixtures import rounded, table
@@ -316,7 +318,7 @@ def fingerprint_events(spark, folder):
 
 @query
 def profile_columns_orders(spark, folder):
-    orders = table(spark, folder, "orders").select("o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
     return rounded(st.profile_columns(orders))
 
 
@@ -326,6 +328,65 @@ def profile_columns_masked(spark, folder):
     return rounded(st.profile_columns(df), 4)
 
 
+# ---- files -------------------------------------------------------------------------------
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(spark, folder):
+    """Whole texts with quotes, delimiters and line breaks, written and read back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    quoted = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('say "hi", ; '), "text")).when(F.col("doc_id") % 7 == 0, F.lit(""))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 11 != 0, F.coalesce(quoted, "text")))
+    path = fresh(spark, "csv")
+    st.write_csv(docs, path)
+    return st.read_delimited(spark, path, schema="doc_id bigint, text string, lang string, source string")
+
+
+@query
+def csv_types_orders(spark, folder):
+    """Types inferred from a file, with the catalog's names for them."""
+    path = fresh(spark, "csv")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    st.write_csv(orders, path)
+    return st.infer_columns(st.read_delimited(spark, path)).select("position", "column_name", "data_type")
+
+
+@query
+def folder_of_csv(spark, folder):
+    """All files of a folder: two delimiters, columns matched by name."""
+    path = fresh(spark, "folder")
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
+    st.write_csv(nation.where("n_nationkey % 2 = 0").coalesce(1), f"{path}/a")
+    other = nation.where("n_nationkey % 2 = 1").select("n_name", F.concat(F.lit("r"), "n_nationkey").alias("remark"), "n_nationkey")
+    other.coalesce(1).write.option("header", True).option("sep", ";").csv(f"{path}/b")
+    df = READERS["folder"](spark, path)
+    return df.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name", "remark")
+
+
+@query
+def json_round_trip(spark, folder):
+    path = fresh(spark, "json")
+    st.write_json(table(spark, folder, "documents").select("doc_id", "text", "n_chars"), path)
+    return spark.read.schema("doc_id bigint, text string, n_chars bigint").json(path)
+
+
+@query
+def parquet_round_trip(spark, folder):
+    path = fresh(spark, "parquet")
+    st.write_parquet(table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    return spark.read.parquet(path)
+
+
+@query
+def cleaned_names(spark, folder):
+    df = table(spark, folder, "nation").select(F.col("n_nationkey").alias("key!"), F.col("n_name").alias("ke(y"))
+    return st.clean_columns(df)
+
+
 # ---- reports ---------------------------------------------------------------------------
 
 
