@@ -8,9 +8,10 @@ a position differs with probability 0.2, and more than 15 of 32 differ in
 about one pair of 5,000; above 0.85 in one of a million.
 
 Texts with equal shingle sets are one class.  Pairs of classes are found in
-three steps, each exact, so that large groups are never written as all pairs:
-members of a key against its smallest member; then, between different
-components, each member's nearest; then all that is left within the distance.
+two steps, so that large groups are never written as all pairs: members of a
+key against its first and last member; then, between members of different
+components, all pairs within the distance that a sketch of 512 bins does not
+rule out by five standard deviations.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,10 @@ CHUNKS = 8
 WIDTH = POSITIONS // CHUNKS
 #: Errors that leave one chunk with at most one: 2 * CHUNKS - 1.
 DISTANCE = 2 * CHUNKS - 1
-#: Members of a key compared in one task.
-BLOCK = 4096
+#: Members of a key compared at once.
+BLOCK = 1024
+BIN_BITS = 9
+BINS = 1 << BIN_BITS
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
@@ -116,52 +118,102 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, nearest_only: bool) -> DataFrame:
-    """Pairs within the distance that share a key but not a component.
+def likely(one: np.ndarray, many: np.ndarray, sizes: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Which of ``many`` sketches may belong to a set that is similar to ``one``'s: five standard deviations are allowed."""
+    seen = (many != 0) | (one != 0)
+    m = np.maximum(seen.sum(axis=1), 1)
+    share = ((many == one) & seen).sum(axis=1) / m
+    least = percent / 100
+    union = (sizes + size) / (1 + least)
+    # Bins are drawn without replacement from the union, so small sets are seen nearly whole.
+    spread = np.sqrt(least * (1 - least) / m * np.clip(1 - (m - 1) / np.maximum(union, 1), 0, 1))
+    fits = 100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)
+    return fits & (share >= least - 5 * spread - 0.02)
+
+
+def pairs_of_block(block: dict[str, np.ndarray], percent: int) -> list[np.ndarray]:
+    """(ids, ids) of the pairs of one block: visitors against residents of other components."""
+    guests, here = np.flatnonzero(block["visitor"]), np.flatnonzero(~block["visitor"])
+    out = []
+    if not len(guests) or not len(here):
+        return out
+    sig, sketch, ids, parts = (block[c][here] for c in ("sig", "sketch", "id", "component"))
+    moves, sizes, slot = block["moves"][here], block["size"][here], int(block["slot"][0])
+    for g in guests.tolist():
+        one = block["id"][g]
+        keep = (parts != block["component"][g]) & (~moves | (ids > one))
+        at = np.flatnonzero(keep)
+        wrong = sig[at] != block["sig"][g]
+        near = wrong.sum(axis=1) <= DISTANCE
+        at, wrong = at[near], wrong[near]
+        if len(at):
+            # Only in the first slot that both share: the first chunk with an error at most, without the wrong position
+            # (without position 0 if nothing is wrong, as then every variant is shared).
+            chunk = wrong.reshape(len(at), CHUNKS, WIDTH)
+            first = (chunk.sum(axis=2) <= 1).argmax(axis=1)
+            inside = chunk[np.arange(len(at)), first]
+            at = at[first * WIDTH + inside.argmax(axis=1) == slot]
+            at = at[likely(block["sketch"][g], sketch[at], sizes[at], int(block["size"][g]), percent)]
+            out.append(np.stack([np.minimum(ids[at], one), np.maximum(ids[at], one)]))
+    return out
+
+
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs within the distance that share a key but not a component, and may be similar by their sketches.
 
     ``members``: ``key, slot, id, component, main`` (the key's most frequent
-    component), ``n`` (rows of the key), ``sig``.  Those outside the main
-    component visit all blocks of the key; a pair is made only in the first
-    slot that its signatures share.
+    component), ``n`` (rows of the key), ``sig, sketch, size``.  A key's rows
+    live in blocks; those outside the main component visit all its blocks.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    moves = F.col("component") != F.col("main")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("moves", moves)
-    rows = rows.withColumn("anywhere", F.sequence(F.lit(0), F.col("blocks") - 1))
-    stay = rows.withColumn("visitor", F.lit(False)).withColumn("home", F.col("own")).withColumn("guest", F.explode("anywhere"))
-    visit = rows.where("moves").withColumn("visitor", F.lit(True)).withColumn("guest", F.col("own")).withColumn("home", F.explode("anywhere"))
-    names = ["key", "home", "guest", "visitor", "moves", "slot", "id", "component", "sig"]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        here, guests = frame[~frame["visitor"]], frame[frame["visitor"]]
-        found = {"a": [], "b": []}
-        if len(guests):
-            sig = as_signatures(here["sig"].tolist())
-            ids, parts, movers = here["id"].to_numpy(), here["component"].to_numpy(), here["moves"].to_numpy()
-            slot = int(here["slot"].iloc[0])
-            for one, part, body in zip(guests["id"].tolist(), guests["component"].tolist(), guests["sig"].tolist()):
-                wrong = sig != np.frombuffer(body, "<u2")
-                distance = wrong.sum(axis=1)
-                keep = (distance <= DISTANCE) & (parts != part) & (~movers | (ids > one))
-                at = np.flatnonzero(keep)
-                if len(at) and nearest_only:
-                    # One for each other component: the nearest, then the smallest.
-                    order = np.lexsort((ids[at], distance[at], parts[at]))
-                    at = at[order][np.append(True, np.diff(parts[at][order]) != 0)]
-                elif len(at):
-                    chunk = wrong[at].reshape(len(at), CHUNKS, WIDTH)
-                    errors = chunk.sum(axis=2)
-                    first = (errors <= 1).argmax(axis=1)
-                    inside = chunk[np.arange(len(at)), first]
-                    # Without errors every variant is shared, and the first is that without position 0.
-                    at = at[(first * WIDTH + inside.argmax(axis=1)) == slot]
-                found["a"].extend(np.minimum(ids[at], one).tolist())
-                found["b"].extend(np.maximum(ids[at], one).tolist())
-        return pd.DataFrame(found, dtype="int64")
-
-    both = stay.select(*names).unionByName(visit.select(*names))
-    return both.groupBy("key", "home", "guest").applyInPandas(run, "a long, b long").distinct()
+    rows = members.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int"), "moves": F.col("component") != F.col("main")})
+    anywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # A resident meets the visitors of each block in a task of its own.
+    stay = rows.withColumns({"visitor": F.lit(False), "home": F.col("own"), "guest": F.explode(anywhere)})
+    visit = rows.where("moves").withColumns({"visitor": F.lit(True), "guest": F.col("own"), "home": F.explode(anywhere)})
+    place, names = ["key", "home", "guest"], ["visitor", "moves", "slot", "id", "component", "size", "sig", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def emit(table: dict[str, np.ndarray], edges: list[int]) -> Iterator[pa.RecordBatch]:
+            found = []
+            for start, stop in zip(edges[:-1], edges[1:]):
+                if table["visitor"][start:stop].any():
+                    found += pairs_of_block({c: v[start:stop] for c, v in table.items()}, percent)
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*place, *names[:-2])}
+            new["sig"] = as_signatures(batch.column("sig").to_pylist())
+            new["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            table = {c: np.concatenate([held[c], v]) for c, v in new.items()} if held else new
+            change = np.zeros(len(table["key"]) - 1, bool)
+            for c in place:
+                change |= table[c][1:] != table[c][:-1]
+            edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+            yield from emit(table, edges)
+            held = {c: v[edges[-1] :] for c, v in table.items()}  # the last block may go on
+        if held:
+            yield from emit(held, [0, len(held["key"])])
+
+    both = stay.select(*place, *names).unionByName(visit.select(*place, *names))
+    return both.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
+
+
+def sketch_of(values: np.ndarray) -> bytes:
+    """The smallest hash in each of ``BINS`` bins as one byte, 0 for an empty bin."""
+    out = np.zeros(BINS, np.uint8)
+    if len(values):
+        turned = np.sort(mix(values ^ constants(1, 907)[0]))
+        bins = (turned >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+        first = np.append(True, bins[1:] != bins[:-1])
+        out[bins[first]] = 1 + (turned[first] >> np.uint64(20)) % np.uint64(255)
+    return out.tobytes()
 
 
 def set_sums(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +224,7 @@ def set_sums(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_table(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """``id, body``: the full sets of the classes that may have a partner."""
+    """``id, body, sketch, size``: the full sets of the classes that may have a partner, with a finer sketch of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,10 +234,13 @@ def shingle_table(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                 # A doc_id may stand on several rows: only rows with the class's own set count.
                 own = (a == batch.column("set_a").to_numpy()) & (b == batch.column("set_b").to_numpy())
                 body = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), body], ["id", "body"]).filter(pa.array(own))
+                sketch = pa.array([sketch_of(s) for s in sets], pa.binary())
+                size = pa.array(map(len, sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), body, sketch, size], ["id", "body", "sketch", "size"]).filter(pa.array(own))
 
-    asked = classes.select("doc_id", "id", "set_a", "set_b")
-    return texts(docs).join(asked, "doc_id").mapInArrow(run, "id long, body binary")
+    # Always a shuffle: few ids here are many where texts are many.
+    asked = classes.select("doc_id", "id", "set_a", "set_b").hint("merge")
+    return texts(docs).join(asked, "doc_id").mapInArrow(run, "id long, body binary, sketch binary, size long")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -215,29 +270,27 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     sets = sets.select("set_a", "set_b", F.col("first.doc_id").alias("doc_id"), F.col("first.sig").alias("sig"), "n")
     classes, classes_path = write_stage(sets.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     keys = keyed(classes)
-    cells, cells_path = write_stage(keys.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-cells")
+    cells, cells_path = write_stage(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-cells")
     total = cells.agg(F.sum("n")).first()[0] or 0
     members, members_path = write_stage(join_cells(keys, cells, ["key"], "n", total), "near-members")
     some = members.select("id").distinct()
     asked, asked_path = write_stage(classes.join(some, "id", "left_semi"), "near-asked")
     bodies, bodies_path = write_stage(shingle_table(docs, asked, words), "near-sets")
-    # Members of a key against its smallest.
-    stars = members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links, links_path = write_stage(verified(within_distance(stars, asked), bodies, percent), "near-links")
-    paths, schema = [links_path], links.schema
-    for nearest_only in (True, False):
-        parts, parts_path = connected(spark.read.schema(schema).parquet(*paths))
-        placed = members.join(parts.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # A key whose members are in one component has no more to give.
-        mixed = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
-            F.max_by("component", "size").alias("main"), F.count(F.lit(1)).alias("components"), F.sum("size").alias("rows")
-        )
-        mixed = mixed.where("components > 1").select("key", "main", "rows")
-        placed = join_cells(placed.select("key", "slot", "id", "component"), mixed, ["key"], "rows", total)
-        left = placed.join(asked.select("id", "sig"), "id").withColumnRenamed("rows", "n")
-        more, more_path = write_stage(verified(across(left, nearest_only), bodies, percent), "near-links")
-        paths.append(more_path)
-        drop_stage(spark, parts_path)
+    # Members of a key against its first and its last.
+    ends = [members.select(F.least("id", end).alias("a"), F.greatest("id", end).alias("b")).where("a <> b") for end in ("least", "most")]
+    links, links_path = write_stage(verified(within_distance(ends[0].unionByName(ends[1]).distinct(), asked), bodies, percent), "near-links")
+    parts, parts_path = connected(links)
+    placed = members.join(parts.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # A key whose members are in one component has no more to give.
+    mixed = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
+        F.max_by("component", "size").alias("main"), F.count(F.lit(1)).alias("components"), F.sum("size").alias("rows")
+    )
+    mixed = mixed.where("components > 1").select("key", "main", "rows")
+    placed = join_cells(placed.select("key", "slot", "id", "component"), mixed, ["key"], "rows", total)
+    left = placed.join(asked.select("id", "sig"), "id").join(bodies.select("id", "sketch", "size"), "id").withColumnRenamed("rows", "n")
+    more, more_path = write_stage(verified(across(left, percent), bodies, percent), "near-links")
+    drop_stage(spark, parts_path)
+    paths, schema = [links_path, more_path], links.schema
     parts, parts_path = connected(spark.read.schema(schema).parquet(*paths))
     placed = classes.select("id", "doc_id", "set_a", "set_b", "n").join(parts.withColumnRenamed("v", "id"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))

@@ -135,6 +135,25 @@ def test_pigeonhole_guarantee():
         assert (near_dup.index_keys(a) == near_dup.index_keys(b)).any()
 
 
+@pytest.mark.parametrize("size", [1, 5, 40, 150, 600, 5000])
+def test_sketch_keeps_similar_sets(size):
+    rng = np.random.default_rng(size)
+    kept = 0
+    for _ in range(200):
+        one = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        shared = rng.permutation(one)[: max(1, -(-len(one) * 8 // 9))]
+        extra = rng.integers(0, 1 << 63, max(0, len(shared) * 5 // 4 - len(one))).astype(np.uint64)
+        other = np.unique(np.concatenate([shared, extra]))
+        both = len(np.intersect1d(one, other))
+        if 100 * both >= 80 * (len(one) + len(other) - both):
+            a, b = (np.frombuffer(near_dup.sketch_of(x), np.uint8) for x in (one, other))
+            kept += 1
+            assert near_dup.likely(a, b[None], np.array([len(other)]), len(one), 80)[0]
+    assert kept
+    far = np.frombuffer(near_dup.sketch_of(rng.integers(0, 1 << 63, size).astype(np.uint64)), np.uint8)
+    assert not near_dup.likely(a, far[None], np.array([size]), size, 80)[0]
+
+
 def test_without_near_duplicates(make, odd):
     rows = [*odd, (50, "a b c d e f g h i j"), (51, "A b c d e f g h i j")]
     kept = near_dup.without_near_duplicates(make(rows))
