@@ -20,12 +20,15 @@ line has one of them.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from synthtab.llm.common import drop_stage, free_name, join_cells, write_stage
 
 #: Shorter lines are left alone: one word in five is no copy.
 MIN_WORDS = 6
+#: Words of a line up to which its running sums are kept in an array.
+LONG_LINE = 512
 SPACE = "[\\x20\\x09-\\x0D]+"
 ID = ["id_a", "id_b"]
 
@@ -34,15 +37,25 @@ def words_of(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
 
 
+#: Place of a line as one number: doc_id, line number and 8 digits of its row's hash; a null doc_id comes first.
+NO_DOC = "-9223372036854775809"
+
+
+def place_of() -> Column:
+    doc = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(NO_DOC).cast("decimal(19,0)"))
+    rest = F.col("line_no").cast("long") * 100_000_000 + F.pmod("row_no", F.lit(100_000_000))
+    return (doc * F.lit("1000000000000000000").cast("decimal(19,0)") + rest.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, row_no, line_no, line, words, id_a, id_b`` of every line with enough words; ``row_no`` tells rows with one doc_id apart."""
+    """``doc_id, row_no, line_no, place, words, id_a, id_b`` of every line with enough words; ``row_no`` tells rows with one doc_id apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("words", words_of(F.col("line"))).where(F.size("words") >= min_words)
+    rows = rows.withColumn("words", words_of(F.col("line"))).where(F.size("words") >= min_words).drop("line")
     joined = F.array_join("words", " ")
-    return rows.withColumn("id_a", F.xxhash64(joined)).withColumn("id_b", F.xxhash64(F.lit(7), joined))
+    return rows.withColumns({"place": place_of(), "id_a": F.xxhash64(joined), "id_b": F.xxhash64(F.lit(7), joined)})
 
 
-def half_keys(words: Column) -> Column:
+def half_keys(words: Column) -> list[Column]:
     """The first and the last half of m - 1 words, for m as many words as the line has, and one more."""
     size = F.size(words)
 
@@ -52,45 +65,78 @@ def half_keys(words: Column) -> Column:
         first, last = F.slice(words, F.lit(1), head), F.slice(words, size - tail + 1, tail)
         return [F.xxhash64(F.lit(side), m, F.array_join(part, " ")) for side, part in ((1, first), (2, last))]
 
-    return F.array(*pair(size), *pair(size + 1))
+    return [*pair(size), *pair(size + 1)]
 
 
-def neighbours(lines: DataFrame) -> DataFrame:
-    """``id_a, id_b, other``: the earliest line (its place) within one word of a line, where there is one.
+def term(n: int, word: Column, place: Column) -> Column:
+    """A 34-bit hash of a word at a place: sums of these do not overflow below 2^29 words."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(n), word, place.cast("int")), 30)
+
 
-    ``lines``: ``id_a, id_b, place, words``, one row for each distinct line.
+def variants_of(lines: DataFrame) -> DataFrame:
+    """``variant, k, place``: each line whole (k = -1), and without each of its words.
+
+    A variant is named by two sums over its words and their places, so that
+    all variants of a line come from running sums.  These are kept in an array
+    up to ``LONG_LINE`` words, where its copies cost little, and in a window
+    over the words beyond, in linear time.
     """
     size = F.size("words")
-    word = lines.select(*ID, "place", size.alias("size"), F.posexplode("words").alias("k", "w"))
-    # A variant is named by sums over its words and their places, so all variants of a line cost one running sum.
-    # 34-bit terms in two sums: no overflow below 2^29 words.
-    sums = []
-    for n in (1, 2):
-        word = word.withColumn(f"own{n}", F.shiftrightunsigned(F.xxhash64(F.lit(n), "w", "k"), 30))
-        word = word.withColumn(f"moved{n}", F.shiftrightunsigned(F.xxhash64(F.lit(n), "w", F.col("k") - 1), 30))
-        sums += [f"own{n}", f"moved{n}"]
-    before = "OVER (PARTITION BY id_a, id_b ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    whole = "OVER (PARTITION BY id_a, id_b ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    word = word.select("*", *(F.expr(f"coalesce(sum({c}) {before}, 0L)").alias(f"{c}_before") for c in sums), *(F.expr(f"sum({c}) {whole}").alias(f"{c}_all") for c in sums))
-    left_out = [F.col(f"own{n}_before") + F.col(f"moved{n}_all") - F.col(f"moved{n}_before") - F.col(f"moved{n}") for n in (1, 2)]
-    variants = word.select(*ID, "place", (F.col("size") - 1).alias("length"), F.col("k"), left_out[0].alias("v1"), left_out[1].alias("v2"))
-    wholes = word.where("k = 0").select(*ID, "place", F.col("size").alias("length"), F.lit(-1).alias("k"), F.col("own1_all").alias("v1"), F.col("own2_all").alias("v2"))
-    variants = variants.unionByName(wholes)
-    key = ["length", "v1", "v2"]
-    # Only an earlier neighbour counts, so each group needs its earliest member alone.
-    same_place, shorter, one_whole = (
-        rows.groupBy(*k).agg(F.min("place").alias("other"), F.count(F.lit(1)).alias("n"))
-        for rows, k in ((variants.where("k >= 0"), [*key, "k"]), (variants.where("k >= 0"), key), (variants.where("k < 0"), key))
-    )
-    total = lines.agg(F.sum(size)).first()[0] or 0
-    names = [*ID, "place", "other"]
-    replaced = join_cells(variants.where("k >= 0"), same_place.where("n > 1"), [*key, "k"], "n", total)
-    put_in = join_cells(variants.where("k < 0"), shorter, key, "n", total)
-    left = join_cells(variants.where("k >= 0"), one_whole, key, "n", total)
-    found = replaced.select(*names).unionByName(put_in.select(*names)).unionByName(left.select(*names))
-    found = found.where("other < place").groupBy(*ID).agg(F.min("other").alias("other"))
-    pairs = found.join(lines.select(*ID, F.col("words").alias("one")), ID).join(lines.select(F.col("place").alias("other"), F.col("words").alias("two")), "other")
-    return pairs.where(within_one_word(F.col("one"), F.col("two"))).select(*ID, "other")
+    short = lines.where(size <= LONG_LINE)
+
+    def terms_of(n: int, moved: int) -> Column:
+        return F.transform("words", lambda w, i: term(n, w, i - moved))
+
+    terms = [terms_of(n, moved) for n in (1, 2) for moved in (0, 1)]
+    own1, moved1, own2, moved2 = (F.col(c) for c in ("own1", "moved1", "own2", "moved2"))
+    short = short.select("place", size.alias("size"), *(t.alias(c) for t, c in zip(terms, ("own1", "moved1", "own2", "moved2"))))
+    zero = F.lit(0).cast("long")
+    whole = [F.aggregate(x, zero, lambda s, v: s + v).alias(c) for x, c in ((own1, "o1"), (moved1, "m1"), (own2, "o2"), (moved2, "m2"))]
+    short = short.select("place", "size", F.arrays_zip("own1", "moved1", "own2", "moved2").alias("z"), *whole)
+    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    start = F.struct(F.col("m1").alias("a"), F.col("m2").alias("b"), empty.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        # What stands before the word keeps its place, what stands behind it moves up.
+        left = F.struct((s["a"] - x["moved1"]).alias("a"), (s["b"] - x["moved2"]).alias("b"))
+        return F.struct((left["a"] + x["own1"]).alias("a"), (left["b"] + x["own2"]).alias("b"), F.array_append(s["out"], left).alias("out"))
+
+    out = F.aggregate("z", start, step, lambda s: s["out"])
+    one = F.struct(F.col("o1").alias("a"), F.col("o2").alias("b"))
+    short = short.select("place", "size", one.alias("one"), F.posexplode(out).alias("k", "v"))
+    # The whole line comes along with its first variant.
+    rows = F.when(F.col("k") == 0, F.array(F.struct(F.lit(-1).alias("k"), F.col("one").alias("v")), F.struct("k", "v"))).otherwise(F.array(F.struct("k", "v")))
+    short = short.select("place", "size", F.explode(rows).alias("r")).select("place", "size", "r.k", "r.v.a", "r.v.b")
+    word = lines.where(size > LONG_LINE).select("place", size.alias("size"), F.posexplode("words").alias("k", "w"))
+    before = W.partitionBy("place").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("place").orderBy("k").rowsBetween(1, W.unboundedFollowing)
+    sums = {c: F.coalesce(F.sum(term(n, F.col("w"), F.col("k"))).over(before), zero) + F.coalesce(F.sum(term(n, F.col("w"), F.col("k") - 1)).over(after), zero) for n, c in ((1, "a"), (2, "b"))}
+    long = word.select("place", "size", "k", *(v.alias(c) for c, v in sums.items()))
+    total = word.groupBy("place", "size").agg(*(F.sum(term(n, F.col("w"), F.col("k"))).alias(c) for n, c in ((1, "a"), (2, "b"))))
+    long = long.unionByName(total.select("place", "size", F.lit(-1).alias("k"), "a", "b"))
+    length = F.col("size") - F.when(F.col("k") < 0, 0).otherwise(1)
+    return short.unionByName(long).select(F.xxhash64(length, "a", "b").alias("variant"), "k", "place")
+
+
+def neighbours(lines: DataFrame) -> DataFrame:
+    """``place, other``: the earliest line within one word of a line and before it, where there is one.
+
+    ``lines``: ``place, words``, one row for each distinct line.
+    """
+    rows = variants_of(lines)
+    cells = rows.groupBy("variant", "k").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
+    same = W.partitionBy("variant")  # as many rows as a line has words
+    whole, cut = (F.min(F.when(c, F.col("first"))).over(same) for c in (F.col("k") < 0, F.col("k") >= 0))
+    # A whole line meets lines with one word more; a variant meets those with the same word left out, and the whole line.
+    other = F.when(F.col("k") < 0, cut).otherwise(F.least("first", whole))
+    cells = cells.withColumn("other", other).where("other < last").select("variant", "k", "other", "n")
+    cells, path = write_stage(cells, "line-cells")
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    found = join_cells(rows, cells, ["variant", "k"], "n", total).where("other < place")
+    found = found.groupBy("place").agg(F.min("other").alias("other"))
+    two = lines.select(F.col("place").alias("other"), F.col("words").alias("two"))
+    pairs = found.join(lines.select("place", F.col("words").alias("one")), "place").join(two, "other")
+    return pairs.where(within_one_word(F.col("one"), F.col("two"))).select("place", "other")
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -115,32 +161,37 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     spark = docs.sparkSession
     lines = lines_of(docs, min_words)
-    place = F.struct("doc_id", "row_no", "line_no")
-    slim = lines.select("doc_id", "row_no", "line_no", *ID, half_keys(F.col("words")).alias("halves"))
-    distinct = slim.groupBy(*ID).agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
-    distinct, distinct_path = write_stage(distinct, "lines")
-    halves = distinct.select(*ID, F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    total = distinct.count()
-    asked = join_cells(halves, shared, ["half"], "n", 4 * total).select(*ID).distinct()
-    asked, asked_path = write_stage(distinct.select(*ID, "place").join(asked, ID, "left_semi"), "lines-asked")
+    halves = [h.alias(f"half{i}") for i, h in enumerate(half_keys(F.col("words")))]
+    lines, lines_path = write_stage(lines.select("doc_id", "row_no", "line_no", "place", *ID, *halves), "lines")
+    names = [f"half{i}" for i in range(len(halves))]
+    # The halves follow from the words, so any of a line's rows has them.
+    distinct = lines.groupBy(*ID).agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *(F.min(h).alias(h) for h in names))
+    distinct, distinct_path = write_stage(distinct, "lines-distinct")
+    half = distinct.select("id_a", F.explode(F.array(*names)).alias("half"))
+    shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared, shared_path = write_stage(shared, "lines-halves")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    asked = join_cells(half, shared, ["half"], "n", total).select("id_a").distinct()
+    asked = distinct.join(asked, "id_a", "left_semi").select("place")
     # The words of those lines, from the document where each comes first.
-    wanted = asked.select(F.col("place.doc_id").alias("doc_id"), F.col("place.row_no").alias("row_no"), F.col("place.line_no").alias("line_no"), *ID, "place")
-    by_doc = wanted.groupBy("doc_id", "row_no").agg(F.collect_list(F.struct("line_no", *ID, "place")).alias("wanted"))
+    wanted = lines.join(asked, "place", "left_semi").groupBy("doc_id", "row_no").agg(F.collect_set(F.struct("line_no", "place")).alias("wanted"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_no"), "text")
-    near = rows.join(by_doc, rows["doc_id"].eqNullSafe(by_doc["doc_id"]) & (rows["row_no"] == by_doc["row_no"]))
-    near = near.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    near = near.select("w.id_a", "w.id_b", "w.place", words_of(F.get("lines", F.col("w.line_no"))).alias("words"))
-    near, near_path = write_stage(near.dropDuplicates(ID), "lines-near")
+    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row_no"] == wanted["row_no"])
+    near = rows.join(wanted.hint("merge"), same).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    near = near.select("w.place", words_of(F.get("lines", F.col("w.line_no"))).alias("words")).dropDuplicates(["place"])
+    near, near_path = write_stage(near, "lines-near")
     found, found_path = write_stage(neighbours(near), "lines-found")
-    told = distinct.select(*ID, "place", "n").join(found, ID, "left").where("n > 1 or other is not null")
-    told, told_path = write_stage(told, "lines-told")
+    told = distinct.select(*ID, "place", "n").join(found, "place", "left").where("n > 1 or other is not null")
+    told, told_path = write_stage(told.select(*ID, F.col("place").alias("first"), "other", "n"), "lines-told")
     total = told.agg(F.sum("n")).first()[0] or 0
-    met = join_cells(lines.select("doc_id", "row_no", "line_no", *ID), told, ID, "n", total)
-    again = F.struct("doc_id", "row_no", "line_no") != F.col("place")
-    out = met.where(again | F.col("other").isNotNull()).withColumn("of", F.least("place", F.coalesce("other", "place")))
-    out = out.select("doc_id", "row_no", "line_no", F.col("of.doc_id").alias("of_doc"), F.col("of.line_no").alias("of_line"), F.col("other").isNotNull().alias("near"))
-    drop_stage(spark, distinct_path, asked_path, near_path, found_path)
+    met = join_cells(lines.select("doc_id", "row_no", "line_no", "place", *ID), told, ID, "n", total)
+    of = F.coalesce(F.least("other", "first"), F.col("first"))
+    met = met.where("place <> first or other is not null").withColumn("of", of)
+    doc = F.floor(F.col("of") / F.lit("1000000000000000000").cast("decimal(19,0)")).cast("decimal(20,0)")
+    line = F.floor(F.pmod("of", F.lit("1000000000000000000").cast("decimal(19,0)")) / 100_000_000).cast("int")
+    doc = F.when(doc != F.lit(NO_DOC).cast("decimal(20,0)"), doc).cast("long")
+    out = met.select("doc_id", "row_no", "line_no", doc.alias("of_doc"), line.alias("of_line"), F.col("other").isNotNull().alias("near"))
+    drop_stage(spark, distinct_path, shared_path, near_path, found_path)
     return out
 
 

@@ -186,7 +186,9 @@ def lines_brute(rows, least):
     return dropped
 
 
-def test_repeated_lines(make):
+@pytest.mark.parametrize("long_line", [512, 5])
+def test_repeated_lines(make, monkeypatch, long_line):
+    monkeypatch.setattr(line_dedup, "LONG_LINE", long_line)
     rng = random.Random(6)
     pool = [sentence(rng, rng.randint(3, 14)) for _ in range(60)]
     pool += ["the the the the the the the", "the the the the the the", "the the the a the the the", "Ä b c d e f", "ä b c d e f", "b c d e f g h\tx"]
