@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthtab.llm.common import slices, texts
+from synthtab.llm.common import free_name, slices, texts
 from synthtab.llm.shingles import constants, mix, word_hashes
 
 SLICE = 4 << 20
@@ -79,18 +79,21 @@ def sample_keys(strings: np.ndarray) -> Iterator[np.ndarray]:
             yield mix(sum(embedded[:, p] * f for p, f in zip(places.astype(np.int64), factor)))
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two word arrays, or ``most + 1``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = np.arange(len(b) + 1)
-    step = np.arange(len(b) + 1)
-    for i, word in enumerate(a.tolist(), 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (b != np.uint64(word)))
-        row = np.minimum.accumulate(np.append(i, new) - step) + step
-        if row.min() > most:
-            return most + 1
-    return int(min(row[-1], most + 1))
+def last_row(item: np.ndarray, text: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Edit distances of ``item`` to the parts of ``text`` that end at each place; ``row``: the cost of beginning there."""
+    step = np.arange(len(text) + 1)
+    for i, word in enumerate(item.tolist(), 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (text != np.uint64(word)))
+        row = np.minimum.accumulate(np.append(row[0] + 1, new) - step) + step
+    return row
+
+
+def closest(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """The least edit distance of ``item`` to a part of ``text``, and where that part begins."""
+    ends = last_row(item, text, np.zeros(len(text) + 1, np.int64))
+    end = int(ends.argmin())
+    back = last_row(item[::-1], text[:end][::-1], np.arange(end + 1))
+    return int(ends[end]), end - int(back.argmin())
 
 
 class Items:
@@ -151,29 +154,29 @@ class Items:
             keep = size >= n - n // WORDS_PER_EDIT
             start, doc, size = start[keep], doc[keep], size[keep]
             for part in range(0, len(start), 20_000):
-                self._windows(hashes, n, start[part : part + 20_000], doc[part : part + 20_000], size[part : part + 20_000], last, best)
+                self._windows(hashes, n, start[part : part + 20_000], doc[part : part + 20_000], size[part : part + 20_000], first, last, best)
         return best
 
-    def _windows(self, hashes, n, start, doc, size, last, best) -> None:
+    def _windows(self, hashes, n, start, doc, size, first, last, best) -> None:
         place = start[:, None] + np.arange(n)
         inside = np.arange(n) < size[:, None]
         strings = np.where(inside, hashes[np.minimum(place, len(hashes) - 1)], np.uint64(0))
-        asked = set()
+        asked: dict[tuple[int, int], set[int]] = defaultdict(set)
         for table, keys in zip(self.tables[n], sample_keys(strings)):
             known = np.flatnonzero(np.isin(keys, np.fromiter(table, np.uint64, len(table))))
             for k in known.tolist():
-                asked.update((k, i) for i in table[int(keys[k])])
+                for i in table[int(keys[k])]:
+                    asked[int(doc[k]), i].add(int(start[k]))
         most = n // WORDS_PER_EDIT
-        for k, i in sorted(asked):
-            text, begin = int(doc[k]), int(start[k])
-            pair = (text, i)
-            if best.get(pair, (most + 1,))[0] == 0:
-                continue
-            # The passage may be longer or shorter than the item by the edits.
-            stop = int(last[text])
-            edits = min(edit_distance(self.words[i], hashes[begin : min(stop, begin + m)], most) for m in range(n - most, n + most + 1))
-            if edits <= most and (edits, begin) < best.get(pair, (most + 1, 0)):
-                best[pair] = (edits, begin)
+        for pair, begins in asked.items():
+            # Windows that overlap are confirmed together: the item against all that they cover, and the edits more.
+            begins = np.array(sorted(begins))
+            text_first, text_last = first[pair[0]], last[pair[0]]
+            for group in np.split(begins, np.flatnonzero(np.diff(begins) > n) + 1):
+                low, high = max(text_first, group[0] - most), min(text_last, group[-1] + n + most)
+                edits, begin = closest(self.words[pair[1]], hashes[low:high])
+                if edits <= most:
+                    best[pair] = min(best.get(pair, (most + 1, 0)), (edits, int(low) + begin))
 
 
 def item_blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -208,8 +211,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_B
 def keep_clean(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``docs`` without documents that hold an item; null ids, which no pair can name, are judged as id -1."""
     found = contaminated(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))), benchmark, item_bytes)
-    gone = found.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("gone"), "left_anti")
+    gone = free_name(docs, "gone")
+    ids = found.select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col(gone), "left_anti")
 
 
 FOUND = "doc_id long, item_id long, edits int, first_word long, n_words int"
