@@ -28,13 +28,16 @@ from synthtab.llm.common import drop_stage, free_name, join_cells, write_stage
 #: Shorter lines are left alone: one word in five is no copy.
 MIN_WORDS = 6
 #: Words of a line up to which its running sums are kept in an array.
-LONG_LINE = 512
-SPACE = "[\\x20\\x09-\\x0D]+"
+LONG_LINE = 4096
 ID = ["id_a", "id_b"]
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
+    # One blank is no regular expression, and few lines have other white space.
+    others = "\t\x0b\x0c\r"
+    some = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r"))
+    blank = F.when(some, F.translate(line, others, "    ")).otherwise(line)
+    return F.filter(F.split(F.lower(blank), " "), lambda w: w != "")
 
 
 #: Place of a line as one number: doc_id, line number and 8 digits of its row's hash; a null doc_id comes first.
@@ -172,16 +175,17 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared, shared_path = write_stage(shared, "lines-halves")
     total = shared.agg(F.sum("n")).first()[0] or 0
     asked = join_cells(half, shared, ["half"], "n", total).select("id_a").distinct()
-    asked = distinct.join(asked, "id_a", "left_semi").select("place")
+    asked = distinct.join(asked.hint("merge"), "id_a", "left_semi").select("place")
     # The words of those lines, from the document where each comes first.
-    wanted = lines.join(asked, "place", "left_semi").groupBy("doc_id", "row_no").agg(F.collect_set(F.struct("line_no", "place")).alias("wanted"))
+    # Shuffles at any size: what is small here is not where texts are many.
+    wanted = lines.join(asked.hint("merge"), "place", "left_semi").groupBy("doc_id", "row_no").agg(F.collect_set(F.struct("line_no", "place")).alias("wanted"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_no"), "text")
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row_no"] == wanted["row_no"])
     near = rows.join(wanted.hint("merge"), same).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     near = near.select("w.place", words_of(F.get("lines", F.col("w.line_no"))).alias("words")).dropDuplicates(["place"])
     near, near_path = write_stage(near, "lines-near")
     found, found_path = write_stage(neighbours(near), "lines-found")
-    told = distinct.select(*ID, "place", "n").join(found, "place", "left").where("n > 1 or other is not null")
+    told = distinct.select(*ID, "place", "n").join(found.hint("merge"), "place", "left").where("n > 1 or other is not null")
     told, told_path = write_stage(told.select(*ID, F.col("place").alias("first"), "other", "n"), "lines-told")
     total = told.agg(F.sum("n")).first()[0] or 0
     met = join_cells(lines.select("doc_id", "row_no", "line_no", "place", *ID), told, ID, "n", total)
