@@ -30,7 +30,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier ones; a document with no other line goes."""
     ship(spark)
-    return line_dedup.without_repeated_lines(docs)
+    return line_dedup.without_repeated_lines(docs, exact_words=line_dedup.ANY_LINE)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

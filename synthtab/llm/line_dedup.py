@@ -9,7 +9,8 @@ word left out are its variants; equal variants join:
 
 Variants are joined as groups with their earliest member, never as pairs.  A
 line whose earliest neighbour comes before it is dropped, as is every repeated
-line but the first.
+line but the first.  One word in five is no copy, so lines of few words have no
+neighbours; where they are equal (``exact_words``) they repeat all the same.
 
 Before that, lines that cannot have a neighbour are set aside: two lines with
 at most m words that differ by one word share the first half or the last half
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 
 from synthtab.llm.common import drop_stage, free_name, join_cells, write_stage
 
-#: Shorter lines are left alone: one word in five is no copy.
+#: Shorter lines have no neighbours: one word in five is no copy.
 MIN_WORDS = 6
+#: Lines of any length but empty ones, for ``exact_words``.
+ANY_LINE = 1
 #: Words of a line up to which its running sums are kept in an array.
 LONG_LINE = 4096
 ID = ["id_a", "id_b"]
@@ -154,23 +157,26 @@ def within_one_word(a: Column, b: Column) -> Column:
     return equal_start(a, b) + equal_start(F.reverse(a), F.reverse(b)) >= most - 1
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """``doc_id, row_no, line_no, of_doc, of_line, near``: every line to drop, and the earliest line it repeats.
 
     Lines are ordered by doc_id (null first), a hash of the text, and number.
-    Lines of fewer than ``min_words`` words, empty lines and null texts are
-    never dropped; repeated rows repeat each other's lines, and as they are
+    Lines of ``exact_words`` words or more (``min_words`` where not given) are
+    dropped if equal to an earlier one, lines of ``min_words`` or more also if
+    within one word of an earlier one of as many.  Empty lines and null texts
+    are never dropped; repeated rows repeat each other's lines, and as they are
     alike in every column read, both keep the same.
     """
     spark = docs.sparkSession
-    lines = lines_of(docs, min_words)
-    halves = [h.alias(f"half{i}") for i, h in enumerate(half_keys(F.col("words")))]
+    lines = lines_of(docs, min_words if exact_words is None else max(ANY_LINE, min(exact_words, min_words)))
+    enough = F.size("words") >= min_words
+    halves = [F.when(enough, h).alias(f"half{i}") for i, h in enumerate(half_keys(F.col("words")))]
     lines, lines_path = write_stage(lines.select("doc_id", "row_no", "line_no", "place", *ID, *halves), "lines")
     names = [f"half{i}" for i in range(len(halves))]
     # The halves follow from the words, so any of a line's rows has them.
     distinct = lines.groupBy(*ID).agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *(F.min(h).alias(h) for h in names))
     distinct, distinct_path = write_stage(distinct, "lines-distinct")
-    half = distinct.select("id_a", F.explode(F.array(*names)).alias("half"))
+    half = distinct.where(F.col(names[0]).isNotNull()).select("id_a", F.explode(F.array(*names)).alias("half"))
     shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared, shared_path = write_stage(shared, "lines-halves")
     total = shared.agg(F.sum("n")).first()[0] or 0
@@ -199,21 +205,21 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out
 
 
-def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_report(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """``doc_id, n_dropped, dropped, of_docs`` of every document that loses lines: their numbers, and where they stand first."""
-    dropped = repeated_lines(docs, min_words)
+    dropped = repeated_lines(docs, min_words, exact_words)
     grouped = dropped.groupBy("doc_id", "row_no").agg(F.array_sort(F.collect_set(F.struct("line_no", "of_doc"))).alias("lines"))
     return grouped.select("doc_id", F.size("lines").alias("n_dropped"), F.col("lines.line_no").alias("dropped"), F.array_sort(F.array_distinct("lines.of_doc")).alias("of_docs"))
 
 
-def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines cut from ``text``; a document of nothing but repeated lines is dropped.
 
     All columns stay, ``n_chars`` (where there is one) follows the text.
     Documents that lose nothing are unchanged, null and empty texts included.
     """
     of_doc, of_row, gone, own = (free_name(docs, x) for x in ("gone_doc", "gone_row", "gone", "gone_text"))
-    dropped = repeated_lines(docs, min_words).groupBy("doc_id", "row_no").agg(F.collect_set("line_no").alias(gone))
+    dropped = repeated_lines(docs, min_words, exact_words).groupBy("doc_id", "row_no").agg(F.collect_set("line_no").alias(gone))
     dropped = dropped.select(F.col("doc_id").alias(of_doc), F.col("row_no").alias(of_row), gone)
     rows = docs.withColumn(own, F.xxhash64("text"))
     met = rows.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col(of_doc)) & (F.col(own) == F.col(of_row)), "left")

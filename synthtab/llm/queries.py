@@ -41,7 +41,7 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.line_report(table(spark, folder, "documents"))
+    return line_dedup.line_report(table(spark, folder, "documents"), exact_words=line_dedup.ANY_LINE)
 
 
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -232,6 +232,33 @@ def test_line_dedup_of_odd_documents(make, odd):
     assert next(r["text"] for r in kept if r["doc_id"] == 15).count("\n") == 0
 
 
+def test_short_lines_that_are_equal(make):
+    """Below ``min_words`` equal lines go, lines one word apart stay; exact copies go whole, whatever their lines."""
+    unspaced = "日本語の文章はここで終わる。"
+    body = f"a line of seven words in all\nAll rights reserved.\n{unspaced}"
+    rows = [
+        (1, body), (2, body), (3, "all  rights RESERVED.\nnew"), (4, "all rights waived.\nold"), (5, f"{unspaced}\nown words"),
+        (6, "own\nown\n\nend"), (7, "one two three four five"), (8, "one two three four five six"), (9, None), (10, ""), (11, "\n"),
+        *((100 + i, f"the end\nown line {i}") for i in range(60)),
+    ]
+    found = {(r["doc_id"], r["line_no"]): (r["of_doc"], r["of_line"], r["near"]) for r in line_dedup.repeated_lines(make(rows), exact_words=line_dedup.ANY_LINE).collect()}
+    short = {(3, 0): (1, 1, False), (5, 0): (1, 2, False), (6, 1): (6, 0, False)} | {(100 + i, 0): (100, 0, False) for i in range(1, 60)}
+    assert found == {(2, n): (1, n, False) for n in range(3)} | short
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(make(rows), exact_words=line_dedup.ANY_LINE).collect()}
+    assert 2 not in kept and kept[1] == body and kept[3] == "new" and kept[5] == "own words" and kept[6] == "own\n\nend"
+    assert kept[9] is None and kept[10] == "" and kept[11] == "\n"
+
+
+def test_registered_line_dedup_takes_short_lines(spark, make, tmp_path):
+    from synthtab.llm.queries import op3_line_dedup
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = make([(1, "all rights reserved.\nmine"), (2, "all rights reserved.\nyours")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r["doc_id"], r["dropped"]) for r in op3_line_dedup(spark, str(tmp_path)).collect()] == [(2, [0])]
+    assert {r["doc_id"]: r["text"] for r in pipeline.line_stage(spark, docs, str(tmp_path)).collect()} == {1: "all rights reserved.\nmine", 2: "yours"}
+
+
 def test_no_python_in_the_line_plan(make, odd):
     plan = line_dedup.repeated_lines(make(odd))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
