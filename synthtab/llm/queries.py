@@ -37,7 +37,7 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return substring_dedup.span_report(table(spark, folder, "documents"))
+    return substring_dedup.span_report(table(spark, folder, "documents"), extend=True)
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,12 +3,14 @@
 The gear hash of a byte depends on the 16 bytes up to it, and a chunk ends
 where it is small enough, so cuts move with the text: an insertion changes the
 chunks around it and no others.  The first place of a digest (lowest doc_id,
-then place) stays; chunks that repeat it are joined to spans, and spans of at
-least ``min_bytes`` are reported, so a lone short chunk is never a passage.
+then place) stays; chunks that repeat it are seeds, which are extended byte by
+byte against the text at that place, and spans of at least ``min_bytes`` are
+reported, so a lone short chunk is never a passage.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from synthtab.llm.common import drop_stage, free_name, join_cells, slices, texts, write_stage
+from synthtab.llm.common import HOT_PARTS, drop_stage, free_name, join_cells, slices, texts, write_stage
 from synthtab.llm.shingles import constants
 
 SLICE = 4 << 20
@@ -27,6 +29,11 @@ AVERAGE = 40
 #: A chunk ends here at the latest.
 LONGEST = 4096
 MIN_BYTES = 80
+#: Bytes compared on each side of a seed at first; later windows are 16 times as long.
+WINDOW = 64
+#: Bytes in which a span's end looks for the end of a word.
+BACK = 32
+THREAD = ["doc_id", "row_no", "start", "stop", "of_doc", "of_row", "of_start", "of_stop", "size", "seed", "strong", "left_open", "right_open"]
 GEAR = (constants(256, 503) >> np.uint64(40)).astype(np.uint16)
 DIGEST = ["digest_a", "digest_b"]
 
@@ -80,12 +87,106 @@ def chunks(docs: DataFrame, average: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_no long, start long, size long, digest_a long, digest_b long")
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, average: int = AVERAGE) -> DataFrame:
+def with_windows(threads: DataFrame, docs: DataFrame, own: bool, width: int, back: int) -> tuple[DataFrame, str]:
+    """``threads`` with the bytes of their document (``own``) or of its first place before and behind them, on open sides; staged."""
+    doc, row, begin, end, left, right = ("doc_id", "row_no", "start", "stop", "own_left", "own_right") if own else ("of_doc", "of_row", "of_start", "of_stop", "of_left", "of_right")
+    # A null doc_id is a name too.
+    named = threads.withColumns({"name": F.coalesce(F.col(doc).cast("string"), F.lit("")), "row": F.col(row)})
+    bodies = texts(docs, F.xxhash64("text").alias("row")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), "row", F.col("text").alias("body"))
+    keys = ["name", "row"]
+    counts = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts, path = write_stage(counts, "thread-sources")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # The first place of a common passage is asked for by very many threads.
+    hot = F.broadcast(counts.where(F.col("n") > max(1000, total // HOT_PARTS)).select(*keys))
+    few = F.broadcast(bodies.join(hot, keys))
+    met = named.join(few, keys).unionByName(named.join(hot, keys, "left_anti").join(bodies.hint("merge"), keys))
+    low = F.greatest(F.col(begin) - width, F.lit(0))
+    before = F.substr("body", (low + 1).cast("int"), (F.col(begin) + back - low).cast("int"))
+    behind = F.substr("body", (F.col(end) - back + 1).cast("int"), F.lit(width + back))
+    empty = F.lit(b"")
+    met = met.withColumns({left: F.when(F.col("left_open"), before).otherwise(empty), right: F.when(F.col("right_open"), behind).otherwise(empty)})
+    met, kept = write_stage(met.drop("body", *keys).dropDuplicates(["doc_id", "row_no", "seed"]), "thread-windows")
+    drop_stage(met.sparkSession, path)
+    return met, kept
+
+
+CHAR = rb"(?:[0-9A-Za-z]|[\xc3-\xdf][\x80-\xbf])"
+FIRST, LAST = re.compile(rb"\A" + CHAR), re.compile(CHAR + rb"\Z")
+FIRST_WORD, LAST_WORD = re.compile(rb"\A" + CHAR + rb"+"), re.compile(CHAR + rb"+\Z")
+
+
+def equal_start(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    other = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (other.bit_length() + 7) // 8
+
+
+def equal_end(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    other = int.from_bytes(a[len(a) - n :], "little") ^ int.from_bytes(b[len(b) - n :], "little")
+    return n - (other.bit_length() + 7) // 8
+
+
+def behind(own: bytes, of: bytes, whole: int) -> tuple[int, int, bool]:
+    """Bytes that are equal from the start, those up to a whole word's end, and whether more may be equal behind ``whole`` bytes."""
+    n = equal_start(own, of)
+    if n == whole:
+        return n, n, True
+    end = n
+    while end and own[end : end + 1] and own[end] & 0xC0 == 0x80:
+        end -= 1
+    if FIRST.match(own[end:]) or FIRST.match(of[end:]):
+        word = LAST_WORD.search(own[max(0, end - BACK) : end])
+        end -= len(word.group()) if word else 0
+    return n, end, False
+
+
+def before(own: bytes, of: bytes, whole: int) -> tuple[int, int, bool]:
+    """The same from the end backwards."""
+    n = equal_end(own, of)
+    if n == whole:
+        return n, n, True
+    start = n
+    while start and own[len(own) - start] & 0xC0 == 0x80:
+        start -= 1
+    at, of_at = len(own) - start, len(of) - start
+    if LAST.search(own[max(0, at - 2) : at]) or LAST.search(of[max(0, of_at - 2) : of_at]):
+        word = FIRST_WORD.match(own[at : at + min(start, BACK)])
+        start -= len(word.group()) if word else 0
+    return n, start, False
+
+
+def extended(threads: DataFrame, width: int, back: int) -> DataFrame:
+    """Threads made longer by the equal bytes of their windows; ``size`` counts these all, ``start`` and ``stop`` keep to whole words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                if r["left_open"]:
+                    n, kept, r["left_open"] = before(r["own_left"], r["of_left"], width + back)
+                    r["start"], r["of_start"], r["size"] = r["start"] + back - kept, r["of_start"] + back - kept, r["size"] + n - back
+                if r["right_open"]:
+                    n, kept, r["right_open"] = behind(r["own_right"], r["of_right"], width + back)
+                    r["stop"], r["of_stop"], r["size"] = r["stop"] - back + kept, r["of_stop"] - back + kept, r["size"] + n - back
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], batch.schema.field(c).type) for c in THREAD})
+
+    return threads.mapInArrow(run, ", ".join(f"{c} {threads.schema[c].dataType.simpleString()}" for c in THREAD))
+
+
+def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, average: int = AVERAGE, extend: bool = False) -> DataFrame:
     """``doc_id, row_no, start, stop, of_docs``: byte spans (UTF-8) that repeat earlier text, and where that stands.
 
     Order is doc_id (null first), a hash of the text, and place, so a passage
     repeated within a document counts too.  Null and empty texts have no
     spans; rows alike in doc_id and text are one document.
+
+    A thread is a run of chunks whose first places follow one another as well.
+    With ``extend`` it is compared byte by byte with the text around its first place, in
+    windows that grow; beyond the first window only where nothing that is
+    already found goes on.  A thread is reported if it has ``min_bytes`` equal
+    bytes, or if it is one of adjoining chunks of as many.
     """
     spark = docs.sparkSession
     pieces = chunks(docs, average)
@@ -94,29 +195,61 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, average: int = A
     cells, cells_path = write_stage(cells, "chunk-cells")
     total = cells.agg(F.sum("n")).first()[0] or 0
     again = join_cells(pieces, cells, DIGEST, "n", total).where(F.col("first") < place)
-    again = again.select("doc_id", "row_no", "start", (F.col("start") + F.col("size")).alias("stop"), F.col("first.doc_id").alias("of_doc"))
-    again, again_path = write_stage(again.distinct(), "chunks-again")
-    drop_stage(spark, cells_path)
+    again = again.select(
+        "doc_id", "row_no", "start", (F.col("start") + F.col("size")).alias("stop"),
+        F.col("first.doc_id").alias("of_doc"), F.col("first.row_no").alias("of_row"), F.col("first.start").alias("of_start"),
+    ).distinct()
     in_doc = W.partitionBy("doc_id", "row_no").orderBy("start")
-    opens = (F.coalesce(F.lag("stop").over(in_doc), F.lit(-1)) < F.col("start")).cast("long")
-    runs = again.withColumn("opens", opens).withColumn("run", F.sum("opens").over(in_doc.rowsBetween(W.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "row_no", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_set("of_doc")).alias("of_docs"))
-    return spans.where(F.col("stop") - F.col("start") >= min_bytes).drop("run")
+    so_far = in_doc.rowsBetween(W.unboundedPreceding, 0)
+    opens = F.coalesce(F.lag("stop").over(in_doc) < F.col("start"), F.lit(True))
+    follows = F.lag("of_doc").over(in_doc).eqNullSafe(F.col("of_doc")) & (F.lag("of_row").over(in_doc) == F.col("of_row"))
+    follows = follows & (F.lag(F.col("start") - F.col("of_start")).over(in_doc) == F.col("start") - F.col("of_start"))
+    runs = again.withColumns({"opens": opens.cast("long"), "parts": (opens | ~F.coalesce(follows, F.lit(False))).cast("long")})
+    runs = runs.withColumns({"run": F.sum("opens").over(so_far), "thread": F.sum("parts").over(so_far)})
+    runs = runs.withColumn("whole", F.sum(F.col("stop") - F.col("start")).over(W.partitionBy("doc_id", "row_no", "run")))
+    threads = runs.groupBy("doc_id", "row_no", "run", "thread").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("of_doc").alias("of_doc"), F.first("of_row").alias("of_row"),
+        F.min("of_start").alias("of_start"), F.max("whole").alias("whole"),
+    )
+    size = F.col("stop") - F.col("start")
+    new = {"of_stop": F.col("of_start") + size, "size": size, "seed": F.col("start"), "strong": F.col("whole") >= min_bytes, "left_open": F.lit(extend), "right_open": F.lit(extend)}
+    state, state_path = write_stage(threads.withColumns(new).select(*THREAD), "threads")
+    drop_stage(spark, cells_path)
+    asked, rest, width, back = state, None, WINDOW, 0
+    while extend and asked.limit(1).count():
+        found, of_path = with_windows(asked, docs, False, width, back)
+        found, own_path = with_windows(found, docs, True, width, back)
+        found = extended(found, width, back)
+        both = found if rest is None else found.unionByName(rest)
+        # A side goes on where no other thread covers what lies beyond it.
+        low = W.partitionBy("doc_id", "row_no").orderBy("start", "seed").rowsBetween(W.unboundedPreceding, -1)
+        high = W.partitionBy("doc_id", "row_no").orderBy(F.desc("stop"), "seed").rowsBetween(W.unboundedPreceding, -1)
+        covered = F.coalesce(F.max("stop").over(low) >= F.col("start"), F.lit(False)), F.coalesce(F.min("start").over(high) <= F.col("stop"), F.lit(False))
+        both = both.withColumns({"left_open": F.col("left_open") & ~covered[0], "right_open": F.col("right_open") & ~covered[1]})
+        new_state, new_path = write_stage(both, "threads")
+        drop_stage(spark, of_path, own_path, state_path)
+        state, state_path = new_state, new_path
+        asked, rest = state.where("left_open or right_open"), state.where("not (left_open or right_open)")
+        width, back = width * 16, BACK
+    kept = state.where(F.col("strong") | (F.col("size") >= min_bytes))
+    reach = F.max("stop").over(in_doc.rowsBetween(W.unboundedPreceding, -1))
+    merged = kept.withColumn("opens", F.coalesce(reach < F.col("start"), F.lit(True)).cast("long")).withColumn("run", F.sum("opens").over(so_far))
+    return merged.groupBy("doc_id", "row_no", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_set("of_doc")).alias("of_docs")).drop("run")
 
 
-def span_report(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def span_report(docs: DataFrame, min_bytes: int = MIN_BYTES, extend: bool = False) -> DataFrame:
     """``doc_id, dup_bytes, spans, of_docs`` of every document with repeated passages."""
-    spans = repeated_spans(docs, min_bytes)
+    spans = repeated_spans(docs, min_bytes, extend=extend)
     grouped = spans.groupBy("doc_id", "row_no").agg(
         F.sum(F.col("stop") - F.col("start")).alias("dup_bytes"), F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.flatten(F.collect_list("of_docs")).alias("of_docs")
     )
     return grouped.select("doc_id", "dup_bytes", "spans", F.array_sort(F.array_distinct("of_docs")).alias("of_docs"))
 
 
-def without_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def without_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, extend: bool = False) -> DataFrame:
     """``docs`` with the repeated spans cut from ``text``; all rows and columns stay."""
     of_doc, of_row, gone, own = (free_name(docs, x) for x in ("gone_doc", "gone_row", "gone", "gone_text"))
-    spans = repeated_spans(docs, min_bytes).groupBy("doc_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(gone))
+    spans = repeated_spans(docs, min_bytes, extend=extend).groupBy("doc_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(gone))
     spans = spans.select(F.col("doc_id").alias(of_doc), F.col("row_no").alias(of_row), gone)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.withColumn(own, F.xxhash64(body))

@@ -308,3 +308,25 @@ def test_repeated_passages(make, odd):
     texts = {key(r["doc_id"]): r["text"] for r in whole.collect()}
     assert texts[1] is None and texts[2] == "" and texts[7] == "" and texts[8].strip() in odd[7][1]
     assert substring_dedup.span_report(make([])).collect() == []
+
+
+def test_seeds_are_extended_to_the_ends_of_a_passage(make):
+    """Passages of just over 50 words: few are missed, and the spans reach from end to end."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = lambda n: " ".join("".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(n))
+    passages = [words(51) for _ in range(400)]
+    long = [words(600), words(500)]
+    rows = [(i, f"{words(15)} . {p} , {words(15)}") for i, p in enumerate(passages)]
+    rows += [(1000 + i, f"{words(12)} ; {p} : {words(12)}") for i, p in enumerate(passages)]
+    # Parts of these are first elsewhere, so the whole passage is a chain of several sources.
+    rows += [(2000, long[0][1500:1900]), (2001, long[0]), (2002, f"{words(9)} ! {long[0]} ? {words(9)}"), (2003, "a" * 9000), (2004, f"{long[1]} - {long[1]}"), (None, "日本語" * 40), (3000, "x" + "日本語" * 40 + "y")]
+    spans = {(r["doc_id"], r["start"]): r for r in substring_dedup.repeated_spans(make(rows), extend=True).collect()}
+    found = [(i, r) for (d, _), r in spans.items() if d is not None and 1000 <= d < 1400 for i in (d - 1000,)]
+    assert len({i for i, _ in found}) >= 0.985 * len(passages)
+    bodies = dict(rows)
+    exact = [bodies[1000 + i].encode()[r["start"] : r["stop"]].decode().strip() == passages[i] for i, r in found]
+    assert np.mean(exact) >= 0.99
+    one = [r for (d, _), r in spans.items() if d == 2002]
+    assert len(one) == 1 and long[0] in bodies[2002].encode()[one[0]["start"] : one[0]["stop"]].decode()
+    assert not {d for d, _ in spans if d is not None and d < 1000}
