@@ -209,21 +209,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_B
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """``docs`` without documents that hold an item; null ids, which no pair can name, are judged as id -1."""
-    found = contaminated(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))), benchmark, item_bytes)
-    gone = free_name(docs, "gone")
-    ids = found.select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(ids, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col(gone), "left_anti")
+    """Rows of ``docs`` (all columns) without those that hold an item.
+
+    A narrow pass for each block of items: each row is judged by its own text,
+    so null and repeated ids do not matter and nothing is joined back.
+    """
+    for block in item_blocks(benchmark, item_bytes):
+        docs = without_items(docs, block)
+    return docs
+
+
+def without_items(docs: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
+    ids, words = long_enough(block)
+    shared = docs.sparkSession.sparkContext.broadcast((ids, words))  # a block: bounded by its bytes
+    schema, extra = docs.schema, free_name(docs, "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = None
+        for whole in batches:
+            body = whole.append_column(extra, whole.column("text").cast(pa.binary()).fill_null(b""))
+            for batch in slices(body, extra, SLICE):
+                items = items or Items(*shared.value)
+                found = {doc for doc, _ in items.find(*words_of(batch.column(extra).to_pylist()))}
+                keep = [i not in found for i in range(batch.num_rows)]
+                yield batch.select(whole.schema.names).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, schema)
 
 
 FOUND = "doc_id long, item_id long, edits int, first_word long, n_words int"
 
 
-def search(docs: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
+def long_enough(block: list[tuple[int, bytes]]) -> tuple[list[int], list[np.ndarray]]:
+    """Ids and words of the items of ``MIN_WORDS`` words or more."""
     hashes, first = words_of([t for _, t in block])
     parts = np.split(hashes, first[1:])
     chosen = [i for i, w in enumerate(parts) if len(w) >= MIN_WORDS]
-    ids, words = [block[i][0] for i in chosen], [parts[i] for i in chosen]
+    return [block[i][0] for i in chosen], [parts[i] for i in chosen]
+
+
+def search(docs: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
+    ids, words = long_enough(block)
     shared = docs.sparkSession.sparkContext.broadcast((ids, words))  # a block: bounded by its bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ BINS = 1 << BIN_BITS
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles, set_a, set_b, sig`` of every document."""
+    """``doc_id, row_no, n_shingles, set_a, set_b, sig`` of every document; ``row_no`` tells rows with one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -47,10 +47,11 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(batch.column("text").to_pylist(), words)
                 a, b = set_sums(sets)
                 sig = [x.astype("<u2").tobytes() for x in signatures(sets, POSITIONS)]
-                columns = [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(a), pa.array(b), pa.array(sig, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+                columns = [batch.column("doc_id"), batch.column("row_no"), pa.array(map(len, sets), pa.int64()), pa.array(a), pa.array(b), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_no", "n_shingles", "set_a", "set_b", "sig"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+    rows = texts(docs, F.xxhash64("text").alias("row_no"))
+    return rows.mapInArrow(run, "doc_id long, row_no long, n_shingles long, set_a long, set_b long, sig binary")
 
 
 def index_keys(sig: np.ndarray) -> np.ndarray:
@@ -246,12 +247,12 @@ def shingle_table(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without all but the first document of each near-duplicate group; null ids and empty texts stay.
 
-    Only the ids that go are joined (rows that repeat an id with other texts
-    go or stay by the id's own component).
+    Only what goes is joined, by id and text: a row that repeats an id with
+    another text goes or stays by its own component.
     """
-    gone = free_name(docs, "gone")
-    ids = near_groups(docs, words, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    gone, gone_row = free_name(docs, "gone"), free_name(docs, "gone_row")
+    rows = near_rows(docs, words, percent).where("not kept").select(F.col("doc_id").alias(gone), F.col("row_no").alias(gone_row)).distinct()
+    return docs.join(rows, (F.col("doc_id").cast("long") == F.col(gone)) & (F.xxhash64("text") == F.col(gone_row)), "left_anti")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -263,6 +264,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     repeat a doc_id are documents of their own with that id; null ids stand
     alone and are kept.  An empty table gives no rows.
     """
+    return near_rows(docs, words, percent).drop("row_no")
+
+
+def near_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``near_groups`` with the ``row_no`` of each row."""
     spark = docs.sparkSession
     rows, rows_path = write_stage(features(docs, words), "near-features")
     known = rows.where("doc_id is not null and n_shingles > 0")
@@ -297,8 +303,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
     named = join_cells(placed, names, ["component"], "size", classes.count()).select("set_a", "set_b", "component_id", "n")
     total = named.agg(F.sum("n")).first()[0] or 0
-    grouped = join_cells(known.select("doc_id", "n_shingles", "set_a", "set_b"), named, ["set_a", "set_b"], "n", total)
-    alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = grouped.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    grouped = join_cells(known.select("doc_id", "row_no", "n_shingles", "set_a", "set_b"), named, ["set_a", "set_b"], "n", total)
+    alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "row_no", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = grouped.select("doc_id", "row_no", "n_shingles", "component_id").unionByName(alone)
     drop_stage(spark, cells_path, members_path, asked_path, bodies_path, *paths)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
