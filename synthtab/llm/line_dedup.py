@@ -225,7 +225,7 @@ def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_wo
     met = rows.join(dropped, F.col("doc_id").cast("long").eqNullSafe(F.col(of_doc)) & (F.col(own) == F.col(of_row)), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i))
     left = F.array_join(kept, "\n")
-    met = met.where(F.col(gone).isNull() | (F.length(F.trim(left)) > 0))
+    met = met.where(F.col(gone).isNull() | left.rlike("[^\\x20\\x09-\\x0D]"))
     new = {"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)

@@ -259,6 +259,12 @@ def test_registered_line_dedup_takes_short_lines(spark, make, tmp_path):
     assert {r["doc_id"]: r["text"] for r in pipeline.line_stage(spark, docs, str(tmp_path)).collect()} == {1: "all rights reserved.\nmine", 2: "yours"}
 
 
+def test_copies_with_blank_lines_leave_nothing(make):
+    body = "the first line of this text is here\n\n\t\n \r\n\nand the last line of this text is here\n"
+    kept = line_dedup.without_repeated_lines(make([(1, body), (2, body), (3, "\n\n")])).collect()
+    assert {r["doc_id"]: r["text"] for r in kept} == {1: body, 3: "\n\n"}
+
+
 def test_no_python_in_the_line_plan(make, odd):
     plan = line_dedup.repeated_lines(make(odd))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
