@@ -54,7 +54,7 @@ class Model:
         self.languages, self.log = languages, log
 
     def predict(self, batch: list[str]) -> tuple[list[str], list[float], list[list[str]]]:
-        """Language, its share of the words, and the chosen set, for each text."""
+        """Language, its share of the words within the chosen set, and that set, for each text."""
         bucket, word, first = trigrams(batch)
         name, score, chosen = ["und"] * len(batch), [0.0] * len(batch), [[] for _ in batch]
         if not len(word) or not self.languages:
@@ -88,7 +88,7 @@ class Model:
         winner = kept.argmax(axis=1)
         for i, doc in enumerate(docs.tolist()):
             name[doc] = self.languages[winner[i]]
-            score[doc] = float(min(1.0, max(0.0, share[i, winner[i]])))
+            score[doc] = float(min(1.0, max(0.0, kept[i, winner[i]])))
             chosen[doc] = [self.languages[j] for j in order[i, : size[i]] if kept[i, j] > 0]
         return name, score, chosen
 
@@ -139,8 +139,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score, languages`` for every whole text, one narrow pass.
 
     ``und`` with score 0 where the text is null or has no letter, or where
-    nothing was learned.  ``score`` is the language's share of the words,
-    ``languages`` the chosen set, strongest first.  Repeated rows and null ids
+    nothing was learned.  ``score`` is the language's share of the words
+    within the chosen set, ``languages`` that set, strongest first.  Repeated rows and null ids
     give a row each; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log))  # languages x 65,536 numbers

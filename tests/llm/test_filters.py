@@ -76,6 +76,22 @@ def test_languages(spark, make):
     assert language.identify(make([]), model).collect() == []
 
 
+def test_the_score_is_the_share_within_the_chosen_set(make):
+    """Close languages: the full mixture spreads the words of a text over all of them, the chosen set does not."""
+    rng = random.Random(4)
+    shared, own = ["tor", "lin", "quas", "mel", "dro", "pin"], {"aa": "va", "bb": "ke", "cc": "zu", "dd": "wo", "ee": "hy"}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice([*shared * 2, own[lang]]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+
+    model = language.train(make([(i, text(lang, 40), lang) for i, lang in enumerate(list(own) * 20)]))
+    asked = [(100 + i, text("aa", 60)) for i in range(10)]
+    rows = language.identify(make(asked), model).collect()
+    alone = {r["doc_id"] for r in rows if len(r["languages"]) == 1}
+    assert alone and all(r["score"] == 1 for r in rows if r["doc_id"] in alone)
+    assert alone <= {r["doc_id"] for r in language.keep_documents(make(asked), model, 0.5).collect()}
+
+
 def test_nothing_learned(make):
     model = language.train(make([(1, "abc", None)]))
     assert [r["lang_pred"] for r in language.identify(make([(1, "abc")]), model).collect()] == ["und"]
