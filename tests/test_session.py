@@ -1,6 +1,9 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
-from synthtab.session import shared_folder, stage
+from synthtab.session import shared_folder, stage, staged_path, staging
 
 
 def test_stage_uses_the_folder_the_session_names(spark, tmp_path):
@@ -28,3 +31,15 @@ def test_times_as_numbers_ignore_the_time_zone(spark):
             assert tuple(df.select(*[epoch_micros(df, c) for c in "abc"]).first()) == expected
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_staged_tables_go_with_their_owner(spark):
+    before = stage(spark.range(10))
+    with staging(spark):
+        inside = stage(spark.range(20))
+        path = staged_path(spark, "mine")
+        spark.range(3).write.parquet(path)
+        assert inside.count() == 20 and os.path.isdir(path)
+    assert not os.path.exists(path) and before.count() == 10
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
+        inside.collect()

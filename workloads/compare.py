@@ -21,8 +21,6 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-
-
 def compare(spark, con, folder: str, query, sql: str | None) -> str:
     """Empty when equal, else what differs."""
     df = query(spark, folder)
@@ -51,7 +49,7 @@ def compare(spark, con, folder: str, query, sql: str | None) -> str:
 
 
 def main() -> None:
-    from synthtab.session import local_session
+    from synthtab.session import local_session, staging
     from workloads.oracles import ORACLES
     from workloads.queries import QUERIES
 
@@ -61,7 +59,8 @@ def main() -> None:
     for name in names:
         start = time.time()
         try:
-            found = compare(spark, con, folder, QUERIES[name], ORACLES.get(name))
+            with staging(spark):
+                found = compare(spark, con, folder, QUERIES[name], ORACLES.get(name))
         except Exception as error:  # report and go on
             found = f"{type(error).__name__}: {str(error)[:600]}"
         note = "" if name in ORACLES else " (rows only)"

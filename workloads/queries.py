@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from synthtab.operators.profile import Profiler
 from synthtab.plans import imperfections
 from synthtab.plans.jobs import READERS
 from synthtab.plans.spec import ColumnSpec, generic_schema
-from synthtab.session import shared_folder, stage
+from synthtab.session import stage, staged_path
 from synthtab.sources import catalog
 from workloads import fixtures as fx
 from workloads.fixtures import rounded, table
@@ -331,8 +330,7 @@ def profile_columns_masked(spark, folder):
 # ---- files -------------------------------------------------------------------------------
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+fresh = staged_path
 
 
 @query
