@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -12,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthtab.session import shared_folder
+from synthtab.session import drop_staged as drop_stage
+from synthtab.session import staged_path as fresh_path
 
 #: A key with more than one in ``HOT_PARTS`` of the rows is hot, so there are at most ``HOT_PARTS`` hot keys.
 HOT_PARTS = 100
@@ -34,11 +34,6 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder, which survives lost executors, and the path to drop later."""
     path = fresh_path(df.sparkSession, name)
@@ -46,13 +41,6 @@ def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def drop_stage(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def texts(docs: DataFrame, *extra: str) -> DataFrame:
     """``doc_id`` and the whole text as UTF-8 bytes (null: empty); other columns never travel along."""
     return docs.select(

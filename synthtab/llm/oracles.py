@@ -57,4 +57,83 @@ SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(n.component_id, s.doc_id) AS c
 FROM sets s LEFT JOIN named n ON s.doc_id = n.doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_url_filter": _OP6, "op7_exact_dedup": _OP7, "op8_near_dup": _OP8}
+_OP11 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), i AS (
+  SELECT item_id, row_number() OVER () AS item_no, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark
+), totals AS (SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d
+), tf AS (SELECT row_no, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf FROM (SELECT row_no, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) GROUP BY row_no, term
+), w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, n_docs
+), scores AS (
+  SELECT i.item_no, any_value(i.item_id) AS item_id, tf.row_no, any_value(tf.doc_id) AS doc_id,
+    sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * tf.n * n_docs) // n_terms))))::BIGINT AS score
+  FROM i JOIN tf ON i.term = tf.term JOIN w ON w.term = tf.term, totals GROUP BY i.item_no, tf.row_no
+), best AS (SELECT item_id, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM best WHERE rank <= 10
+"""
+
+_OP12 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT] || range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(0, 256)) AS i))
+), d AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 16 AS size, coalesce(doc_id::VARCHAR, '') AS doc, row_number() OVER () AS row_no,
+    xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
+      lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS text_crc32
+  FROM documents, crc
+), leaves AS (
+  SELECT shard, 'r' || (shard // 20) AS region, 'r' || (shard // 20) || '/k' || (shard % 20 // 5) AS rack FROM (SELECT unnest(range(0, 40)) AS shard)
+  UNION ALL SELECT 40, 'added40', 'added40/k0'
+), nodes AS (
+  SELECT larger, '' AS parent, region AS name, count(*) AS weight FROM leaves, (VALUES (false), (true)) x(larger) WHERE larger OR shard < 40 GROUP BY ALL
+  UNION ALL SELECT larger, region, rack, count(*) FROM leaves, (VALUES (false), (true)) x(larger) WHERE larger OR shard < 40 GROUP BY ALL
+  UNION ALL SELECT larger, rack, rack || '/' || shard, 1 FROM leaves, (VALUES (false), (true)) x(larger) WHERE larger OR shard < 40
+), path AS (
+  SELECT row_no, doc, larger, '' AS node, 0 AS depth FROM d, (VALUES (false), (true)) x(larger)
+  UNION ALL
+  SELECT p.row_no, p.doc, p.larger, arg_min(n.name, -ln((('0x' || substr(md5(n.name || '|' || p.doc), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / n.weight), p.depth + 1
+  FROM path p JOIN nodes n ON n.larger = p.larger AND n.parent = p.node WHERE p.depth < 3 GROUP BY ALL
+), put AS (
+  SELECT row_no, max(split_part(node, '/', 3)::INTEGER) FILTER (NOT larger) AS shard, max(split_part(node, '/', 3)::INTEGER) FILTER (larger) AS grown_shard
+  FROM path WHERE depth = 3 GROUP BY row_no
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard
+    ORDER BY substr(md5('slot|' || doc || '|' || size || '|' || text_crc32), 1, 13), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM d JOIN put USING (row_no)
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row_no,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), w AS (SELECT lang, source, row_no, unnest(terms) AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT row_no) >= 3
+), groups AS (SELECT DISTINCT lang, source FROM d
+), langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+), cells AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (SELECT lang, source, sum(c)::HUGEINT AS total FROM cells GROUP BY ALL
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, (1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(t.total, 0) + l.v))::BIGINT AS p,
+    (1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + l.v))::BIGINT AS lang_p
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - lang_p) * (p - lang_p)) // lang_p AS value FROM shares WHERE c > 0 AND p > lang_p
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_url_filter": _OP6, "op7_exact_dedup": _OP7, "op8_near_dup": _OP8, "op11_lexical_search": _OP11, "op12_hash_tree_shards": _OP12,
+    "op13_source_audit": _OP13,
+}

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from synthtab.llm import decontamination, exact_dedup, language, line_dedup, near_dup, packing, substring_dedup, token_count, token_files, url_filter
+from synthtab.llm import (
+    decontamination, exact_dedup, language, lexical_search, line_dedup, near_dup, packing, sharding, source_audit,
+    substring_dedup, token_count, token_files, url_filter,
+)
 from synthtab.llm.common import fresh_path, ship
 
 WORDS = "word_bpe_49k.json"
 END_ID = 2
+SHARDS = 40
 
 URL_RULES = [
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -75,10 +79,24 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
+    tree = sharding.even_tree(SHARDS)
+    return sharding.shard_report(table(spark, folder, "documents"), tree, sharding.grown(tree))
+
+
+def op13_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.source_audit(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_substring_dedup, op3_line_dedup, op4_token_counts, op5_packing, op6_url_filter,
-        op7_exact_dedup, op8_near_dup, op9_language, op10_decontamination,
+        op7_exact_dedup, op8_near_dup, op9_language, op10_decontamination, op11_lexical_search, op12_hash_tree_shards,
+        op13_source_audit,
     )
 }

@@ -10,5 +10,5 @@ def test_query_equals_sql(spark, folder, name):
     assert compare(spark, connect(folder), folder, QUERIES[name], ORACLES[name]) == ""
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
