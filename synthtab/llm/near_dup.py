@@ -11,7 +11,10 @@ Texts with equal shingle sets are one class.  Pairs of classes are found in
 two steps, so that large groups are never written as all pairs: members of a
 key against its first and last member; then, between members of different
 components, all pairs within the distance that a sketch of 512 bins does not
-rule out by five standard deviations.
+rule out by five standard deviations.  In the second step a key's members lie
+in blocks of bounded bytes; members that a sketch leaves a partner bring their
+full sets into the block once, links are confirmed there, and a block passes
+on a spanning forest of them, at most one link a member.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ CHUNKS = 8
 WIDTH = POSITIONS // CHUNKS
 #: Errors that leave one chunk with at most one: 2 * CHUNKS - 1.
 DISTANCE = 2 * CHUNKS - 1
-#: Members of a key compared at once.
-BLOCK = 1024
+#: Bytes of a key's members, with their full sets, compared at once, and those of a member besides its set.
+BLOCK_BYTES = 4 << 20
+MEMBER_BYTES = 700
 BIN_BITS = 9
 BINS = 1 << BIN_BITS
 
@@ -69,17 +73,17 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def keyed(classes: DataFrame) -> DataFrame:
-    """``id, key, slot``: one row for each key of each class."""
+    """``id, size, key, slot``: one row for each key of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys = index_keys(as_signatures(batch.column("sig").to_pylist())).view(np.int64)
-                ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), POSITIONS)
+                ids, sizes = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), POSITIONS) for c in ("id", "size"))
                 slot = np.tile(np.arange(POSITIONS, dtype=np.int32), len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.reshape(-1)), pa.array(slot)], ["id", "key", "slot"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, sizes, keys.reshape(-1), slot)], ["id", "size", "key", "slot"])
 
-    return classes.select("id", "sig").mapInArrow(run, "id long, key long, slot int")
+    return classes.select("id", "size", "sig").mapInArrow(run, "id long, size long, key long, slot int")
 
 
 def as_signatures(rows: list[bytes]) -> np.ndarray:
@@ -100,18 +104,23 @@ def within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have ``100 * intersection >= percent * union``."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have ``100 * intersection >= percent * union``."""
+    """Pairs whose full sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = []
-            for a, b in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-                both = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                links.append(100 * both >= percent * (len(x) + len(y) - both))
+            both = zip(batch.column("set_a"), batch.column("set_b"))
+            links = [similar(np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8"), percent) for a, b in both]
             yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
     one = sets.select(F.col("id").alias("b"), F.col("body").alias("set_b"))
@@ -132,12 +141,11 @@ def likely(one: np.ndarray, many: np.ndarray, sizes: np.ndarray, size: int, perc
     return fits & (share >= least - 5 * spread - 0.02)
 
 
-def pairs_of_block(block: dict[str, np.ndarray], percent: int) -> list[np.ndarray]:
-    """(ids, ids) of the pairs of one block: visitors against residents of other components."""
+def pairs_of_block(block: dict[str, np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(visitor, residents) as row numbers: pairs of one block that may be similar, of different components."""
     guests, here = np.flatnonzero(block["visitor"]), np.flatnonzero(~block["visitor"])
-    out = []
     if not len(guests) or not len(here):
-        return out
+        return
     sig, sketch, ids, parts = (block[c][here] for c in ("sig", "sketch", "id", "component"))
     moves, sizes, slot = block["moves"][here], block["size"][here], int(block["slot"][0])
     for g in guests.tolist():
@@ -155,55 +163,108 @@ def pairs_of_block(block: dict[str, np.ndarray], percent: int) -> list[np.ndarra
             inside = chunk[np.arange(len(at)), first]
             at = at[first * WIDTH + inside.argmax(axis=1) == slot]
             at = at[likely(block["sketch"][g], sketch[at], sizes[at], int(block["size"][g]), percent)]
-            out.append(np.stack([np.minimum(ids[at], one), np.maximum(ids[at], one)]))
-    return out
+            if len(at):
+                yield g, here[at]
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs within the distance that share a key but not a component, and may be similar by their sketches.
+def members_with_partners(block: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Row numbers of the members that the sketches leave a partner in this block."""
+    found = [np.append(at, g) for g, at in pairs_of_block(block, percent)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def forest_of_block(block: dict[str, np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Confirmed links of one block that join components not yet joined by others."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    a, b = [], []
+    for g, others in pairs_of_block(block, percent):
+        mine = np.frombuffer(block["body"][g], "<u8")
+        for r in others.tolist():
+            one, two = find(int(block["component"][g])), find(int(block["component"][r]))
+            if one != two and similar(mine, np.frombuffer(block["body"][r], "<u8"), percent):
+                root[max(one, two)] = min(one, two)
+                a.append(int(block["id"][g]))
+                b.append(int(block["id"][r]))
+    return a, b
+
+
+PLACE = {"key": "long", "home": "int", "guest": "int"}
+MEMBER = {"visitor": "boolean", "moves": "boolean", "slot": "int", "id": "long", "component": "long", "size": "long"}
+SETS = {"sig": "binary", "sketch": "binary", "body": "binary"}
 
-    ``members``: ``key, slot, id, component, main`` (the key's most frequent
-    component), ``n`` (rows of the key), ``sig, sketch, size``.  A key's rows
-    live in blocks; those outside the main component visit all its blocks.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int"), "moves": F.col("component") != F.col("main")})
-    anywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    # A resident meets the visitors of each block in a task of its own.
-    stay = rows.withColumns({"visitor": F.lit(False), "home": F.col("own"), "guest": F.explode(anywhere)})
-    visit = rows.where("moves").withColumns({"visitor": F.lit(True), "guest": F.col("own"), "home": F.explode(anywhere)})
-    place, names = ["key", "home", "guest"], ["visitor", "moves", "slot", "id", "component", "size", "sig", "sketch"]
+
+def by_block(rows: DataFrame, work, names: list[str], out: str) -> DataFrame:
+    """``work`` on each block of ``rows``: all rows with one ``key, home, guest`` as a table of numpy columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
 
-        def emit(table: dict[str, np.ndarray], edges: list[int]) -> Iterator[pa.RecordBatch]:
-            found = []
+        def done(table: dict[str, np.ndarray], edges: list[int]) -> Iterator[pa.RecordBatch]:
             for start, stop in zip(edges[:-1], edges[1:]):
-                if table["visitor"][start:stop].any():
-                    found += pairs_of_block({c: v[start:stop] for c, v in table.items()}, percent)
-            if found:
-                a, b = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                block = {c: v[start:stop] for c, v in table.items()}
+                if block["visitor"].any() and not block["visitor"].all():
+                    yield from work(block)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*place, *names[:-2])}
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*PLACE, *MEMBER)}
             new["sig"] = as_signatures(batch.column("sig").to_pylist())
             new["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+            if "body" in names:
+                new["body"] = np.array([*batch.column("body").to_pylist(), None], object)[:-1]
             table = {c: np.concatenate([held[c], v]) for c, v in new.items()} if held else new
             change = np.zeros(len(table["key"]) - 1, bool)
-            for c in place:
+            for c in PLACE:
                 change |= table[c][1:] != table[c][:-1]
             edges = [0, *(np.flatnonzero(change) + 1).tolist()]
-            yield from emit(table, edges)
+            yield from done(table, edges)
             held = {c: v[edges[-1] :] for c, v in table.items()}  # the last block may go on
         if held:
-            yield from emit(held, [0, len(held["key"])])
+            yield from done(held, [0, len(held["key"])])
+
+    return rows.select(*PLACE, *MEMBER, *names).repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(run, out)
+
+
+def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: confirmed links between the components of each key that join them all that can be joined.
+
+    ``members``: ``key, slot, id, size, component, main`` (the key's most
+    frequent component) and ``bytes`` (of the key's members with their sets).
+    A key's rows live in blocks; those outside the main component visit all
+    its blocks.  ``sets`` has the full set of each member.
+    """
+    spark = members.sparkSession
+    blocks = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
+    rows = members.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int"), "moves": F.col("component") != F.col("main")})
+    anywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # A resident meets the visitors of each block in a task of its own.
+    stay = rows.withColumns({"visitor": F.lit(False), "home": F.col("own"), "guest": F.explode(anywhere)})
+    visit = rows.where("moves").withColumns({"visitor": F.lit(True), "guest": F.col("own"), "home": F.explode(anywhere)})
+    both = stay.select(*PLACE, *MEMBER).unionByName(visit.select(*PLACE, *MEMBER))
+
+    def ask(block: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at = members_with_partners(block, percent)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(block[c][at]) for c in (*PLACE, *MEMBER)], [*PLACE, *MEMBER])
+
+    def confirm(block: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        a, b = forest_of_block(block, percent)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    both = stay.select(*place, *names).unionByName(visit.select(*place, *names))
-    return both.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
+    slim = ["sig", "sketch"]
+    asked = by_block(both.join(sets.select("id", *slim), "id"), ask, slim, ", ".join(f"{c} {k}" for c, k in (PLACE | MEMBER).items()))
+    asked, path = write_stage(asked, "near-partners")
+    links, _ = write_stage(by_block(asked.join(sets.select("id", *SETS), "id"), confirm, list(SETS), "a long, b long"), "near-links")
+    drop_stage(spark, path)
+    return links
 
 
 def sketch_of(values: np.ndarray) -> bytes:
@@ -225,7 +286,7 @@ def set_sums(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_table(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """``id, body, sketch, size``: the full sets of the classes that may have a partner, with a finer sketch of each."""
+    """``id, sig, body, sketch``: the full sets of the classes that may have a partner, with a finer sketch of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -236,12 +297,11 @@ def shingle_table(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                 own = (a == batch.column("set_a").to_numpy()) & (b == batch.column("set_b").to_numpy())
                 body = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
                 sketch = pa.array([sketch_of(s) for s in sets], pa.binary())
-                size = pa.array(map(len, sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), body, sketch, size], ["id", "body", "sketch", "size"]).filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("sig"), body, sketch], ["id", "sig", "body", "sketch"]).filter(pa.array(own))
 
     # Always a shuffle: few ids here are many where texts are many.
-    asked = classes.select("doc_id", "id", "set_a", "set_b").hint("merge")
-    return texts(docs).join(asked, "doc_id").mapInArrow(run, "id long, body binary, sketch binary, size long")
+    asked = classes.select("doc_id", "id", "sig", "set_a", "set_b").hint("merge")
+    return texts(docs).join(asked, "doc_id").mapInArrow(run, "id long, sig binary, body binary, sketch binary")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -272,8 +332,8 @@ def near_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     rows, rows_path = write_stage(features(docs, words), "near-features")
     known = rows.where("doc_id is not null and n_shingles > 0")
-    sets = known.groupBy("set_a", "set_b").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    sets = sets.select("set_a", "set_b", F.col("first.doc_id").alias("doc_id"), F.col("first.sig").alias("sig"), "n")
+    sets = known.groupBy("set_a", "set_b").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("first"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
+    sets = sets.select("set_a", "set_b", F.col("first.doc_id").alias("doc_id"), F.col("first.sig").alias("sig"), "size", "n")
     classes, classes_path = write_stage(sets.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     keys = keyed(classes)
     cells, cells_path = write_stage(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-cells")
@@ -288,16 +348,14 @@ def near_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     parts, parts_path = connected(links)
     placed = members.join(parts.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # A key whose members are in one component has no more to give.
-    mixed = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
-        F.max_by("component", "size").alias("main"), F.count(F.lit(1)).alias("components"), F.sum("size").alias("rows")
+    mixed = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * 8 + MEMBER_BYTES).alias("bytes")).groupBy("key").agg(
+        F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("components"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes")
     )
-    mixed = mixed.where("components > 1").select("key", "main", "rows")
-    placed = join_cells(placed.select("key", "slot", "id", "component"), mixed, ["key"], "rows", total)
-    left = placed.join(asked.select("id", "sig"), "id").join(bodies.select("id", "sketch", "size"), "id").withColumnRenamed("rows", "n")
-    more, more_path = write_stage(verified(across(left, percent), bodies, percent), "near-links")
+    mixed = mixed.where("components > 1").select("key", "main", "rows", "bytes")
+    placed = join_cells(placed.select("key", "slot", "id", "size", "component"), mixed, ["key"], "rows", total)
+    more = across(placed, bodies, percent)
     drop_stage(spark, parts_path)
-    paths, schema = [links_path, more_path], links.schema
-    parts, parts_path = connected(spark.read.schema(schema).parquet(*paths))
+    parts, parts_path = connected(links.unionByName(more))
     placed = classes.select("id", "doc_id", "set_a", "set_b", "n").join(parts.withColumnRenamed("v", "id"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
     names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
@@ -306,5 +364,5 @@ def near_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     grouped = join_cells(known.select("doc_id", "row_no", "n_shingles", "set_a", "set_b"), named, ["set_a", "set_b"], "n", total)
     alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "row_no", "n_shingles", F.col("doc_id").alias("component_id"))
     out = grouped.select("doc_id", "row_no", "n_shingles", "component_id").unionByName(alone)
-    drop_stage(spark, cells_path, members_path, asked_path, bodies_path, *paths)
+    drop_stage(spark, cells_path, members_path, asked_path, bodies_path, links_path)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

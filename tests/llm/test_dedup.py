@@ -106,9 +106,9 @@ def mutated(rng, text, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("block", [4096, 7])
+@pytest.mark.parametrize("block", [near_dup.BLOCK_BYTES, 10_000])
 def test_near_groups(make, odd, monkeypatch, block):
-    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", block)
     rng = random.Random(9)
     rows = list(odd)
     passage = sentence(rng, 60)
@@ -125,6 +125,37 @@ def test_near_groups(make, odd, monkeypatch, block):
     assert sorted((key(r["doc_id"]), r["n_shingles"], key(r["component_id"]), r["kept"]) for r in found) == near_brute(rows, 4, 80)
 
 
+def test_a_dense_group_is_never_written_as_pairs(make, monkeypatch):
+    """Thousands of members at a similarity of 0.7 to 0.8, few of them linked: rows stay in proportion to the members."""
+    rng = random.Random(13)
+    n, length = 3000, 203
+    base, members, texts = [f"b{i}" for i in range(length)], np.zeros((n, length - 3), np.int64), []
+    for i in range(n):
+        words, whole = list(base), np.ones(length, bool)
+        for place in rng.sample(range(4, length - 4), rng.choice([3, 4, 4, 5])):
+            words[place], whole[place] = f"x{i}-{place}", False
+        members[i] = whole[:-3] & whole[1:-2] & whole[2:-1] & whole[3:]
+        texts.append((i, " ".join(words)))
+    both = members @ members.T  # a changed word is in no other text
+    links = 100 * both >= 80 * (2 * (length - 3) - both)
+    share = (both / (2 * (length - 3) - both))[np.triu_indices(n, 1)]
+    assert 0.7 < np.median(share) < 0.8
+    part = np.arange(n)
+    while (new := np.where(links, part, n).min(axis=1)).tolist() != part.tolist():
+        part = new
+    staged = {}
+
+    def spy(df, name, real=near_dup.write_stage):
+        out = real(df, name)
+        staged[name] = max(staged.get(name, 0), out[0].count())
+        return out
+
+    monkeypatch.setattr(near_dup, "write_stage", spy)
+    found = near_dup.near_groups(make(texts), words=4, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(part.tolist()))
+    assert staged["near-partners"] <= near_dup.POSITIONS * n and staged["near-links"] <= 4 * n
+
+
 def test_pigeonhole_guarantee():
     rng = np.random.default_rng(3)
     for _ in range(300):
