@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,9 @@ def _width(line: str, delimiter: str) -> int:
     return len(next(csv.reader([line], delimiter=delimiter), []))
 
 
-def detect_delimiter(spark: SparkSession, path: str) -> str:
+def delimiter_of(lines: list[str]) -> str:
     """Comma if it splits the header, else semicolon, else the delimiter that
-    splits the first lines most evenly, else comma.  Reads the head only."""
-    lines = [r[0] for r in spark.read.text(path).head(HEAD_LINES)]
+    splits the first lines most evenly, else comma."""
     if not lines:
         return ","
     header = lines[0].lstrip("﻿")
@@ -42,6 +42,32 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     return ","
 
 
+def detect_delimiter(spark: SparkSession, path: str) -> str:
+    """The delimiter of one file by its first lines; reads the head only."""
+    return delimiter_of([r[0] for r in spark.read.text(path).head(HEAD_LINES)])
+
+
+def file_heads(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, str]]:
+    """Header line and delimiter of each file that has a line, from one job over all files.
+
+    A second one looks at more lines of those whose header has neither comma
+    nor semicolon.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("place"),
+    ).where("at = 0")
+    first = lines.groupBy("path").agg(F.min_by("value", "place").alias("header"), F.min("place").alias("first")).collect()
+    odd = [(r["path"], r["first"]) for r in first if not any(_width(r["header"].lstrip("﻿"), d) > 1 for d in ",;")]
+    heads: dict[str, list[tuple[int, str]]] = {}
+    if odd:
+        asked = F.broadcast(spark.createDataFrame(odd, "path string, first long"))
+        for r in lines.join(asked, "path").where(F.col("place") < F.col("first") + HEAD_LINES).collect():
+            heads.setdefault(r["path"], []).append((r["place"], r["value"]))
+    more = {path: [line for _, line in sorted(found)] for path, found in heads.items()}
+    return {unquote(r["path"]): (r["header"].strip(), delimiter_of(more.get(r["path"], [r["header"]]))) for r in first}
+
+
 #: One dialect for reading and writing: quotes are doubled, an empty cell is null, a quoted empty cell is empty text.
 DIALECT = {"header": True, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""'}
 
@@ -73,21 +99,49 @@ def read_files(spark: SparkSession, paths: list[str], multi_line: bool = True) -
     """Headed files as one table: each file's own delimiter and header, columns matched by name.
 
     Files that share both are read together, so the plan grows with the
-    number of layouts and not with that of files.
+    number of layouts and not with that of files.  Cells are read as text, and
+    a column gets one type over all files: the first that takes all its cells.
+    A column that stays text is as written (``007``, ``1.50``).
     """
-    layouts: dict[tuple, list[str]] = {}
-    for path in paths:
-        sep = detect_delimiter(spark, path)
-        header = spark.read.text(path).head()
-        layouts.setdefault((sep, header and header[0].strip()), []).append(path)
-    tables = [read_delimited(spark, same, multi_line=multi_line) for same in layouts.values()]
-    out = tables[0]
-    for more in tables[1:]:
-        kinds, others = dict(out.dtypes), dict(more.dtypes)
-        mixed = [c for c in kinds if c in others and kinds[c] != others[c]]
-        # one type for a column that files disagree on
-        out, more = (df.withColumns({c: col(c).cast("string") for c in mixed}) for df in (out, more))
-        out = out.unionByName(more, allowMissingColumns=True)
+    layouts: dict[tuple[str, str], list[str]] = {}
+    for path, head in sorted(file_heads(spark, paths).items()):
+        layouts.setdefault(head, []).append(path)
+    if not layouts:
+        return spark.createDataFrame([], T.StructType())
+    options = {**DIALECT, "nullValue": "\x00", "emptyValue": "", "multiLine": multi_line}
+    out = None
+    for (_, delimiter), same in layouts.items():
+        more = spark.read.options(**options, sep=delimiter).csv(same)
+        out = more if out is None else out.unionByName(more, allowMissingColumns=True)
+    kinds = settled_types(out)
+    return out.select(*(F.expr(f"try_cast({quoted(c)} as {kinds[c]})").alias(c) if c in kinds else col(c) for c in out.columns))
+
+
+#: Types a text column may have, the narrowest first, with the look that their cells must have.
+CELL_TYPES = {
+    "int": r"^[+-]?[0-9]{1,10}$", "bigint": r"^[+-]?[0-9]{1,19}$", "double": r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$",
+    "boolean": "^(?i)(true|false)$", "date": "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "timestamp": "^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:.+$",
+}
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def settled_types(df: DataFrame) -> dict[str, str]:
+    """The narrowest type that takes every cell of a text column, in one pass; none for columns that stay text."""
+    names = df.columns
+    counts = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)]
+    for i, c in enumerate(names):
+        for kind, look in CELL_TYPES.items():
+            fits = col(c).rlike(look) & F.expr(f"try_cast({quoted(c)} as {kind})").isNotNull()
+            counts.append(F.count_if(fits).alias(f"{kind}{i}"))
+    row = df.agg(*counts).first() if names else {}
+    out = {}
+    for i, c in enumerate(names):
+        kind = next((k for k in CELL_TYPES if row[f"{k}{i}"] == row[f"n{i}"]), None)
+        if kind and row[f"n{i}"]:
+            out[c] = kind
     return out
 
 

@@ -105,3 +105,34 @@ def test_all_files_of_a_folder(spark, tmp_path):
 
     df = READERS["folder"](spark, str(tmp_path))
     assert sorted(df.columns) == ["id", "name", "size"] and sorted(r["id"] for r in df.collect()) == ["1", "2", "3", "q"]
+
+
+def test_types_are_settled_over_all_layouts(spark, tmp_path):
+    """A column that is text in one file keeps its cells as written in the others."""
+    (tmp_path / "a.csv").write_text("id,v,n,d,t,b\n007,1.50,1,2024-01-02,2024-01-02 03:04:05,true\n,2.0,2,2024-1-3,,FALSE\n")
+    (tmp_path / "b.csv").write_text("id;v;n;d\nX1;n/a;3000000000;2024-05-06\n")
+    (tmp_path / "c 1.csv").write_text("n\tid\n2.5\t08\n\t09\n")
+    (tmp_path / "empty.csv").write_text("")
+    from synthtab.plans.jobs import READERS
+
+    df = READERS["folder"](spark, str(tmp_path))
+    kinds = dict(df.dtypes)
+    assert kinds == {"id": "string", "v": "string", "n": "double", "d": "date", "t": "timestamp", "b": "boolean"}
+    rows = sorted((r["id"] or "", r["v"] or "", r["n"] or 0) for r in df.collect())
+    assert rows == [("", "2.0", 2.0), ("007", "1.50", 1.0), ("08", "", 2.5), ("09", "", 0), ("X1", "n/a", 3e9)]
+    whole = files.read_files(spark, [str(tmp_path / "a.csv")])
+    assert dict(whole.dtypes)["id"] == "int" and dict(whole.dtypes)["v"] == "double"
+    assert files.read_files(spark, [str(tmp_path / "empty.csv")]).collect() == []
+
+
+def test_heads_of_many_files_are_read_in_one_job(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"{i}.csv").write_text("a,b\n" if i % 2 else "a;b\n1;2\n")
+    spark.sparkContext.setJobGroup("heads", "heads")
+    try:
+        heads = files.file_heads(spark, [str(tmp_path)])
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("heads")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted({d for _, d in heads.values()}) == [",", ";"] and len(heads) == 12
+    assert len(jobs) <= 2  # adaptive execution runs the shuffle as a job of its own

@@ -624,10 +624,11 @@ SELECT (row_number() OVER () - 1)::INTEGER AS position, column_name,
   CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') OR column_type LIKE 'DECIMAL%' THEN 'numeric' ELSE 'text' END AS data_type
 FROM (DESCRIBE SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority FROM orders)"""
 ORACLES["folder_of_csv"] = """
-SELECT n_nationkey::BIGINT AS n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 1 THEN 'r' || n_nationkey END AS remark FROM nation"""
+SELECT o_orderkey::BIGINT AS order_key, o_custkey::BIGINT AS cust_key, printf('%08d', o_orderkey) AS code, o_totalprice AS amount, CASE WHEN o_orderkey % 3 = 0 THEN '1.50' END AS note FROM orders
+UNION ALL SELECT NULL, c_custkey::BIGINT, c_name, c_acctbal, 'n/a' FROM customer"""
 ORACLES["json_round_trip"] = "SELECT doc_id, text, n_chars FROM documents"
 ORACLES["parquet_round_trip"] = "SELECT c_custkey, c_name, c_acctbal FROM customer"
-ORACLES["cleaned_names"] = "SELECT n_nationkey AS key, n_name AS key_2 FROM nation"
+ORACLES["cleaned_names"] = 'SELECT c_custkey AS key, c_name AS key_2, c_nationkey AS "column", c_acctbal AS "acct bal", c_mktsegment AS price FROM customer'
 
 # ---- reports -----------------------------------------------------------------------------------
 

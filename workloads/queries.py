@@ -355,14 +355,20 @@ def csv_types_orders(spark, folder):
 
 @query
 def folder_of_csv(spark, folder):
-    """All files of a folder: two delimiters, columns matched by name."""
+    """All files of a folder: two delimiters, several files each, columns matched by name, one type for each over all."""
     path = fresh(spark, "folder")
-    nation = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    st.write_csv(nation.where("n_nationkey % 2 = 0").coalesce(1), f"{path}/a")
-    other = nation.where("n_nationkey % 2 = 1").select("n_name", F.concat(F.lit("r"), "n_nationkey").alias("remark"), "n_nationkey")
-    other.coalesce(1).write.option("header", True).option("sep", ";").csv(f"{path}/b")
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("cust_key"), F.format_string("%08d", "o_orderkey").alias("code"),
+        F.col("o_totalprice").alias("amount"), F.when(F.col("o_orderkey") % 3 == 0, "1.50").alias("note"),
+    )
+    st.write_csv(orders.repartition(3, "order_key"), f"{path}/a")
+    other = table(spark, folder, "customer").select(
+        F.col("c_name").alias("code"), F.col("c_custkey").alias("cust_key"), F.lit("n/a").alias("note"), F.col("c_acctbal").alias("amount")
+    )
+    other.repartition(2, "cust_key").write.option("header", True).option("sep", ";").csv(f"{path}/b")
     df = READERS["folder"](spark, path)
-    return df.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name", "remark")
+    keys = [F.col(c).cast("bigint").alias(c) for c in ("order_key", "cust_key")]
+    return df.select(*keys, "code", "amount", "note")
 
 
 @query
@@ -381,8 +387,8 @@ def parquet_round_trip(spark, folder):
 
 @query
 def cleaned_names(spark, folder):
-    df = table(spark, folder, "nation").select(F.col("n_nationkey").alias("key!"), F.col("n_name").alias("ke(y"))
-    return st.clean_columns(df)
+    names = ["key!", "ke(y", "%", "acct bal", "price?"]
+    return st.clean_columns(table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment").toDF(*names))
 
 
 # ---- reports ---------------------------------------------------------------------------
