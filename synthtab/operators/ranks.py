@@ -15,19 +15,21 @@ from __future__ import annotations
 import math
 import sys
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from synthtab.functions.literals import double_array, double_arrays, search_sorted
+from synthtab.functions.literals import double_arrays, search_sorted
 
 ROWS_PER_CELL = 200_000
 MAX_CELLS = 16_384
-ROWS_PER_SALT = 5_000_000
+#: Rows with one draw whose keys are compared on the driver.
+TIES = 1000
 DIGEST_GROUPS = 256
 DIGEST_ACCURACY = 10_000
 LARGEST = sys.float_info.max  # stands for infinity while buckets are counted
@@ -312,11 +314,22 @@ def quantiles_and_choices(
 
 
 def _tie_break(ties: DataFrame, key: Column, needed: int, equal: int) -> str:
-    # draws carry 52 bits, so more than a handful of ties means a repeated key
-    rows = ties.select(key.alias("k")).orderBy("k").limit(needed + 1).collect() if equal < 1000 else []
-    if not rows or rows[needed - 1][0] == rows[needed][0]:
+    """The ``needed``-th smallest key of rows with one draw: two characters at a time, until few rows are left."""
+    rows, known = ties.select(key.alias("k")), ""
+    while equal > TIES:
+        part = F.substring("k", len(known) + 1, 2)
+        cells = sorted((r["c"], r["n"]) for r in rows.groupBy(part.alias("c")).agg(F.count("*").alias("n")).collect())
+        for cell, count in cells:
+            if needed <= count:
+                break
+            needed -= count
+        rows, known, equal = rows.where(part == cell), known + cell, count
+        if len(cell) < 2:
+            break  # the keys end here, so they are all the same
+    found = rows.orderBy("k").limit(needed + 1).collect() if equal <= TIES else []
+    if not found or (len(found) > needed and found[needed - 1][0] == found[needed][0]):
         raise ValueError("the row key is not unique, so an exact number of rows cannot be chosen")
-    return rows[needed - 1][0]
+    return found[needed - 1][0]
 
 
 # ---- value cells -----------------------------------------------------------
@@ -493,126 +506,75 @@ def spearman(
     Average ranks, pairwise complete: the ranks of a pair are taken among the
     rows where both are present.  None where a column is constant.
     ``known`` are the non-null counts and ``rows`` the table size.
+
+    The table is dealt out twice, whatever the number of columns: by value,
+    where each cell meets its rank, and back by row, where the ranks of a row
+    are multiplied in blocks of rows; sums of pairs are all that leaves a task.
     """
     names = list(columns)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    if not pairs:
+    if len(names) < 2:
         return {}
     if known is None or rows is None:
         counted = df.agg(F.count("*"), *[F.count(c) for c in columns.values()]).first()
         rows, known = counted[0], {n: counted[i + 1] for i, n in enumerate(names)}
-    ranked = rank_columns(df, columns, known, rows)
-    aggs = []
-    for a, b in pairs:
-        ra, rb = F.col(rank_name(names, known, rows, a, b)), F.col(rank_name(names, known, rows, b, a))
-        both = ra.isNotNull() & rb.isNotNull()
-        x, y = F.when(both, ra), F.when(both, rb)
-        aggs += [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
-    row = ranked.agg(*aggs).first()
+    # Ranks among all rows, and among those where one of the columns with nulls is present.
+    masks = [None, *(i for i, n in enumerate(names) if known[n] < rows)]
+    sums = _rank_products(_ranked_rows(df, columns, masks, rows), len(names), masks)
     out = {}
-    for i, pair in enumerate(pairs):
-        cov, sx, sy = row[3 * i : 3 * i + 3]
-        out[pair] = cov / (sx * sy) if cov is not None and sx * sy > 0 else None
-    return out
-
-
-def rank_name(names: list[str], known: dict[str, int], rows: int, column: str, other: str) -> str:
-    """Name of ``column``'s rank among the rows where ``other`` is present."""
-    mask = names.index(other) if known[other] < rows else "all"
-    return f"rank_{names.index(column)}_{mask}"
-
-
-def rank_columns(
-    df: DataFrame, columns: dict[str, Column], known: dict[str, int], rows: int
-) -> DataFrame:
-    """One row per row of ``df`` with the average ranks of every column.
-
-    Ranks are found on distinct values and joined back by value.  Joins carry
-    no hint: the adaptive planner broadcasts a rank table whose measured size
-    allows it.  Rows of a hot value, and nulls, are salted.
-    """
-    names = list(columns)
-    cells = value_cells(df, columns, rows)
-    out = df.select(*[c.alias(f"x{i}") for i, c in enumerate(columns.values())])
-    values = out
-    salted = rows > ROWS_PER_SALT
-    if salted:
-        out = out.withColumn("spread", F.monotonically_increasing_id())
-    for i, name in enumerate(names):
-        others = [o for o in names if o != name]
-        masks = [names.index(o) for o in others if known[o] < rows]
-        if any(known[o] == rows for o in others):
-            masks.append("all")
-        ranks = _rank_table(values, cells, i, name, masks)
-        if salted:
-            sizes = _salt_counts(cells.hot[name], rows)
-            last = _salt_count(F.col("value"), sizes) - 1
-            ranks = ranks.withColumn("salt", F.explode(F.sequence(F.lit(0), last)))
-            mine = _salt_count(F.col(f"x{i}"), sizes, nulls=_power_of_two(rows))
-            out = out.withColumn("salt", F.pmod("spread", mine).cast("int"))
-            on = (out[f"x{i}"] == ranks["value"]) & (out["salt"] == ranks["salt"])
-            out = out.join(ranks, on, "left").drop("value").drop("salt")
-        else:
-            out = out.join(ranks, out[f"x{i}"] == ranks["value"], "left").drop("value")
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            xy, xx, yy = sums.get((i, j), (0.0, 0.0, 0.0))
+            out[a, names[j]] = xy / math.sqrt(xx * yy) if xx > 0 and yy > 0 else None
     return out
 
 
-def _power_of_two(rows: int) -> int:
-    """Salts needed to keep about ``ROWS_PER_SALT`` rows on each."""
-    return 1 << max(0, math.ceil(math.log2(rows / ROWS_PER_SALT)))
-
-
-def _salt_counts(hot: dict[float, int], rows: int) -> dict[int, list[float]]:
-    """Salt count -> values; in total about twice ``rows / ROWS_PER_SALT`` copies."""
-    sizes: dict[int, list[float]] = {}
-    for value, count in hot.items():
-        size = _power_of_two(min(count, rows))
-        if size > 1:
-            sizes.setdefault(size, []).append(value)
-    return sizes
-
-
-def _salt_count(value: Column, sizes: dict[int, list[float]], nulls: int = 1) -> Column:
-    out = F.when(value.isNull(), F.lit(nulls))
-    for size, values in sizes.items():
-        out = out.when(value.isin(values), F.lit(size))
-    return out.otherwise(F.lit(1))
-
-
-def _rank_table(values: DataFrame, cells: Cells, i: int, name: str, masks: list) -> DataFrame:
-    """(value, rank_<i>_<mask>...) for column ``i``."""
-    column = f"x{i}"
-    counts = [
-        (F.count("*") if m == "all" else F.count(f"x{m}")).alias(f"n_{m}") for m in masks
-    ]
-    table = (
-        values.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("value"))
-        .agg(*counts)
-        .withColumn("col", F.lit(i))
-    )
-    table = search_sorted(table, double_array(cells.edges[name]), len(cells.edges[name]), "value", "cell")
-    many = len(cells.edges[name]) > 0
-    if many:
-        ahead = W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
-        # one row per cell of this column: at most MAX_CELLS
-        offsets = table.groupBy("cell").agg(*[F.sum(f"n_{m}").alias(f"t_{m}") for m in masks])
-        offsets = offsets.select(
-            "cell", *[F.coalesce(F.sum(f"t_{m}").over(ahead), F.lit(0)).alias(f"o_{m}") for m in masks]
-        )
-    ranked = table.select(
-        "cell",
-        "value",
-        *[
-            (running(f"n_{m}") - (F.col(f"n_{m}") - 1) / F.lit(2.0)).alias(f"r_{m}")
-            for m in masks
-        ],
-        *[F.col(f"n_{m}") for m in masks],
-    )
-    if many:
-        ranked = ranked.join(F.broadcast(offsets), "cell")
-    place = {m: F.col(f"r_{m}") + (F.col(f"o_{m}") if many else F.lit(0)) for m in masks}
-    return ranked.select(
-        "value",
-        *[F.when(F.col(f"n_{m}") > 0, place[m]).alias(f"rank_{i}_{m}") for m in masks],
-    )
+def _ranked_rows(df: DataFrame, columns: dict[str, Column], masks: list[int | None], rows: int) -> DataFrame:
+    """``row, has``: for each row its present columns with their centred ranks, one for each mask."""
+    flags = {f"n{k}": list(columns.values())[m].isNotNull() if m is not None else F.lit(True) for k, m in enumerate(masks)}
+    counts = value_counts(df, value_cells(df, columns, rows), flags)
+    names = list(flags)
+    # Where a cell starts follows from the totals of the cells before it: one row for each cell.
+    totals = counts.groupBy("col", "cell").agg(*(F.sum(n).alias(f"t{n}") for n in names))
+    ahead = W.partitionBy("col").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("col", "cell", *((F.coalesce(F.sum(f"t{n}").over(ahead), F.lit(0)) - (F.sum(f"t{n}").over(W.partitionBy("col")) + 1) / 2).alias(f"o{n}") for n in names))
+    # Average rank less the mean of all ranks, so that products need no further centring.
+    ranks = counts.select("col", "cell", "value", *names, *((running(n) - (F.col(n) - 1) / F.lit(2.0)).alias(f"r{n}") for n in names)).join(starts, ["col", "cell"])
+    ranks = ranks.select("col", "value", F.array(*(F.when(F.col(n) > 0, F.col(f"r{n}") + F.col(f"o{n}")) for n in names)).alias("ranks"))
+    entries = [F.struct(F.lit(i).alias("col"), c.alias("value")) for i, c in enumerate(columns.values())]
+    long = df.select(F.monotonically_increasing_id().alias("row"), F.array(*entries).alias("e")).select("row", F.inline("e")).where("value IS NOT NULL")
+    # A value of very many rows makes one large partition, which adaptive execution cuts.
+    met = long.join(ranks.hint("merge"), ["col", "value"])
+    return met.groupBy("row").agg(F.collect_list(F.struct("col", "ranks")).alias("has"))
+
+
+def _rank_products(rows: DataFrame, width: int, masks: list[int | None]) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """Sums of products of the centred ranks of each column pair, and of their squares."""
+    place = {m: k for k, m in enumerate(masks)}
+    mask = [place.get(i, 0) for i in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, width, width))
+        for batch in batches:
+            has = batch.column("has")
+            ends = has.offsets.to_numpy()
+            cells = has.flatten()
+            row = np.repeat(np.arange(len(has)), np.diff(ends))
+            cell_ranks = cells.field("ranks")
+            values = cell_ranks.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(masks))
+            dense = np.full((len(masks), width, len(has)), np.nan)
+            dense[:, cells.field("col").to_numpy(), row] = values.T
+            # dense[mask[j], i]: ranks of column i among the rows where j is present.
+            for i in range(width):
+                mine = dense[mask, i]
+                other = dense[mask[i]]
+                both = ~np.isnan(other) & ~np.isnan(dense[mask[i], i])
+                x, y = np.where(both, mine, 0.0), np.where(both, other, 0.0)
+                sums[0, i] += np.einsum("jr,jr->j", x, y)
+                sums[1, i] += np.einsum("jr,jr->j", x, x)
+                sums[2, i] += np.einsum("jr,jr->j", y, y)
+        i, j = np.triu_indices(width, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i, j, *sums[:, i, j])], ["i", "j", "xy", "xx", "yy"])
+
+    found = rows.select("has").mapInArrow(run, "i long, j long, xy double, xx double, yy double")
+    found = found.groupBy("i", "j").agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"))
+    return {(r["i"], r["j"]): (r["xy"], r["xx"], r["yy"]) for r in found.collect()}

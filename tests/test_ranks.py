@@ -11,9 +11,8 @@ from synthtab.operators.profile import Profiler
 
 @pytest.fixture
 def small_cells(monkeypatch):
-    """Many cells and salts although the tables are small."""
+    """Many cells although the tables are small."""
     monkeypatch.setattr(ranks, "ROWS_PER_CELL", 150)
-    monkeypatch.setattr(ranks, "ROWS_PER_SALT", 100)
 
 
 def messy(spark, n=3000, seed=3):
@@ -87,6 +86,18 @@ def test_exact_k_breaks_ties_by_key(spark):
     assert [i for i in got if i % 10 == 2] == [2 + 10 * i for i in range(50)]
 
 
+def test_exact_k_with_one_draw_for_all_rows(spark):
+    """Any number of ties: the key decides, and a key that repeats is refused."""
+    df = spark.range(5000)
+    key = F.format_string("é%05d", F.col("id"))
+    for k in (1, 1234, 4999):
+        chosen = ranks.exact_k(df, {"a": ranks.Choice(F.lit(0.25), k, 5000)}, key)["a"]
+        assert sorted(r[0] for r in df.filter(chosen).collect()) == list(range(k))
+    for part, k in ((F.col("id") % 7, 700), (F.when(F.col("id") < 4000, F.col("id")).otherwise(F.lit(7777)), 4500)):
+        with pytest.raises(ValueError, match="not unique"):
+            ranks.exact_k(df, {"a": ranks.Choice(F.lit(0.25), k, 5000)}, part.cast("string"))
+
+
 def test_exact_k_refuses_repeated_keys(spark):
     df = spark.range(100).select((F.col("id") % 2).alias("k"))
     key = row_key(df, "k")
@@ -116,6 +127,22 @@ def test_spearman_equals_pandas(spark, cells, request):
             assert rho == pytest.approx(expected.loc[a, b], abs=1e-12)
 
 
+def test_spearman_deals_the_table_out_twice(spark):
+    """As many shuffles for nine columns as for two, and no expression for each pair."""
+    pdf, df = messy(spark)
+    wide = {f"{c}{i}": ranks.clean_double(F.col(c) * (i + 1)) for c in COLUMNS[:3] for i in range(3)}
+
+    def plan(names):
+        some = {n: wide[n] for n in names}
+        return ranks._ranked_rows(df, some, [None], len(pdf))._jdf.queryExecution().optimizedPlan().toString()
+
+    two, nine = plan(list(wide)[:2]), plan(list(wide))
+    assert two.count("Join") == nine.count("Join") and two.count("Aggregate") == nine.count("Aggregate")
+    found = ranks.spearman(df, wide)
+    expected = pd.DataFrame({n: pdf[n[:-1]] for n in wide}).corr(method="spearman")
+    assert all(rho == pytest.approx(expected.loc[a, b], abs=1e-12) for (a, b), rho in found.items()) and len(found) == 36
+
+
 def ks_brute_force(a, b):
     a, b = np.sort(a), np.sort(b)
     points = np.concatenate([a, b])

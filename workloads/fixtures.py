@@ -280,6 +280,7 @@ BATCH = [
     ColumnSpec("fee", "numeric", "uniform", min=0.0, max=8.0, null_ratio=0.05),
 ]
 # the feedback moves means and null ratios, which these samplers do not use
+LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 FLAT_BATCH = [
     ColumnSpec("note"),
     ColumnSpec("price", "numeric", "uniform", min=0.0, max=100.0),

@@ -739,8 +739,8 @@ def rho_rows(source: str, columns: list[str]) -> str:
     )
 
 
-ORACLES["spearman_lineitem"] = rho_rows("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-ORACLES["spearman_masked"] = f"WITH {MASKED} " + rho_rows("m", ["l_quantity", "tax_mcar", "price_mar", "fee_mnar"])
+ORACLES["spearman_lineitem"] = rho_rows("lineitem", fx.LINEITEM_NUMERIC)
+ORACLES["spearman_masked"] = f"WITH {MASKED} " + rho_rows("m", M_NUMERIC)
 
 
 def _quality_generated() -> str:
