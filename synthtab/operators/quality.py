@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from synthtab.functions.columns import as_double, count_if, is_missing, is_numeric
@@ -52,73 +52,95 @@ def _collected(spark: SparkSession, specs: tuple[ColumnSpec, ...]) -> dict[str,
     return {c: table[c].to_numpy(dtype=float) for c in table.columns}
 
 
-def ks_columns(df: DataFrame, specs: Iterable[ColumnSpec | Mapping]) -> dict[str, float]:
-    """KS distance of each numeric column (at least 10 values) to the reference sample."""
-    wanted = tuple(s for s in reference_specs(specs) if s.name in df.columns and is_numeric(df, s.name))
+def _scored(df: DataFrame, specs: Iterable[ColumnSpec | Mapping]) -> tuple[ColumnSpec, ...]:
+    return tuple(s for s in reference_specs(specs) if s.name in df.columns and is_numeric(df, s.name))
+
+
+def _ks(df: DataFrame, specs: Iterable[ColumnSpec | Mapping], group: Column | None = None) -> dict[int, dict[str, float]]:
+    wanted = _scored(df, specs)
     if not wanted:
         return {}
-    samples = _collected(df.sparkSession, wanted)
     columns = {s.name: as_double(df, s.name) for s in wanted}
-    found = ranks.ks_against_samples(df, columns, samples)
-    return {c: round(f[0], 4) for c, f in found.items() if f is not None and f[1] >= 10}
+    found = ranks.ks_of_groups(df, columns, _collected(df.sparkSession, wanted), group)
+    return {g: {c: round(k[c][0], 4) for c in columns if c in k and k[c][1] >= 10} for g, k in found.items()}
 
 
-def _present(df: DataFrame, specs: list[ColumnSpec]) -> tuple[int, dict[str, int]]:
-    """Row count and non-null counts of the schema's columns, in one pass."""
+def ks_columns(df: DataFrame, specs: Iterable[ColumnSpec | Mapping]) -> dict[str, float]:
+    """KS distance of each numeric column (at least 10 values) to the reference sample."""
+    return _ks(df, specs).get(0, {})
+
+
+Counts = dict[int, tuple[int, dict[str, int]]]
+
+
+def _present(df: DataFrame, specs: list[ColumnSpec], group: Column | None = None) -> Counts:
+    """Row count and non-null counts of the schema's columns for each group, in one pass."""
     wanted = [s.name for s in specs if s.name in df.columns]
-    row = df.agg(F.count("*"), *[count_if(~is_missing(df, c)) for c in wanted]).first()
-    return row[0], {c: row[i + 1] for i, c in enumerate(wanted)}
+    by = (F.lit(0) if group is None else group).alias("batch of rows")
+    found = df.groupBy(by).agg(F.count("*"), *[count_if(~is_missing(df, c)) for c in wanted]).collect()
+    return {r[0]: (r[1], {c: r[i + 2] for i, c in enumerate(wanted)}) for r in found}
 
 
-def null_drift(
-    df: DataFrame, specs: Iterable[ColumnSpec | Mapping], counts: tuple[int, dict[str, int]] | None = None
-) -> dict[str, float]:
+def _drift(specs: list[ColumnSpec], rows: int, present: dict[str, int]) -> dict[str, float]:
+    return {s.name: round(abs(1 - present[s.name] / rows - (s.null_ratio or 0.0)), 4) for s in specs if s.name in present}
+
+
+def null_drift(df: DataFrame, specs: Iterable[ColumnSpec | Mapping]) -> dict[str, float]:
     """Distance of each column's null share from the schema's null ratio."""
     specs = last_wins(as_specs(specs))
-    rows, present = counts or _present(df, specs)
-    if not rows:
+    counts = _present(df, specs)
+    return _drift(specs, *counts[0]) if counts else {}
+
+
+def _correlations(df: DataFrame, specs: Iterable[ColumnSpec | Mapping], counts: Counts, group: Column | None = None) -> dict[int, float | None]:
+    wanted = _scored(df, specs)
+    if len(wanted) < 2 or not counts:
         return {}
-    return {
-        s.name: round(abs(1 - present[s.name] / rows - (s.null_ratio or 0.0)), 4)
-        for s in specs
-        if s.name in present
-    }
+    found = ranks.spearman_of_groups(df, {s.name: as_double(df, s.name) for s in wanted}, counts, group)
+    expected = pd.DataFrame(_collected(df.sparkSession, wanted)).rank().corr()
+    out: dict[int, float | None] = {}
+    for g, pairs in found.items():
+        gaps = [None if rho is None or np.isnan(expected.loc[a, b]) else abs(rho - expected.loc[a, b]) for (a, b), rho in pairs.items()]
+        out[g] = None if None in gaps else round(float(2 * sum(gaps)) / len(wanted) ** 2, 4)
+    return out
 
 
-def correlation_difference(
-    df: DataFrame, specs: Iterable[ColumnSpec | Mapping], counts: tuple[int, dict[str, int]] | None = None
-) -> float | None:
+def correlation_difference(df: DataFrame, specs: Iterable[ColumnSpec | Mapping]) -> float | None:
     """Mean absolute difference of the Spearman matrices, diagonal included.
 
     None with fewer than two numeric columns or where a column is constant.
     """
-    wanted = tuple(s for s in reference_specs(specs) if s.name in df.columns and is_numeric(df, s.name))
-    if len(wanted) < 2:
-        return None
-    rows, present = counts or _present(df, list(wanted))
-    batch = ranks.spearman(df, {s.name: as_double(df, s.name) for s in wanted}, present, rows)
-    expected = pd.DataFrame(_collected(df.sparkSession, wanted)).rank().corr()
-    total = 0.0
-    for (a, b), value in batch.items():
-        other = expected.loc[a, b]
-        if value is None or np.isnan(other):
-            return None
-        total += 2 * abs(value - other)
-    return round(float(total) / len(wanted) ** 2, 4)
+    return _correlations(df, specs, _present(df, list(_scored(df, specs)))).get(0)
+
+
+def score_batches(df: DataFrame, specs: Iterable[ColumnSpec | Mapping], group: str) -> dict[int, dict[str, float]]:
+    """All metrics of each batch (the rows with one number in column ``group``) and its composite score.
+
+    Counts, KS distances and rank correlations are each found for all batches
+    at once, so the number of passes does not depend on that of batches.
+    """
+    specs = last_wins(as_specs(specs))
+    counts = _present(df, specs, F.col(group))
+    ks, correlations = _ks(df, specs, F.col(group)), _correlations(df, specs, counts, F.col(group))
+    return {g: _metrics(specs, ks.get(g, {}), _drift(specs, *found), correlations.get(g)) for g, found in counts.items()}
 
 
 def score_batch(df: DataFrame, specs: Iterable[ColumnSpec | Mapping]) -> dict[str, float]:
     """All metrics of one batch and the composite score in [0, 1]."""
     specs = last_wins(as_specs(specs))
     counts = _present(df, specs)
-    ks, drift = ks_columns(df, specs), null_drift(df, specs, counts)
+    if not counts:
+        return _metrics(specs, {}, {}, None)
+    return _metrics(specs, _ks(df, specs).get(0, {}), _drift(specs, *counts[0]), _correlations(df, specs, counts).get(0))
+
+
+def _metrics(specs: list[ColumnSpec], ks: dict[str, float], drift: dict[str, float], difference: float | None) -> dict[str, float]:
     metrics: dict[str, float] = {}
     for spec in specs:
         if spec.name in ks:
             metrics[f"ks_{spec.name}"] = ks[spec.name]
         if spec.name in drift:
             metrics[f"null_drift_{spec.name}"] = drift[spec.name]
-    difference = correlation_difference(df, specs, counts)
     if difference is not None:
         metrics["corr_diff"] = difference
     metrics["ks_mean"] = round(float(np.mean(list(ks.values()))), 4) if ks else 0.0

@@ -393,27 +393,31 @@ def value_cells(df: DataFrame, columns: dict[str, Column], rows: int) -> Cells:
 
 
 def with_cell(df: DataFrame, cells: Cells, column: str, value: str) -> DataFrame:
-    """Add ``cell`` to a table whose ``column`` numbers the columns of ``cells``."""
+    """Add ``cell`` to a table whose ``column`` numbers the columns of ``cells``, group after group."""
     if cells.longest == 0:
         return df.withColumn("cell", F.lit(0))
-    arrays = F.get(double_arrays(list(cells.edges.values())), F.col(column))
+    arrays = F.get(double_arrays(list(cells.edges.values())), F.col(column) % len(cells.edges))
     return search_sorted(df, arrays, cells.longest, value, "cell")
 
 
-def value_counts(df: DataFrame, cells: Cells, flags: dict[str, Column] | None = None) -> DataFrame:
+def _numbered(columns: list[Column], group: Column | None) -> Column:
+    """``col, value`` of each column as an array; the columns of group g are numbered from g times their number on."""
+    first = F.lit(0) if group is None else group.cast("int") * len(columns)
+    return F.array(*(F.struct((first + i).alias("col"), c.alias("value")) for i, c in enumerate(columns)))
+
+
+def value_counts(df: DataFrame, cells: Cells, flags: dict[str, Column] | None = None, group: Column | None = None) -> DataFrame:
     """(col, cell, value, n, <flags>): rows per distinct value of every column.
 
-    ``col`` is the position of the column in ``cells``; each flag is the sum
-    of a 0/1 column.  Counts are combined before the shuffle, so a value that
-    holds a third of the rows costs one row per task.
+    ``col`` is the position of the column in ``cells`` (see ``_numbered`` for
+    groups of rows); each flag is the sum of a 0/1 column.  Counts are combined
+    before the shuffle, so a value that holds a third of the rows costs one row
+    per task.
     """
     flags = flags or {}
-    entries = [
-        F.struct(F.lit(i).alias("col"), c.alias("value")) for i, c in enumerate(cells.columns.values())
-    ]
     names = list(flags)
     long = df.select(
-        F.inline(F.array(*entries)), *[flags[f].cast("int").alias(f) for f in names]
+        F.inline(_numbered(list(cells.columns.values()), group)), *[flags[f].cast("int").alias(f) for f in names]
     ).filter("value IS NOT NULL")
     counted = long.groupBy("col", "value").agg(
         F.count("*").alias("n"), *[F.sum(f).alias(f) for f in names]
@@ -449,15 +453,16 @@ def kolmogorov_p(distance: float, n1: int, n2: int) -> float:
     return min(1.0, max(0.0, math.fsum(terms)))
 
 
-def ks_against_samples(
-    df: DataFrame, columns: dict[str, Column], samples: dict[str, np.ndarray]
-) -> dict[str, tuple[float, int] | None]:
-    """Exact two-sample KS distance of each column to a small fixed sample.
+def ks_of_groups(
+    df: DataFrame, columns: dict[str, Column], samples: dict[str, np.ndarray], group: Column | None = None
+) -> dict[int, dict[str, tuple[float, int]]]:
+    """Exact two-sample KS distance of each column to a small fixed sample, for each group of rows in one pass.
 
     The largest difference of the two step functions is reached at sample
     points, so a value only matters through its position among the sorted
     distinct sample values: at most twice the sample size plus one groups.
-    Returns (distance, non-null count), None for an empty column.
+    Returns (distance, non-null count) by group (0 without one) and column;
+    nothing for an empty column.
     """
     names = [n for n in columns if n in samples]
     if not names:
@@ -465,11 +470,8 @@ def ks_against_samples(
     points = {n: np.unique(samples[n]) for n in names}
     arrays = double_arrays([points[n] for n in names])
     longest = max(len(p) for p in points.values())
-    entries = [
-        F.struct(F.lit(i).alias("col"), columns[n].alias("value")) for i, n in enumerate(names)
-    ]
-    long = df.select(F.inline(F.array(*entries))).filter("value IS NOT NULL")
-    at = F.get(arrays, F.col("col"))
+    long = df.select(F.inline(_numbered([columns[n] for n in names], group))).filter("value IS NOT NULL")
+    at = F.get(arrays, F.col("col") % len(names))
     long = search_sorted(long.select("col", "value"), at, longest, "value", "left")
     same = F.coalesce(F.get(at, F.col("left")) == F.col("value"), F.lit(False)).cast("int")
     table = (
@@ -479,11 +481,11 @@ def ks_against_samples(
         .toArrow()
         .to_pandas()
     )
-    out: dict[str, tuple[float, int] | None] = {n: None for n in names}
-    for i, group in table.groupby("col"):
-        name = names[i]
+    out: dict[int, dict[str, tuple[float, int]]] = {}
+    for i, found in table.groupby("col"):
+        name = names[i % len(names)]
         counts = np.zeros(2 * len(points[name]) + 1)
-        counts[group["place"].to_numpy()] = group["n"].to_numpy()
+        counts[found["place"].to_numpy()] = found["n"].to_numpy()
         total = counts.sum()
         cdf = np.cumsum(counts) / total
         ordered = np.sort(samples[name])
@@ -491,10 +493,18 @@ def ks_against_samples(
         before = np.concatenate([[0.0], reached[:-1]])
         at_point = np.abs(cdf[1::2] - reached)
         just_below = np.abs(cdf[0::2][:-1] - before)
-        out[name] = (float(max(at_point.max(), just_below.max())), int(total))
+        out.setdefault(i // len(names), {})[name] = (float(max(at_point.max(), just_below.max())), int(total))
     return out
 
 
+def ks_against_samples(
+    df: DataFrame, columns: dict[str, Column], samples: dict[str, np.ndarray]
+) -> dict[str, tuple[float, int] | None]:
+    """``ks_of_groups`` of the whole table; None for an empty column."""
+    found = ks_of_groups(df, columns, samples).get(0, {})
+    return {n: found.get(n) for n in columns if n in samples}
+
+
 # ---- Spearman --------------------------------------------------------------
 
 
@@ -506,32 +516,43 @@ def spearman(
     Average ranks, pairwise complete: the ranks of a pair are taken among the
     rows where both are present.  None where a column is constant.
     ``known`` are the non-null counts and ``rows`` the table size.
+    """
+    if known is None or rows is None:
+        counted = df.agg(F.count("*"), *[F.count(c) for c in columns.values()]).first()
+        rows, known = counted[0], {n: counted[i + 1] for i, n in enumerate(columns)}
+    return spearman_of_groups(df, columns, {0: (rows, known)})[0]
+
 
-    The table is dealt out twice, whatever the number of columns: by value,
-    where each cell meets its rank, and back by row, where the ranks of a row
-    are multiplied in blocks of rows; sums of pairs are all that leaves a task.
+def spearman_of_groups(
+    df: DataFrame, columns: dict[str, Column], known: dict[int, tuple[int, dict[str, int]]], group: Column | None = None
+) -> dict[int, dict[tuple[str, str], float | None]]:
+    """``spearman`` for each group of rows; ``known`` has the rows and non-null counts of each.
+
+    The table is dealt out twice, whatever the number of columns and groups: by
+    value, where each cell meets its rank, and back by row, where the ranks of
+    a row are multiplied in blocks of rows; sums of pairs are all that leaves a
+    task.
     """
     names = list(columns)
     if len(names) < 2:
-        return {}
-    if known is None or rows is None:
-        counted = df.agg(F.count("*"), *[F.count(c) for c in columns.values()]).first()
-        rows, known = counted[0], {n: counted[i + 1] for i, n in enumerate(names)}
+        return {g: {} for g in known}
     # Ranks among all rows, and among those where one of the columns with nulls is present.
-    masks = [None, *(i for i, n in enumerate(names) if known[n] < rows)]
-    sums = _rank_products(_ranked_rows(df, columns, masks, rows), len(names), masks)
-    out = {}
-    for i, a in enumerate(names):
-        for j in range(i + 1, len(names)):
-            xy, xx, yy = sums.get((i, j), (0.0, 0.0, 0.0))
-            out[a, names[j]] = xy / math.sqrt(xx * yy) if xx > 0 and yy > 0 else None
+    masks = [None, *(i for i, n in enumerate(names) if any(present[n] < rows for rows, present in known.values()))]
+    rows = sum(rows for rows, _ in known.values())
+    sums = _rank_products(_ranked_rows(df, columns, masks, rows, group), len(names), masks)
+    out: dict[int, dict[tuple[str, str], float | None]] = {g: {} for g in known}
+    for g, pairs in out.items():
+        for i, a in enumerate(names):
+            for j in range(i + 1, len(names)):
+                xy, xx, yy = sums.get((g, i, j), (0.0, 0.0, 0.0))
+                pairs[a, names[j]] = xy / math.sqrt(xx * yy) if xx > 0 and yy > 0 else None
     return out
 
 
-def _ranked_rows(df: DataFrame, columns: dict[str, Column], masks: list[int | None], rows: int) -> DataFrame:
+def _ranked_rows(df: DataFrame, columns: dict[str, Column], masks: list[int | None], rows: int, group: Column | None = None) -> DataFrame:
     """``row, has``: for each row its present columns with their centred ranks, one for each mask."""
     flags = {f"n{k}": list(columns.values())[m].isNotNull() if m is not None else F.lit(True) for k, m in enumerate(masks)}
-    counts = value_counts(df, value_cells(df, columns, rows), flags)
+    counts = value_counts(df, value_cells(df, columns, rows), flags, group)
     names = list(flags)
     # Where a cell starts follows from the totals of the cells before it: one row for each cell.
     totals = counts.groupBy("col", "cell").agg(*(F.sum(n).alias(f"t{n}") for n in names))
@@ -540,41 +561,48 @@ def _ranked_rows(df: DataFrame, columns: dict[str, Column], masks: list[int | No
     # Average rank less the mean of all ranks, so that products need no further centring.
     ranks = counts.select("col", "cell", "value", *names, *((running(n) - (F.col(n) - 1) / F.lit(2.0)).alias(f"r{n}") for n in names)).join(starts, ["col", "cell"])
     ranks = ranks.select("col", "value", F.array(*(F.when(F.col(n) > 0, F.col(f"r{n}") + F.col(f"o{n}")) for n in names)).alias("ranks"))
-    entries = [F.struct(F.lit(i).alias("col"), c.alias("value")) for i, c in enumerate(columns.values())]
-    long = df.select(F.monotonically_increasing_id().alias("row"), F.array(*entries).alias("e")).select("row", F.inline("e")).where("value IS NOT NULL")
+    long = df.select(F.monotonically_increasing_id().alias("row"), _numbered(list(columns.values()), group).alias("e"))
+    long = long.select("row", F.inline("e")).where("value IS NOT NULL")
     # A value of very many rows makes one large partition, which adaptive execution cuts.
     met = long.join(ranks.hint("merge"), ["col", "value"])
     return met.groupBy("row").agg(F.collect_list(F.struct("col", "ranks")).alias("has"))
 
 
-def _rank_products(rows: DataFrame, width: int, masks: list[int | None]) -> dict[tuple[int, int], tuple[float, float, float]]:
-    """Sums of products of the centred ranks of each column pair, and of their squares."""
+def _rank_products(rows: DataFrame, width: int, masks: list[int | None]) -> dict[tuple[int, int, int], tuple[float, float, float]]:
+    """Sums of products of the centred ranks of each group's column pairs, and of their squares."""
     place = {m: k for k, m in enumerate(masks)}
     mask = [place.get(i, 0) for i in range(width)]
 
+    def products(columns: np.ndarray, row: np.ndarray, ranks: np.ndarray, rows: int) -> np.ndarray:
+        dense = np.full((len(masks), width, rows), np.nan)
+        dense[:, columns, row] = ranks.T
+        # dense[mask[j], i]: ranks of column i among the rows where j is present.
+        out = np.zeros((3, width, width))
+        for i in range(width):
+            mine, other = dense[mask, i], dense[mask[i]]
+            both = ~np.isnan(other) & ~np.isnan(dense[mask[i], i])
+            x, y = np.where(both, mine, 0.0), np.where(both, other, 0.0)
+            out[:, i] = [np.einsum("jr,jr->j", p, q) for p, q in ((x, y), (x, x), (y, y))]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, width, width))
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             has = batch.column("has")
-            ends = has.offsets.to_numpy()
             cells = has.flatten()
-            row = np.repeat(np.arange(len(has)), np.diff(ends))
-            cell_ranks = cells.field("ranks")
-            values = cell_ranks.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(masks))
-            dense = np.full((len(masks), width, len(has)), np.nan)
-            dense[:, cells.field("col").to_numpy(), row] = values.T
-            # dense[mask[j], i]: ranks of column i among the rows where j is present.
-            for i in range(width):
-                mine = dense[mask, i]
-                other = dense[mask[i]]
-                both = ~np.isnan(other) & ~np.isnan(dense[mask[i], i])
-                x, y = np.where(both, mine, 0.0), np.where(both, other, 0.0)
-                sums[0, i] += np.einsum("jr,jr->j", x, y)
-                sums[1, i] += np.einsum("jr,jr->j", x, x)
-                sums[2, i] += np.einsum("jr,jr->j", y, y)
+            row = np.repeat(np.arange(len(has)), np.diff(has.offsets.to_numpy()))
+            groups, columns = np.divmod(cells.field("col").to_numpy(), width)
+            ranks = cells.field("ranks").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(masks))
+            for g in np.unique(groups).tolist():
+                mine = groups == g
+                lines, at = np.unique(row[mine], return_inverse=True)
+                sums[g] = sums.get(g, 0.0) + products(columns[mine], at, ranks[mine], len(lines))
         i, j = np.triu_indices(width, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i, j, *sums[:, i, j])], ["i", "j", "xy", "xx", "yy"])
+        for g, found in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(i), g), i, j, *found[:, i, j])], ["g", "i", "j", "xy", "xx", "yy"])
 
-    found = rows.select("has").mapInArrow(run, "i long, j long, xy double, xx double, yy double")
-    found = found.groupBy("i", "j").agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"))
-    return {(r["i"], r["j"]): (r["xy"], r["xx"], r["yy"]) for r in found.collect()}
+    found = rows.select("has").mapInArrow(run, "g long, i long, j long, xy double, xx double, yy double")
+    found = found.groupBy("g", "i", "j").agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"))
+    return {(r["g"], r["i"], r["j"]): (r["xy"], r["xx"], r["yy"]) for r in found.collect()}

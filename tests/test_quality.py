@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import synthtab as st
 from synthtab.operators import quality
@@ -98,7 +99,7 @@ def test_generate_dataset(spark):
     clean = st.generate_dataset(spark, "e-commerce", 50, imperfections=False, seed=3).toPandas()
     assert clean.notna().all().all()
     assert st.generate_dataset(spark, "e-commerce", 5).count() == 5
-    with pytest.raises(RuntimeError, match="internal error"):
+    with pytest.raises(RuntimeError, match="no dataset could be made"):
         st.generate_dataset(spark, "x", 5, specs=[ColumnSpec("d", "datetime", min_date="never")])
 
 
@@ -130,3 +131,46 @@ def test_numbers_go_on_across_batches(spark):
     assert sorted(r[0] for r in made.data.collect()) == [f"Note {i}" for i in range(1, 7)]
     again = st.batched_generate(spark, "custom", 6, 3, specs, False, seed=1, continue_numbers=False)
     assert sorted(r[0] for r in again.data.collect()) == sorted([f"Note {i}" for i in range(1, 4)] * 2)
+
+
+def jobs_of(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = work()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_batches_scored_together_equal_batches_scored_alone(spark):
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    parts = [st.generate(spark, SCHEMA, n, s) for n, s in ((300, 1), (40, 2), (5, 3), (200, 4))]
+    parts = [p.withColumn(p.columns[0], F.when(F.lit(i) != 3, F.col(p.columns[0]))) for i, p in enumerate(parts)]
+    wave = reduce(DataFrame.unionByName, [p.withColumn("b", F.lit(i * 3)) for i, p in enumerate(parts)])
+    found = quality.score_batches(wave, SCHEMA, "b")
+    assert found == {i * 3: quality.score_batch(p, SCHEMA) for i, p in enumerate(parts)}
+
+
+def test_jobs_of_a_wave_do_not_grow_with_its_batches(spark):
+    def made(n):
+        return st.batched_generate(spark, "e-commerce", n * 50, 50, seed=3, retries=1, threshold=2.0, wave=n)
+
+    (two, few), (seven, many) = (jobs_of(spark, f"wave {n}", lambda n=n: made(n)) for n in (2, 7))
+    assert many <= few + 3 and len(two.log) == 4 and len(seven.log) == 14
+    assert seven.data.count() == 350 and [e["attempt"] for e in seven.log] == [0, 1] * 7
+
+
+def test_waves_retry_single_batches_and_pass_feedback_on(spark):
+    """Only poor batches are made again; what the first wave measured changes the second."""
+    specs = [ColumnSpec("x", "numeric", "normal", mean=40.0, std=5.0, null_ratio=0.5)]
+    made = st.batched_generate(spark, "custom", 240, 60, specs, False, threshold=0.95, retries=2, seed=8, wave=2)
+    tries = {b: [e["attempt"] for e in made.log if e["batch"] == b] for b in range(4)}
+    assert all(t == list(range(len(t))) for t in tries.values()) and made.data.count() == 240
+    drift = {b: [e["null_drift_x"] for e in made.log if e["batch"] == b][-1] for b in range(4)}
+    # 0.5 less once the drift for each of two batches: the ratio is 0 from the second wave on.
+    assert drift == {0: 0.5, 1: 0.5, 2: 0.0, 3: 0.0}
+    alone = st.batched_generate(spark, "custom", 240, 60, specs, False, threshold=0.95, retries=2, seed=8)
+    assert [e["null_drift_x"] for e in alone.log if e["batch"] == 1][-1] == 0.0

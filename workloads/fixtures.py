@@ -286,6 +286,8 @@ FLAT_BATCH = [
     ColumnSpec("price", "numeric", "uniform", min=0.0, max=100.0),
     ColumnSpec("fee", "numeric", "uniform", min=0.0, max=8.0, null_ratio=0.05),
 ]
+#: Percent of nulls that a stored profile asks for, four times the share of the specs.
+FEE_NULLS = 20.0
 PROFILES = {
     "mcar": {"null_patterns": {"o_totalprice": {"null_pct": 20.0, "pattern": "MCAR"}, "o_orderstatus": {"null_pct": 10.0, "pattern": "OTHER"}}},
     "mar": {

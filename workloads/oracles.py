@@ -340,16 +340,25 @@ ORACLES["batch_union"] = " UNION ALL ".join(
 
 
 def _batched() -> str:
+    """Second attempts (seed + 1) of three batches; the wave of the first two sets the nulls of the third."""
     import random
 
-    seeds, parts = random.Random(5), []
-    size = "((count(*) + 2) // 3)"
-    for i in range(3):
-        ids = (
-            f"(SELECT unnest(range({i} * {size}, least({i + 1} * {size}, count(*)))) AS i FROM part)"
-        )
-        parts.append(generated(fx.FLAT_BATCH, "i", "i + 1", ids, seed=seeds.randrange(2**31)))
-    return union(parts)
+    seeds = random.Random(5)
+    tries = [seeds.randrange(2**31) + 1 for _ in range(3)]
+    size = "(((SELECT count(*) FROM orders) + 2) // 3)"
+    expected = num(next(s.null_ratio for s in fx.FLAT_BATCH if s.name == "fee"))
+    parts = []
+    for i, seed in enumerate(tries):
+        # A wave is damaged as one table, with the first seed in it.
+        wave, share = (tries[0], num(fx.FEE_NULLS)) if i < 2 else (tries[2], "(SELECT pct FROM p2)")
+        ids = f"(SELECT unnest(range({i} * {size}, least({i + 1} * {size}, (SELECT count(*) FROM orders)))) AS i)"
+        made = generated(fx.FLAT_BATCH, "i", "i + 1", ids, keep="i", seed=seed)
+        parts.append(f"b{i} AS (SELECT note, price, CASE WHEN {u('i', wave, 'fee:null')} >= {share} / 100.0::DOUBLE THEN fee END AS fee FROM ({made}))")
+    before = num(fx.FEE_NULLS)
+    for i, old in enumerate((before, "(SELECT pct FROM p1)")):
+        drift = f"(SELECT printf('%.4f', abs(1 - count(fee) / count(*)::DOUBLE - {expected}))::DOUBLE FROM b{i})"
+        parts.insert(2 + i, f"p{i + 1} AS (SELECT printf('%.2f', greatest(0, {old} - {drift} * 0.1::DOUBLE * 50))::DOUBLE AS pct)")
+    return f"WITH {', '.join(parts)} SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2"
 
 
 ORACLES["batched_generation"] = _batched()

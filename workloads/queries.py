@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -496,11 +497,20 @@ def quality_generated(spark, folder):
     return st.score_frame(stage(df.drop(key)), fx.BATCH)
 
 
+class StoredProfile:
+    """A catalog that holds one profile."""
+
+    def profile_json(self, domain: str) -> str:
+        return json.dumps({"null_patterns": {"fee": {"null_pct": fx.FEE_NULLS, "pattern": "MCAR"}}, "null_correlations": []})
+
+
 @query
 def batched_generation(spark, folder):
-    """Batches totalling the rows of ``part``, with feedback in between."""
-    rows = table(spark, folder, "part").count()
-    made = st.batched_generate(spark, "custom", rows, -(-rows // 3), fx.FLAT_BATCH, seed=5, retries=0, staged=True)
+    """Three batches totalling the rows of ``orders`` in two waves: every batch is made twice, and what the first wave measures changes the second."""
+    rows = table(spark, folder, "orders").count()
+    made = st.batched_generate(
+        spark, "custom", rows, -(-rows // 3), fx.FLAT_BATCH, seed=5, threshold=2.0, retries=1, staged=True, catalog=StoredProfile(), wave=2
+    )
     return rounded(made.data)
 
 
