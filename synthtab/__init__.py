@@ -5,6 +5,7 @@ from synthtab.operators.describe import (
     outlier_counts,
     preview,
     profile_columns,
+    profile_sources,
     table_summary,
     worst_nulls,
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,13 +18,13 @@ from synthtab.operators.profile import Profiler
 SAMPLES = 5
 
 
-def _labelled_values(df: DataFrame, names: list[str]) -> DataFrame:
-    """(col, num, v): every present value as text, with a number to order by.
+def _cells(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(col, num, v): every value as text (null where missing), with a number to order by.
 
     One scan for all columns, however the source is stored.
     """
     entries = []
-    for i, name in enumerate(names):
+    for i, name in enumerate(df.columns if names is None else names):
         value, number = col(name), F.lit(None).cast("double")
         if is_numeric(df, name):
             number = as_double(df, name)
@@ -31,7 +32,7 @@ def _labelled_values(df: DataFrame, names: list[str]) -> DataFrame:
                 value = F.when(value == 0, F.lit(0).cast(kind(df, name))).otherwise(value)  # no -0.0
         text = F.when(~is_missing(df, name), value.cast("string"))
         entries.append(F.struct(F.lit(i).alias("col"), number.alias("num"), text.alias("v")))
-    return df.select(F.inline(F.array(*entries))).filter("v IS NOT NULL")
+    return df.select(F.inline(F.array(*entries)))
 
 
 def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
@@ -60,7 +61,7 @@ def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
             )
         )
     moments = df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
-    values = _labelled_values(df, df.columns).distinct()
+    values = _cells(df).where("v IS NOT NULL").distinct()
     # row_number() <= k keeps k rows per column and task before the shuffle
     first = W.partitionBy("col").orderBy("num", "v")
     samples = (
@@ -85,6 +86,41 @@ def profile_columns(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     )
 
 
+def profile_sources(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``profile_columns`` of many tables at once, with ``source``, ``position`` and the ``rows`` of each table.
+
+    The cells of all tables are one long table (source, column, number,
+    text), so the jobs do not depend on the number of tables: one aggregate,
+    and one over the distinct cells.  Tables without rows have no null ratios.
+    """
+    parts, names = [], []
+    for at, (source, df) in enumerate(tables.items()):
+        names += [(at, source, i, c) for i, c in enumerate(df.columns)]
+        if df.columns:
+            parts.append(_cells(df).select(F.lit(at).alias("at"), "col", "num", "v"))
+    if not parts:
+        raise ValueError("no table has a column")
+    spark = parts[0].sparkSession
+    cells = reduce(DataFrame.unionByName, parts)
+    stats = cells.groupBy("at", "col").agg(
+        F.count("*").alias("rows"), F.avg(F.col("v").isNull().cast("double")).alias("null_ratio"), F.avg("num").alias("mean"),
+        F.stddev_samp("num").alias("std"), F.min("num").alias("min"), F.max("num").alias("max"),
+    )
+    values = cells.where("v IS NOT NULL").distinct()
+    first = W.partitionBy("at", "col").orderBy("num", "v")
+    samples = values.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLES)
+    samples = samples.groupBy("at", "col").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("samples"))
+    counts = values.groupBy("at", "col").agg(F.count("*").alias("exact"))
+    # One row for each column of each table.
+    out = spark.createDataFrame(names, "at int, source string, col int, column_name string")
+    out = out.join(stats, ["at", "col"], "left").join(samples, ["at", "col"], "left").join(counts, ["at", "col"], "left")
+    return out.select(
+        "source", F.col("col").alias("position"), "column_name", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), "null_ratio",
+        F.coalesce("exact", F.lit(0)).cast("bigint").alias("distinct_count"), "mean", "std", "min", "max",
+        F.coalesce(F.to_json(F.transform("samples", lambda s: s["v"])), F.lit("[]")).alias("sample_values"),
+    )
+
+
 def preview(df: DataFrame, order: str | list[str], rows: int = 20) -> DataFrame:
     """The first rows by the given order (a top-k, not a sort of the table)."""
     return df.orderBy(*([order] if isinstance(order, str) else order)).limit(rows)
@@ -180,7 +216,7 @@ def column_statistics(df: DataFrame) -> DataFrame:
     if not labels:
         empty = [F.lit(None).cast(t).alias(n) for n, t in (("unique", "bigint"), ("top", "string"), ("freq", "bigint"))]
         return moments.select("column_name", "count", *empty, *titles)
-    counted = _labelled_values(df, labels).groupBy("col", "v").agg(F.count("*").alias("n"))
+    counted = _cells(df, labels).where("v IS NOT NULL").groupBy("col", "v").agg(F.count("*").alias("n"))
     tops = counted.groupBy("col").agg(
         F.count("*").alias("unique"),
         F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"),

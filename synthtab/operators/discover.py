@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from synthtab.session import stage
 from synthtab.plans.imperfections import SEED_DOMAINS
 from synthtab.plans.spec import ColumnSpec, generic_schema
 from synthtab.sources.catalog import cache_get, cache_key, merged_schema
@@ -189,10 +190,6 @@ def catalog_specs(domains: DataFrame, datasets: DataFrame, columns: DataFrame) -
     return merged.groupBy("domain").agg(F.transform(ordered, lambda e: e["spec"]).alias("specs"))
 
 
-#: Tasks that share the rows of one domain.
-SALTS = 64
-
-
 def resolve_descriptions(
     df: DataFrame,
     text: str,
@@ -231,11 +228,11 @@ def resolve_descriptions(
     asked = F.when(F.col("source") == "catalog", F.col("_routed")).when(
         F.col("source") == "response", F.col("_answer.domain")
     )
-    # A dozen domains and null are asked for by all rows: each is dealt over many tasks, the few specs go to all of them.
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    known = specs_by_domain.select(F.col("domain").alias("_domain"), F.col("specs").alias("_known"), salts.alias("_salt"))
-    step = step.withColumn("_asked", asked).withColumn("_dealt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    step = step.join(known, (step["_asked"] == known["_domain"]) & (step["_dealt"] == known["_salt"]), "left")
+    # A dozen domains and null are asked for by all rows.  The specs are staged, so their size is known: a small table is
+    # broadcast, beside a large one adaptive execution cuts the rows of a frequent domain into several tasks.
+    known = stage(specs_by_domain.select(F.col("domain").alias("_domain"), F.col("specs").alias("_known")))
+    step = step.withColumn("_asked", asked)
+    step = step.join(known, step["_asked"] == known["_domain"], "left")
     answered = F.when(F.col("source") == "response", spec_array(F.col("_answer.columns")))
     specs = (
         F.when(F.col("source") == "catalog", F.coalesce("_known", generic_specs(F.col("_routed"))))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from synthtab.operators.describe import profile_columns
+from synthtab.operators.describe import profile_sources
 from synthtab.operators.profile import Fingerprint, fingerprint
 from synthtab.plans.imperfections import SEED_DOMAINS, default_profile, merge_profile, save_profile
 from synthtab.session import stage
@@ -41,44 +42,59 @@ def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
 READERS = {"url": _read_path, "folder": _read_folder, "parquet": _read_parquet}
 
 
-def scan_source(spark: SparkSession, path: str, kind: str = "url", approx_distinct: bool = False) -> DataFrame:
+def scan_source(spark: SparkSession, path: str, kind: str = "url") -> DataFrame:
     """Catalog column rows of one source: inferred types joined with measured statistics."""
-    df = READERS[kind](spark, path)
-    return _column_rows(df, stable_id(F.lit(path)), approx_distinct)
+    return _column_rows(spark, {path: READERS[kind](spark, path)})
 
 
-def _column_rows(df: DataFrame, dataset_id, approx_distinct: bool) -> DataFrame:
-    inferred = infer_columns(df).drop("null_ratio")
-    return inferred.join(profile_columns(df, approx_distinct), "column_name").withColumn("dataset_id", dataset_id)
+def _column_rows(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Catalog column rows of all tables, by path; the tables are measured together."""
+    inferred = [infer_columns(df).drop("null_ratio").withColumn("source", F.lit(path)) for path, df in tables.items()]
+    measured = profile_sources(tables).drop("column_name")
+    rows = reduce(DataFrame.unionByName, inferred).join(measured, ["source", "position"])
+    return rows.withColumn("dataset_id", stable_id(F.col("source")))
 
 
-def scan_sources(
-    catalog: Catalog, sources: Mapping[str, Iterable[Source]], approx_distinct: bool = False
-) -> DataFrame:
+def _measured(spark: SparkSession, tables: Mapping[str, DataFrame]) -> list[Row]:
+    """Column rows of all tables that can be read; one job for all, table by table only where that fails."""
+    try:
+        return _column_rows(spark, tables).collect() if tables else []  # one row per column
+    except Exception as error:
+        if len(tables) == 1:
+            logger.warning("scan of %s failed: %s", next(iter(tables)), error)
+            return []
+        return [row for path, df in tables.items() for row in _measured(spark, {path: df})]
+
+
+def scan_sources(catalog: Catalog, sources: Mapping[str, Iterable[Source]]) -> DataFrame:
     """Scan every source of every domain into the catalog.
 
-    Returns (domain, label, status) with ``ok``, ``failed`` or ``skipped``; one
-    failing source never stops the others.
+    All sources are measured in the same jobs.  Returns (domain, label,
+    status) with ``ok``, ``failed`` or ``skipped``; one failing source never
+    stops the others.
     """
     spark = catalog.spark
     catalog.add_domains([(d, SEED_DOMAINS.get(d, "")) for d in sources])
-    results, datasets, columns = [], [], []
-    for domain, entries in sources.items():
-        domain_id = catalog.domain(domain)["id"]
-        for kind, path, label in entries:
-            if kind not in READERS:
-                results.append((domain, f"{kind}:{path}", "skipped"))
-                continue
+    entries = [(domain, *entry) for domain, some in sources.items() for entry in some]
+    tables: dict[str, DataFrame] = {}
+    for _, kind, path, _ in entries:
+        if kind in READERS and path not in tables:
             try:
-                df = READERS[kind](spark, path)
-                rows = _column_rows(df, stable_id(F.lit(path)), approx_distinct)
-                found = spark.createDataFrame(rows.collect(), rows.schema)  # one row per column
-                columns.append(found)
-                datasets.append((kind, path, domain_id, label, df.count(), len(df.columns)))
-                results.append((domain, label, "ok"))
+                tables[path] = READERS[kind](spark, path)
             except Exception as error:
-                logger.warning("scan of %s failed: %s", path, error)
-                results.append((domain, label, "failed"))
+                logger.warning("%s cannot be read: %s", path, error)
+    rows = _measured(spark, tables)
+    counts = {r["source"]: r["rows"] for r in rows}
+    results, datasets = [], []
+    for domain, kind, path, label in entries:
+        if kind not in READERS:
+            results.append((domain, f"{kind}:{path}", "skipped"))
+        elif path not in counts:
+            results.append((domain, label, "failed"))
+        else:
+            domain_id = catalog.domain(domain)["id"]
+            datasets.append((kind, path, domain_id, label, counts[path], len(tables[path].columns)))
+            results.append((domain, label, "ok"))
     if datasets:
         incoming = spark.createDataFrame(
             datasets,
@@ -86,13 +102,17 @@ def scan_sources(
             "row_count bigint, column_count bigint",
         ).withColumn("crawled_at", F.now())
         catalog.put_datasets(incoming)
-        everything = columns[0]
-        for more in columns[1:]:
-            everything = everything.unionByName(more)
-        catalog.put_columns(everything)
+        catalog.put_columns(spark.createDataFrame(rows, COLUMN_ROWS))
     return spark.createDataFrame(results, "domain string, label string, status string")
 
 
+#: What ``_column_rows`` gives; the catalog takes the columns it knows.
+COLUMN_ROWS = (
+    "source string, position int, column_name string, column_description string, data_type string, rows bigint, null_ratio double, "
+    "distinct_count bigint, mean double, std double, min double, max double, sample_values string, dataset_id bigint"
+)
+
+
 def fingerprint_csv(spark: SparkSession, path: str, domain: str = "", dataset: str = "") -> Fingerprint | None:
     """Fingerprint of a delimited file; None if it cannot be read."""
     try:

@@ -280,6 +280,13 @@ BATCH = [
     ColumnSpec("fee", "numeric", "uniform", min=0.0, max=8.0, null_ratio=0.05),
 ]
 # the feedback moves means and null ratios, which these samplers do not use
+#: Tables that are profiled together, and whether their columns are numeric.
+SCANNED = {
+    "customer": {"c_custkey": True, "c_name": False, "c_nationkey": True, "c_acctbal": True, "c_mktsegment": False},
+    "orders": {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_totalprice": True, "o_orderdate": False, "o_orderpriority": False},
+    "part": {"p_partkey": True, "p_name": False, "p_brand": False, "p_type": False, "p_size": True, "p_retailprice": True},
+    "supplier": {"s_suppkey": True, "s_name": False, "s_nationkey": True, "s_acctbal": True},
+}
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 FLAT_BATCH = [
     ColumnSpec("note"),

@@ -617,6 +617,9 @@ def column_profile(source: str, columns: dict[str, bool], places: int = 6) -> st
 ORACLES["profile_columns_orders"] = column_profile(
     "orders", {"o_orderkey": True, "o_custkey": True, "o_totalprice": True, "o_orderstatus": False, "o_orderpriority": False}
 )
+ORACLES["scan_tables"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS source, (SELECT count(*) FROM {t}) AS rows, * FROM ({column_profile(t, columns)})" for t, columns in fx.SCANNED.items()
+)
 ORACLES["profile_columns_masked"] = f"WITH {MASKED} " + column_profile(
     "m", {"l_quantity": True, "l_discount": True, "tax_mcar": True, "price_mar": True, "flag_b": False}, 4
 )

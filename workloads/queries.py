@@ -328,6 +328,13 @@ def profile_columns_masked(spark, folder):
     return rounded(st.profile_columns(df), 4)
 
 
+@query
+def scan_tables(spark, folder):
+    """Column statistics of four whole tables, measured in the same jobs."""
+    found = st.profile_sources({name: table(spark, folder, name) for name in fx.SCANNED})
+    return rounded(found.drop("position"))
+
+
 # ---- files -------------------------------------------------------------------------------
 
 
