@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from synthtab.session import drop_staged as drop_stage
 from synthtab.session import staged_path as fresh_path
 
-#: A key with more than one in ``HOT_PARTS`` of the rows is hot, so there are at most ``HOT_PARTS`` hot keys.
-HOT_PARTS = 100
-
-
 _shipped: set[str] = set()
 
 
@@ -70,15 +66,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_cells(rows: DataFrame, cells: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``cells`` (one row for each key, ``count``: its rows among ``total``).
+def join_cells(rows: DataFrame, cells: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``cells``, which have one row for each key.
 
-    A key with over 1/100 of all rows would fill one task: there are at most
-    100 of those, so that side is broadcast and its rows stay where they are.
-    Every other key is small enough for a shuffle.
+    Always a sort-merge join, at any size, so that adaptive execution (on by
+    default) cuts every partition of ``rows`` beyond its limit of bytes into
+    several tasks and gives each the cells: a key may hold any share of the
+    rows, and any number of keys may be hot.  ``cells`` have to be a staged
+    table for that (an aggregate right below the join would be bound to its
+    partitions), and what follows must not ask for the same keys again.
     """
-    most = max(1000, total // HOT_PARTS)
-    hot = F.broadcast(cells.where(F.col(count) > most))
-    cold = cells.where(F.col(count) <= most)
-    rest = rows.join(hot.select(*keys), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(rest.join(cold, keys))
+    return rows.join(cells.hint("merge"), keys, how)

@@ -8,26 +8,26 @@ from pyspark.sql import functions as F
 from synthtab.llm.common import drop_stage, join_cells, write_stage
 
 
-def star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """Join the neighbours of each vertex to the smallest of them.
+def star(edges: DataFrame, large: bool) -> tuple[DataFrame, list[str]]:
+    """Join the neighbours of each vertex to the smallest of them; staged, with the paths to drop later.
 
     Large: neighbours greater than the vertex.  Small: the vertex itself and
     neighbours smaller than it.
     """
     if large:
         near = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
-        rows = 2 * total
     else:
         near = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w"))
-        rows = total
-    least = near.groupBy("v").agg(F.min("w").alias("least"), F.count(F.lit(1)).alias("n"))
-    met = join_cells(near, least, ["v"], "n", rows).withColumn("m", F.least("v", "least"))
+    least = near.groupBy("v").agg(F.min("w").alias("least"))
+    least, path = write_stage(least, "links-least")
+    met = join_cells(near, least, ["v"]).withColumn("m", F.least("v", "least"))
     if large:
         out = met.where("w > v").select(F.col("w").alias("a"), F.col("m").alias("b"))
     else:
         out = met.where("w > m").select(F.col("w").alias("a"), F.col("m").alias("b"))
         out = out.unionByName(least.select(F.col("v").alias("a"), F.col("least").alias("b")))
-    return out.where("a <> b").distinct()
+    out, links = write_stage(out.where("a <> b").distinct(), "links")
+    return out, [path, links]
 
 
 def connected(links: DataFrame) -> tuple[DataFrame, str]:
@@ -43,10 +43,10 @@ def connected(links: DataFrame) -> tuple[DataFrame, str]:
         if before == seen or not seen["n"]:
             break
         before = seen
-        grown, first = write_stage(star(edges, True, seen["n"]), "links")
-        edges, second = write_stage(star(grown, False, seen["n"]), "links")
-        drop_stage(spark, path, first)
-        path = second
+        grown, first = star(edges, True)
+        edges, second = star(grown, False)
+        drop_stage(spark, path, *first, *second[:-1])
+        path = second[-1]
     out = edges.select(F.col("a").alias("v"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct()
     out, done = write_stage(out.unionByName(roots), "components")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthtab.llm.common import HOT_PARTS, drop_stage, fresh_path, write_stage
+from synthtab.llm.common import drop_stage, fresh_path, join_cells, write_stage
 
 FIRST_DIGIT = 64
 GROWTH = 8
@@ -32,23 +32,12 @@ def split_groups(rows: DataFrame, width: int) -> tuple[str, int]:
     cells, cells_path = write_stage(cells, "radix-cells")
     cells = cells.withColumn("next", F.monotonically_increasing_id()).withColumn("ended", F.length("digit") < width)
     open_rows = cells.where(~F.col("ended")).agg(F.sum("n")).first()[0] or 0
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    # At most 100 cells hold over a hundredth of these rows: they are broadcast (65,536 bytes each at most), and
-    # their rows are dealt out at random; the other rows meet their cells in a shuffle.
-    large = F.col("n") > max(1000, total // HOT_PARTS)
-    hot = F.broadcast(cells.where(large).select("label", "digit", F.struct("n", "least", "next", "ended").alias("hot")))
-    cold = cells.where(~large).select("label", "digit", F.lit(0).alias("spread"), F.struct("n", "least", "next", "ended").alias("cold"))
-    dealt = rows.withColumn("digit", digit).join(hot, ["label", "digit"], "left")
-    dealt = dealt.withColumn("spread", F.when(F.col("hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "source_row"), F.lit(1 << 30)).cast("int")))
-    dealt = dealt.withColumn("digit", F.when(F.col("hot").isNull(), F.col("digit")))
-    # Always a shuffle, at any size: cells are not small where texts are many.
-    met = dealt.join(cold.hint("merge"), ["label", "digit", "spread"], "left")
-    cell = F.coalesce("hot", "cold")
-    goes_on = F.coalesce(~cell["ended"], F.lit(False))
+    met = join_cells(rows.withColumn("digit", digit), cells, ["label", "digit"], "left")
+    goes_on = F.coalesce(~F.col("ended"), F.lit(False))
     met = met.select(
-        "doc_id", "source_row", "sha", goes_on.alias("open"), F.when(goes_on, cell["next"]).alias("label"),
+        "doc_id", "sha", goes_on.alias("open"), F.when(goes_on, F.col("next")).alias("label"),
         F.when(goes_on, F.substr("body", F.lit(width + 1))).alias("body"),
-        F.coalesce(cell["least"], "doc_id").alias("keep_id"), F.coalesce(cell["n"], F.lit(1)).alias("group_size"),
+        F.coalesce("least", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"),
     )
     path = fresh_path(spark, "radix-round")
     met.write.partitionBy("open").option("compression", "zstd").parquet(path)
@@ -67,8 +56,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     body = normalised()
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("source_row"),
-        F.lit(0).cast("long").alias("label"), body.cast("binary").alias("body"), F.unhex(F.sha2(body, 256)).alias("sha"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("label"), body.cast("binary").alias("body"), F.unhex(F.sha2(body, 256)).alias("sha"),
     )
     done, width = [], FIRST_DIGIT
     old = None
@@ -80,7 +68,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         if not left:
             break
         old = path
-        rows = spark.read.schema("doc_id long, source_row long, sha binary, label long, body binary").parquet(f"{path}/open=true")
+        rows = spark.read.schema("doc_id long, sha binary, label long, body binary").parquet(f"{path}/open=true")
         width = min(width * GROWTH, LONGEST_DIGIT)
     done = [d for d in done if d is not None]
     if not done:

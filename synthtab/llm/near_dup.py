@@ -332,13 +332,13 @@ def near_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     rows, rows_path = write_stage(features(docs, words), "near-features")
     known = rows.where("doc_id is not null and n_shingles > 0")
-    sets = known.groupBy("set_a", "set_b").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("first"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
-    sets = sets.select("set_a", "set_b", F.col("first.doc_id").alias("doc_id"), F.col("first.sig").alias("sig"), "size", "n")
+    sets = known.groupBy("set_a", "set_b").agg(F.min_by(F.struct("doc_id", "sig"), "doc_id").alias("first"), F.first("n_shingles").alias("size"))
+    sets = sets.select("set_a", "set_b", F.col("first.doc_id").alias("doc_id"), F.col("first.sig").alias("sig"), "size")
     classes, classes_path = write_stage(sets.withColumn("id", F.monotonically_increasing_id()), "near-classes")
     keys = keyed(classes)
-    cells, cells_path = write_stage(keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-cells")
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    members, members_path = write_stage(join_cells(keys, cells, ["key"], "n", total), "near-members")
+    cells = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    cells, cells_path = write_stage(cells, "near-cells")
+    members, members_path = write_stage(join_cells(keys, cells, ["key"]), "near-members")
     some = members.select("id").distinct()
     asked, asked_path = write_stage(classes.join(some, "id", "left_semi"), "near-asked")
     bodies, bodies_path = write_stage(shingle_table(docs, asked, words), "near-sets")
@@ -349,19 +349,18 @@ def near_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     placed = members.join(parts.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # A key whose members are in one component has no more to give.
     mixed = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * 8 + MEMBER_BYTES).alias("bytes")).groupBy("key").agg(
-        F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("components"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes")
+        F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("components"), F.sum("bytes").alias("bytes")
     )
-    mixed = mixed.where("components > 1").select("key", "main", "rows", "bytes")
-    placed = join_cells(placed.select("key", "slot", "id", "size", "component"), mixed, ["key"], "rows", total)
+    mixed, mixed_path = write_stage(mixed.where("components > 1").select("key", "main", "bytes"), "near-mixed")
+    placed = join_cells(placed.select("key", "slot", "id", "size", "component"), mixed, ["key"])
     more = across(placed, bodies, percent)
-    drop_stage(spark, parts_path)
-    parts, parts_path = connected(links.unionByName(more))
-    placed = classes.select("id", "doc_id", "set_a", "set_b", "n").join(parts.withColumnRenamed("v", "id"), "id", "left")
+    drop_stage(spark, parts_path, mixed_path)
+    parts, _ = connected(links.unionByName(more))
+    placed = classes.select("id", "doc_id", "set_a", "set_b").join(parts.withColumnRenamed("v", "id"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
-    names = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
-    named = join_cells(placed, names, ["component"], "size", classes.count()).select("set_a", "set_b", "component_id", "n")
-    total = named.agg(F.sum("n")).first()[0] or 0
-    grouped = join_cells(known.select("doc_id", "row_no", "n_shingles", "set_a", "set_b"), named, ["set_a", "set_b"], "n", total)
+    names, _ = write_stage(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "near-names")
+    named = join_cells(placed, names, ["component"]).select("set_a", "set_b", "component_id")
+    grouped = join_cells(known.select("doc_id", "row_no", "n_shingles", "set_a", "set_b"), named, ["set_a", "set_b"])
     alone = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "row_no", "n_shingles", F.col("doc_id").alias("component_id"))
     out = grouped.select("doc_id", "row_no", "n_shingles", "component_id").unionByName(alone)
     drop_stage(spark, cells_path, members_path, asked_path, bodies_path, links_path)
