@@ -6,6 +6,10 @@ chunks around it and no others.  The first place of a digest (lowest doc_id,
 then place) stays; chunks that repeat it are seeds, which are extended byte by
 byte against the text at that place, and spans of at least ``min_bytes`` are
 reported, so a lone short chunk is never a passage.
+
+A chunk carries checksums of as many bytes before and behind it as it needs
+on one side at least to become a passage, so a lone seed that cannot is left
+out before any text is opened.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from synthtab.llm.common import HOT_PARTS, drop_stage, free_name, join_cells, slices, texts, write_stage
+from synthtab.llm.common import drop_stage, free_name, join_cells, slices, texts, write_stage
 from synthtab.llm.shingles import constants
 
 SLICE = 4 << 20
@@ -58,57 +63,101 @@ def cuts(data: np.ndarray, average: int = AVERAGE) -> np.ndarray:
     return ends[ends > 0]
 
 
-def chunks(docs: DataFrame, average: int) -> DataFrame:
-    """``doc_id, row_no, start, size`` and the 128-bit digest of every chunk of every whole text."""
+def repeated_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``several``: the doc_ids of more than one row, and null; staged."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("several")).groupBy("several").agg(F.count(F.lit(1)).alias("n"))
+    return write_stage(ids.where("n > 1 or several is null").select("several"), "chunk-ids")
+
+
+def with_row_no(docs: DataFrame, ids: DataFrame, name: str, id_name: str = "several") -> DataFrame:
+    """``docs`` with a column that tells rows of one doc_id apart: a hash of the text, 0 where the id stands once."""
+    met = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)), "left_outer")
+    several = F.col(id_name).isNotNull() | F.col("doc_id").isNull()
+    return met.withColumn(name, F.when(several, F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))).otherwise(F.lit(0).cast("long"))).drop(id_name)
+
+
+def bodies_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, row_no, text`` (bytes): every document once; rows alike in id and text are one."""
+    plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if ids.isEmpty():
+        return texts(plain, F.lit(0).cast("long").alias("row_no"))
+    rows = texts(with_row_no(plain, ids, "row_no"), "row_no")
+    again = (F.col("row_no") != 0) | F.col("doc_id").isNull()
+    once = rows.where(again).groupBy("doc_id", "row_no").agg(F.first("text").alias("text"))
+    return rows.where(~again).unionByName(once)
+
+
+#: What ``info`` of a chunk holds, by its lowest bit: bytes, whether it ends its text, and checksums of its surroundings.
+ENDS_AT, LEFT_AT, RIGHT_AT = 13, 16, 32
+
+
+def surroundings(text: bytes, begin: int, end: int, min_bytes: int) -> int:
+    """Checksums (1 to 65,535; 0: too few bytes) of the bytes that a chunk needs on one side to grow to ``min_bytes``."""
+    need = max(1, (min_bytes - (end - begin) + 1) // 2)
+    left = 1 + crc32(text[begin - need : begin]) % 65535 if begin >= need else 0
+    right = 1 + crc32(text[end : end + need]) % 65535 if end + need <= len(text) else 0
+    return left << LEFT_AT | right << RIGHT_AT
+
+
+def chunks(bodies: DataFrame, average: int, min_bytes: int) -> DataFrame:
+    """``doc_id, row_no, start, info`` and the 128-bit digest of every chunk of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                ids, rows, starts, sizes, digests = [], [], [], [], []
-                for doc_id, row_no, text in zip(batch.column("doc_id").to_pylist(), batch.column("row_no").to_pylist(), batch.column("text").to_pylist()):
-                    if not text:
-                        continue
-                    ends = cuts(np.frombuffer(text, np.uint8), average)
-                    begins = np.append(0, ends[:-1])
-                    digests.extend(blake2b(text[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist()))
-                    ids.extend([doc_id] * len(ends))
-                    rows.extend([row_no] * len(ends))
+                counts, starts, infos, digests = [], [], [], []
+                for text in batch.column("text").to_pylist():
+                    ends = cuts(np.frombuffer(text, np.uint8), average) if text else np.zeros(0, np.int64)
+                    begins = np.append(0, ends[:-1])[: len(ends)]
+                    places = list(zip(begins.tolist(), ends.tolist()))
+                    digests.extend([blake2b(text[a:b], digest_size=16).digest() for a, b in places])
+                    infos.extend([b - a | surroundings(text, a, b, min_bytes) for a, b in places])
+                    if places:
+                        infos[-1] |= 1 << ENDS_AT
+                    counts.append(len(ends))
                     starts.append(begins)
-                    sizes.append(ends - begins)
                 if digests:
                     both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                    of = pa.array(np.repeat(np.arange(len(counts)), counts))
                     columns = [
-                        pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(np.concatenate(starts)),
-                        pa.array(np.concatenate(sizes)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()),
+                        batch.column("doc_id").take(of), batch.column("row_no").take(of), pa.array(np.concatenate(starts)),
+                        pa.array(infos, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_no", "start", "size", *DIGEST])
-
-    rows = texts(docs, F.xxhash64("text").alias("row_no"))
-    return rows.mapInArrow(run, "doc_id long, row_no long, start long, size long, digest_a long, digest_b long")
-
-
-def with_windows(threads: DataFrame, docs: DataFrame, own: bool, width: int, back: int) -> tuple[DataFrame, str]:
-    """``threads`` with the bytes of their document (``own``) or of its first place before and behind them, on open sides; staged."""
-    doc, row, begin, end, left, right = ("doc_id", "row_no", "start", "stop", "own_left", "own_right") if own else ("of_doc", "of_row", "of_start", "of_stop", "of_left", "of_right")
-    # A null doc_id is a name too.
-    named = threads.withColumns({"name": F.coalesce(F.col(doc).cast("string"), F.lit("")), "row": F.col(row)})
-    bodies = texts(docs, F.xxhash64("text").alias("row")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), "row", F.col("text").alias("body"))
-    keys = ["name", "row"]
-    counts = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    counts, path = write_stage(counts, "thread-sources")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # The first place of a common passage is asked for by very many threads.
-    hot = F.broadcast(counts.where(F.col("n") > max(1000, total // HOT_PARTS)).select(*keys))
-    few = F.broadcast(bodies.join(hot, keys))
-    met = named.join(few, keys).unionByName(named.join(hot, keys, "left_anti").join(bodies.hint("merge"), keys))
-    low = F.greatest(F.col(begin) - width, F.lit(0))
-    before = F.substr("body", (low + 1).cast("int"), (F.col(begin) + back - low).cast("int"))
-    behind = F.substr("body", (F.col(end) - back + 1).cast("int"), F.lit(width + back))
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_no", "start", "info", *DIGEST])
+
+    return bodies.select("doc_id", "row_no", "text").mapInArrow(run, "doc_id long, row_no long, start long, info long, digest_a long, digest_b long")
+
+
+def with_windows(threads: DataFrame, bodies: DataFrame, width: int, back: int) -> DataFrame:
+    """``threads`` with the bytes before and behind them (``own_``) and their first place (``of_``), on open sides.
+
+    A request is a place with its open sides, made once however many threads
+    ask for it.  Every text that is asked for is opened once, and what is cut
+    from it travels, not the text.
+    """
+    own = ["doc_id", "row_no", "start", "stop", "left_open", "right_open"]
+    of = ["of_doc", "of_row", "of_start", "of_stop", "left_open", "right_open"]
+    names = ["doc", "row", "begin", "end", "left_open", "right_open"]
+    asked = threads.select(*(F.col(c).alias(n) for c, n in zip(own, names))).unionByName(threads.select(*(F.col(c).alias(n) for c, n in zip(of, names))))
+    # The places of one text that are asked for are no more than it has bytes, as they are distinct.
+    places = asked.groupBy("doc", "row").agg(F.collect_set(F.struct(*names[2:])).alias("places"))
+    met = places.hint("merge").join(bodies, F.col("doc").eqNullSafe(F.col("doc_id")) & (F.col("row") == F.col("row_no")))
     empty = F.lit(b"")
-    met = met.withColumns({left: F.when(F.col("left_open"), before).otherwise(empty), right: F.when(F.col("right_open"), behind).otherwise(empty)})
-    met, kept = write_stage(met.drop("body", *keys).dropDuplicates(["doc_id", "row_no", "seed"]), "thread-windows")
-    drop_stage(met.sparkSession, path)
-    return met, kept
+
+    def cut(p):
+        low = F.greatest(p["begin"] - width, F.lit(0))
+        before = F.substr("text", (low + 1).cast("int"), (p["begin"] + back - low).cast("int"))
+        behind = F.substr("text", (p["end"] - back + 1).cast("int"), F.lit(width + back))
+        return F.struct(p.alias("p"), F.when(p["left_open"], before).otherwise(empty).alias("left"), F.when(p["right_open"], behind).otherwise(empty).alias("right"))
+
+    windows = met.select("doc", "row", F.explode(F.transform("places", cut)).alias("w")).select("doc", "row", "w.p.*", "w.left", "w.right")
+    for columns, kind in ((own, "own"), (of, "of")):
+        there = windows.select(*(F.col(n).alias(f"at_{n}") for n in names), F.col("left").alias(f"{kind}_left"), F.col("right").alias(f"{kind}_right"))
+        same = F.col(columns[0]).eqNullSafe(F.col("at_doc"))
+        for c, n in zip(columns[1:], names[1:]):
+            same = same & (F.col(c) == F.col(f"at_{n}"))
+        threads = threads.join(there.hint("merge"), same).drop(*(f"at_{n}" for n in names))
+    return threads
 
 
 CHAR = rb"(?:[0-9A-Za-z]|[\xc3-\xdf][\x80-\xbf])"
@@ -189,16 +238,25 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, average: int = A
     bytes, or if it is one of adjoining chunks of as many.
     """
     spark = docs.sparkSession
-    pieces = chunks(docs, average)
-    place = F.struct("doc_id", "row_no", "start")
-    cells = pieces.groupBy(*DIGEST).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    ids, ids_path = repeated_ids(docs)
+    bodies = bodies_of(docs, ids)
+    pieces = chunks(bodies, average, min_bytes)
+    place = F.struct("doc_id", "row_no", "start", "info")
+    cells = pieces.groupBy(*DIGEST).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     cells, cells_path = write_stage(cells, "chunk-cells")
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    again = join_cells(pieces, cells, DIGEST, "n", total).where(F.col("first") < place)
+    again = join_cells(pieces, cells, DIGEST).where(F.col("first") < place)
+
+    def same(low: int):
+        """Whether the checksums on one side are there and equal."""
+        own, of = (F.shiftright(c, low).bitwiseAND(F.lit(65535)) for c in (F.col("info"), F.col("first.info")))
+        return (own != 0) & (own == of)
+
+    ends = F.col("info").bitwiseOR(F.col("first.info")).bitwiseAND(F.lit(1 << ENDS_AT)) != 0
     again = again.select(
-        "doc_id", "row_no", "start", (F.col("start") + F.col("size")).alias("stop"),
+        "doc_id", "row_no", "start", (F.col("start") + F.col("info").bitwiseAND(F.lit((1 << ENDS_AT) - 1))).alias("stop"),
         F.col("first.doc_id").alias("of_doc"), F.col("first.row_no").alias("of_row"), F.col("first.start").alias("of_start"),
-    ).distinct()
+        (same(LEFT_AT) | same(RIGHT_AT)).alias("grows"), ends.alias("ends"),
+    )
     in_doc = W.partitionBy("doc_id", "row_no").orderBy("start")
     so_far = in_doc.rowsBetween(W.unboundedPreceding, 0)
     opens = F.coalesce(F.lag("stop").over(in_doc) < F.col("start"), F.lit(True))
@@ -209,28 +267,34 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, average: int = A
     runs = runs.withColumn("whole", F.sum(F.col("stop") - F.col("start")).over(W.partitionBy("doc_id", "row_no", "run")))
     threads = runs.groupBy("doc_id", "row_no", "run", "thread").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("of_doc").alias("of_doc"), F.first("of_row").alias("of_row"),
-        F.min("of_start").alias("of_start"), F.max("whole").alias("whole"),
+        F.min("of_start").alias("of_start"), F.max("whole").alias("whole"), F.count(F.lit(1)).alias("chunks"), F.bool_or("grows").alias("grows"), F.bool_or("ends").alias("ends"),
     )
+    # A lone chunk that is too short, with other bytes on both sides, is no passage.
+    strong = F.col("whole") >= min_bytes
+    threads = threads.where(strong | (F.col("chunks") > 1) | F.col("grows"))
     size = F.col("stop") - F.col("start")
-    new = {"of_stop": F.col("of_start") + size, "size": size, "seed": F.col("start"), "strong": F.col("whole") >= min_bytes, "left_open": F.lit(extend), "right_open": F.lit(extend)}
+    # A side is open where both places have bytes beyond it.
+    new = {
+        "of_stop": F.col("of_start") + size, "size": size, "seed": F.col("start"), "strong": strong,
+        "left_open": F.lit(extend) & (F.col("start") > 0) & (F.col("of_start") > 0), "right_open": F.lit(extend) & ~F.col("ends"),
+    }
     state, state_path = write_stage(threads.withColumns(new).select(*THREAD), "threads")
     drop_stage(spark, cells_path)
-    asked, rest, width, back = state, None, WINDOW, 0
-    while extend and asked.limit(1).count():
-        found, of_path = with_windows(asked, docs, False, width, back)
-        found, own_path = with_windows(found, docs, True, width, back)
-        found = extended(found, width, back)
-        both = found if rest is None else found.unionByName(rest)
+    is_open = F.col("left_open") | F.col("right_open")
+    width, back = WINDOW, 0
+    while extend and not state.where(is_open).isEmpty():
+        found = extended(with_windows(state.where(is_open), bodies, width, back), width, back)
+        both = found.unionByName(state.where(~is_open))
         # A side goes on where no other thread covers what lies beyond it.
         low = W.partitionBy("doc_id", "row_no").orderBy("start", "seed").rowsBetween(W.unboundedPreceding, -1)
         high = W.partitionBy("doc_id", "row_no").orderBy(F.desc("stop"), "seed").rowsBetween(W.unboundedPreceding, -1)
         covered = F.coalesce(F.max("stop").over(low) >= F.col("start"), F.lit(False)), F.coalesce(F.min("start").over(high) <= F.col("stop"), F.lit(False))
         both = both.withColumns({"left_open": F.col("left_open") & ~covered[0], "right_open": F.col("right_open") & ~covered[1]})
         new_state, new_path = write_stage(both, "threads")
-        drop_stage(spark, of_path, own_path, state_path)
+        drop_stage(spark, state_path)
         state, state_path = new_state, new_path
-        asked, rest = state.where("left_open or right_open"), state.where("not (left_open or right_open)")
         width, back = width * 16, BACK
+    drop_stage(spark, ids_path)
     kept = state.where(F.col("strong") | (F.col("size") >= min_bytes))
     reach = F.max("stop").over(in_doc.rowsBetween(W.unboundedPreceding, -1))
     merged = kept.withColumn("opens", F.coalesce(reach < F.col("start"), F.lit(True)).cast("long")).withColumn("run", F.sum("opens").over(so_far))
@@ -252,7 +316,9 @@ def without_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, extend: bool = Fa
     spans = repeated_spans(docs, min_bytes, extend=extend).groupBy("doc_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(gone))
     spans = spans.select(F.col("doc_id").alias(of_doc), F.col("row_no").alias(of_row), gone)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.withColumn(own, F.xxhash64(body))
+    ids, _ = repeated_ids(docs)
+    several = free_name(docs, "several")
+    rows = with_row_no(docs, ids.withColumnRenamed("several", several), own, several)
     met = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(of_doc)) & (F.col(own) == F.col(of_row)), "left")
     # What lies between the spans; a cut inside a character is mended by the decoder.
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(gone, lambda s: s["stop"]))

@@ -17,12 +17,20 @@ def key(doc_id):
     return -1 if doc_id is None else doc_id
 
 
-def test_hot_and_cold_keys(spark):
-    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
-    cells = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    joined = common.join_cells(rows, cells, ["k"], "n", 5000)
-    assert joined.count() == 5000 and joined.where("least > id").count() == 0
-    assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+def test_hot_keys_are_cut_into_several_tasks(spark):
+    rows = spark.range(0, 200_000, 1, 16).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    cells, _ = common.write_stage(rows.groupBy("k").agg(F.min("id").alias("least")), "test-cells")
+    names = ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, value in zip(names, ("16k", "1.5", "16k")):
+            spark.conf.set(n, value)
+        joined = common.join_cells(rows, cells, ["k"])
+        assert len(joined.collect()) == 200_000 and joined.where("least > id").count() == 0
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
 
 
 def test_components(spark):
@@ -203,13 +211,13 @@ def one_word_apart(a, b):
     return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
 
-def lines_brute(rows, least):
+def lines_brute(rows, least, exact=None):
     lines = [(i, n, x.lower().split()) for i, t in rows if t is not None for n, x in enumerate(t.split("\n"))]
-    lines = [x for x in sorted(lines, key=lambda x: (key(x[0]), x[1])) if len(x[2]) >= least]
+    lines = [x for x in sorted(lines, key=lambda x: (key(x[0]), x[1])) if len(x[2]) >= (exact or least)]
     first, dropped = {}, set()
     for i, n, words in lines:
         first.setdefault(tuple(words), (key(i), n))
-    heads = list(first)
+    heads = [w for w in first if len(w) >= least]
     bad = {w for w in heads if any(first[o] < first[w] and o != w and one_word_apart(list(o), list(w)) for o in heads)}
     for i, n, words in lines:
         if tuple(words) in bad or first[tuple(words)] != (key(i), n):
@@ -217,9 +225,9 @@ def lines_brute(rows, least):
     return dropped
 
 
-@pytest.mark.parametrize("long_line", [512, 5])
-def test_repeated_lines(make, monkeypatch, long_line):
-    monkeypatch.setattr(line_dedup, "LONG_LINE", long_line)
+@pytest.mark.parametrize(("piece", "exact"), [(line_dedup.PIECE, None), (3, line_dedup.ANY_LINE), (1, None)])
+def test_repeated_lines(make, monkeypatch, piece, exact):
+    monkeypatch.setattr(line_dedup, "PIECE", piece)
     rng = random.Random(6)
     pool = [sentence(rng, rng.randint(3, 14)) for _ in range(60)]
     pool += ["the the the the the the the", "the the the the the the", "the the the a the the the", "Ä b c d e f", "ä b c d e f", "b c d e f g h\tx"]
@@ -238,13 +246,13 @@ def test_repeated_lines(make, monkeypatch, long_line):
             chosen.append("  ".join(words).title() if kind > 0.9 else " ".join(words))
         rows.append((10 + d, "\n".join(chosen)))
     docs = make(rows)
-    found = line_dedup.repeated_lines(docs).collect()
-    expected = lines_brute(rows, line_dedup.MIN_WORDS)
+    found = line_dedup.repeated_lines(docs, exact_words=exact).collect()
+    expected = lines_brute(rows, line_dedup.MIN_WORDS, exact)
     assert {(key(r["doc_id"]), r["line_no"]) for r in found} == expected
     assert all((key(r["of_doc"]), r["of_line"]) < (key(r["doc_id"]), r["line_no"]) for r in found)
-    report = {key(r["doc_id"]): r["dropped"] for r in line_dedup.line_report(docs).collect()}
+    report = {key(r["doc_id"]): r["dropped"] for r in line_dedup.line_report(docs, exact_words=exact).collect()}
     assert {(i, n) for i, lines in report.items() for n in lines} == expected
-    kept = {key(r["doc_id"]): r["text"] for r in line_dedup.without_repeated_lines(docs).collect()}
+    kept = {key(r["doc_id"]): r["text"] for r in line_dedup.without_repeated_lines(docs, exact_words=exact).collect()}
     for i, t in rows:
         left = None if t is None else [x for n, x in enumerate(t.split("\n")) if (key(i), n) not in expected]
         gone = t is not None and len(left) < len(t.split("\n"))
@@ -256,6 +264,20 @@ def test_repeated_lines(make, monkeypatch, long_line):
     assert line_dedup.repeated_lines(make([])).collect() == []
 
 
+def test_long_lines_have_neighbours_too(make):
+    """Lines of thousands of words, one word apart at either end, in the middle and at a piece's edge."""
+    rng = random.Random(16)
+    base = sentence(rng, 5000).split()
+    rows = [(1, " ".join(base)), (2, sentence(rng, 5000))]
+    for i, at in enumerate((0, 31, 32, 2500, 4999)):
+        rows += [(10 + i, " ".join(base[:at] + base[at + 1 :])), (20 + i, " ".join([*base[:at], "new", *base[at:]])), (30 + i, " ".join([*base[:at], "other", *base[at + 1 :]]))]
+    rows += [(40, " ".join(base[1:-1])), (41, " ".join(["x", *base[1:-1], "y"]))]
+    found = {(r["doc_id"], r["of_doc"], r["near"]) for r in line_dedup.repeated_lines(make(rows)).collect() if r["doc_id"] < 40}
+    assert found == {(d + i, 1, True) for d in (10, 20, 30) for i in range(5)}
+    two = {r["doc_id"]: r["of_doc"] for r in line_dedup.repeated_lines(make([r for r in rows if r[0] not in (10, 14, 20, 24)])).collect()}
+    assert 40 not in two and 41 not in two
+
+
 def test_line_dedup_of_odd_documents(make, odd):
     kept = line_dedup.without_repeated_lines(make(odd)).collect()
     ids = [key(r["doc_id"]) for r in kept]
@@ -367,3 +389,67 @@ def test_seeds_are_extended_to_the_ends_of_a_passage(make):
     one = [r for (d, _), r in spans.items() if d == 2002]
     assert len(one) == 1 and long[0] in bodies[2002].encode()[one[0]["start"] : one[0]["stop"]].decode()
     assert not {d for d, _ in spans if d is not None and d < 1000}
+
+
+def maximal_repeats(texts, least):
+    """(doc, start, stop) of every longest stretch whose windows of ``least`` bytes all stand earlier, by brute force."""
+    seen, out = set(), []
+    for doc, body in enumerate(texts):
+        windows = [body[i : i + least] for i in range(len(body) - least + 1)]
+        again = []
+        for window in windows:
+            again.append(window in seen)
+            seen.add(window)
+        start = None
+        for i, a in enumerate([*again, False]):
+            if a and start is None:
+                start = i
+            elif not a and start is not None:
+                out.append((doc, start, i - 1 + least))
+                start = None
+    return out
+
+
+def test_spans_are_all_longest_equal_passages(make):
+    """Against brute force: what is found is a whole longest passage (cut to whole words), and few long ones are missed."""
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyzéß"
+    words = lambda n: " ".join("".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(n))
+    texts = []
+    for _ in range(260):
+        body = words(rng.randint(10, 60))
+        for _ in range(rng.randint(0, 2)):
+            if texts:
+                other = rng.choice(texts).split(" ")
+                low = rng.randrange(len(other))
+                body += " " + " ".join(other[low : low + rng.randint(8, 120)]) + " " + words(rng.randint(1, 20))
+        texts.append(body)
+    expected = maximal_repeats([t.encode() for t in texts], substring_dedup.MIN_BYTES)
+    found = {}
+    for r in substring_dedup.repeated_spans(make(list(enumerate(texts))), extend=True).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["stop"]))
+    met, exact, long, missed = set(), [], 0, 0
+    for doc, start, stop in expected:
+        body = texts[doc].encode()
+        mine = [(a, b) for a, b in found.get(doc, []) if a < stop and b > start]
+        met.update((doc, a, b) for a, b in mine)
+        if stop - start >= 300:
+            long, missed = long + 1, missed + (not mine)
+        if mine:
+            # Up to whole words.  A seed follows its first place, and now and then a later one goes on for longer.
+            a, b = min(mine)[0], max(mine)[1]
+            assert start <= a and b <= stop, (doc, start, stop, mine)
+            exact.append(body[start:a].count(b" ") <= 1 and body[b:stop].count(b" ") <= 1 and len(mine) == 1)
+    assert np.mean(exact) >= 0.85 and met == {(d, a, b) for d, spans in found.items() for a, b in spans}
+    assert long > 50 and missed <= 1
+
+
+def test_rows_with_one_id_are_told_apart(make):
+    """Repeated rows are one document; other texts with the same id, or without one, are documents of their own."""
+    rng = random.Random(32)
+    passage = sentence(rng, 60)
+    rows = [(1, f"{sentence(rng, 9)} {passage}"), (2, f"{passage} {sentence(rng, 9)}"), (2, sentence(rng, 80)), (None, f"{sentence(rng, 12)} {passage} x"), (None, sentence(rng, 50))]
+    found = substring_dedup.span_report(make(rows + rows[1:4]), extend=True).collect()
+    assert sorted(key(r["doc_id"]) for r in found) == [1, 2]
+    cut = substring_dedup.without_spans(make(rows), extend=True).collect()
+    assert len(cut) == 5 and sum(passage in r["text"] for r in cut) == 1
