@@ -460,7 +460,8 @@ def ks_of_groups(
 
     The largest difference of the two step functions is reached at sample
     points, so a value only matters through its position among the sorted
-    distinct sample values: at most twice the sample size plus one groups.
+    distinct sample values: at most twice the sample size plus one places.
+    The sample is looked up in blocks of rows, so the plan does not grow with it.
     Returns (distance, non-null count) by group (0 without one) and column;
     nothing for an empty column.
     """
@@ -468,19 +469,25 @@ def ks_of_groups(
     if not names:
         return {}
     points = {n: np.unique(samples[n]) for n in names}
-    arrays = double_arrays([points[n] for n in names])
-    longest = max(len(p) for p in points.values())
+    shared = df.sparkSession.sparkContext.broadcast([points[n] for n in names])  # a sample has a fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, counts = shared.value, {}
+        for batch in batches:
+            columns, values = (batch.column(c).to_numpy() for c in ("col", "value"))
+            for c in np.unique(columns).tolist():
+                mine, step = values[columns == c], steps[c % len(steps)]
+                left = np.searchsorted(step, mine)
+                same = step[np.minimum(left, len(step) - 1)] == mine
+                place = np.bincount(2 * left + same, minlength=2 * len(step) + 1)
+                counts[c] = counts.get(c, 0) + place
+        for c, found in counts.items():
+            some = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(some), c), some, found[some])], ["col", "place", "n"])
+
     long = df.select(F.inline(_numbered([columns[n] for n in names], group))).filter("value IS NOT NULL")
-    at = F.get(arrays, F.col("col") % len(names))
-    long = search_sorted(long.select("col", "value"), at, longest, "value", "left")
-    same = F.coalesce(F.get(at, F.col("left")) == F.col("value"), F.lit(False)).cast("int")
-    table = (
-        long.select("col", (F.col("left") * 2 + same).alias("place"))
-        .groupBy("col", "place")
-        .agg(F.count("*").alias("n"))
-        .toArrow()
-        .to_pandas()
-    )
+    places = long.select("col", "value").mapInArrow(run, "col long, place long, n long")
+    table = places.groupBy("col", "place").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out: dict[int, dict[str, tuple[float, int]]] = {}
     for i, found in table.groupby("col"):
         name = names[i % len(names)]

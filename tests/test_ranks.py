@@ -207,3 +207,15 @@ def test_quantiles_take_few_passes_on_any_data(spark, monkeypatch, kind):
         place = (n - 1) * p
         a, b = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
         assert a <= q <= b
+
+
+def test_the_plan_of_ks_does_not_hold_the_sample(spark, monkeypatch):
+    seen = []
+    _, df = messy(spark, 300)
+    kind = type(df)
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, f=kind.mapInArrow, **b: seen.append(f(self, *a, **b)) or seen[-1])
+    rng = np.random.default_rng(2)
+    for n in (200, 10_000):
+        ranks.ks_against_samples(df, columns(["hot", "tail"]), {"hot": rng.normal(0, 5, n), "tail": rng.pareto(1, n)})
+    small, large = (len(x._jdf.queryExecution().optimizedPlan().toString()) for x in seen[-2:])
+    assert abs(small - large) < 200
