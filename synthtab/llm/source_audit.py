@@ -26,8 +26,9 @@ LEAST_DOCS = 3
 #: Terms reported for each group.
 TOP_TERMS = 200
 UNIT = 1_000_000_000
-#: Counts held by a task before they are passed on.
-HELD = 300_000
+#: Sums held by a task before they are passed on, and rows of a batch that it passes on.
+HELD = 1_500_000
+ROWS = 1 << 16
 SLICE = 4 << 20
 #: Sources compared with one another at once, and the cells of a block of terms.
 TILE = 512
@@ -56,36 +57,55 @@ def collapsed(docs: DataFrame) -> DataFrame:
     return texts.join(sources.hint("merge"), ["lang", "digest"]).select("lang", "text", "sources")
 
 
+class Sums:
+    """Counts and documents of the terms of (language, source) groups, added up in arrays."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.terms: dict[bytes, int] = {}
+        self.held = np.zeros((3, 0), np.int64)  # group and term as one number, count, documents
+
+    def add(self, texts: list[bytes], langs: list[str], sources: list[list[dict]]) -> None:
+        number, groups, terms = self.terms.setdefault, self.groups, self.terms
+        ids: list[int] = []
+        counts: list[int] = []
+        rows: list[tuple[int, int, int]] = []
+        for text, lang, own in zip(texts, langs, sources):
+            found = Counter(terms_of(text))
+            for x in own:
+                ids.extend([number(t, len(terms)) for t in found])
+                counts.extend(found.values())
+                rows.append((groups.setdefault((lang, x["source"]), len(groups)), x["n"], len(found)))
+        group, n, size = np.array(rows, np.int64).reshape(-1, 3).T
+        group, n = np.repeat(group, size), np.repeat(n, size)
+        new = np.stack([group << 40 | np.array(ids, np.int64), np.array(counts, np.int64) * n, n])
+        both = np.concatenate([self.held, new], axis=1)
+        both = both[:, np.argsort(both[0], kind="stable")]
+        first = np.flatnonzero(np.append(True, both[0, 1:] != both[0, :-1])[: both.shape[1]])
+        self.held = np.stack([both[0, first], *(np.add.reduceat(x, first) if len(first) else x for x in both[1:])])
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1))
+        terms = pa.array([t.decode("utf-8", "replace") for t in self.terms], pa.string())
+        for low in range(0, self.held.shape[1], ROWS):
+            key, count, docs = self.held[:, low : low + ROWS]
+            group = pa.array(key >> 40)
+            columns = [langs.take(group), sources.take(group), terms.take(pa.array(key & (1 << 40) - 1)), pa.array(count), pa.array(docs)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count", "docs"])
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
     """``lang, source, term, count, docs`` of ``collapsed`` rows, added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-        def passed() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (count, docs) in held.items():
-                terms = [t.decode("utf-8", "replace") for t in count]
-                own = [pa.array([x] * len(terms), pa.string()) for x in (lang, source)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(terms, pa.string()), pa.array(count.values(), pa.int64()), pa.array([docs[t] for t in count], pa.int64())], ["lang", "source", "term", "count", "docs"])
-            held.clear()
-
+        sums = Sums()
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                for lang, text, sources in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "sources"))):
-                    terms = terms_of(text)
-                    own = Counter(terms) if len(sources) > 1 or sources[0]["n"] > 1 else None
-                    for x in sources:
-                        count, docs = held.setdefault((lang, x["source"]), (Counter(), Counter()))
-                        if own is None:
-                            count.update(terms)
-                            docs.update(set(terms))
-                        else:
-                            for t, c in own.items():
-                                count[t] += c * x["n"]
-                                docs[t] += x["n"]
-                if sum(len(c) for c, _ in held.values()) > HELD:
-                    yield from passed()
-        yield from passed()
+                sums.add(*(batch.column(c).to_pylist() for c in ("text", "lang", "sources")))
+                if max(sums.held.shape[1], len(sums.terms)) > HELD:
+                    yield from sums.rows()
+                    sums = Sums()
+        yield from sums.rows()
 
     made = rows.mapInArrow(run, "lang string, source string, term string, count long, docs long")
     return made.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
