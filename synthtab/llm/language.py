@@ -54,7 +54,12 @@ class Model:
         self.languages, self.log = languages, log
 
     def predict(self, batch: list[str]) -> tuple[list[str], list[float], list[list[str]]]:
-        """Language, its share of the words within the chosen set, and that set, for each text."""
+        """Language, its share of the words within the chosen set, and that set, for each text.
+
+        Of equal shares the first language by name counts.  Texts without a
+        letter, and all texts where nothing was learned, are ``und`` with
+        share 0 and an empty set; a text is read whole, whatever its length.
+        """
         bucket, word, first = trigrams(batch)
         name, score, chosen = ["und"] * len(batch), [0.0] * len(batch), [[] for _ in batch]
         if not len(word) or not self.languages:
@@ -106,7 +111,8 @@ def fit(like: np.ndarray, starts: np.ndarray, words: np.ndarray, share: np.ndarr
 def train(docs: DataFrame) -> Model:
     """Trigram counts of every labelled text (non-null ``lang`` and ``text``).
 
-    What reaches the driver is one row for each language and bucket: bounded by
+    Repeated rows count as often as they stand; languages are kept in the order
+    of their names; without labelled rows nothing is learned.  What reaches the driver is one row for each language and bucket: bounded by
     the languages, whatever the number of documents.
     """
     labelled = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("binary").alias("text"))
