@@ -1,6 +1,7 @@
 """Benchmark passages in documents, up to a share of edited words.
 
-Texts are words: lower case, ASCII punctuation and white space aside.  A CGK
+Texts are words: lower case, punctuation, symbols and white space aside; in
+scripts without spaces every character is a word.  A CGK
 embedding walks over the words of a string with shared random bits, copying
 the word it stands on and moving on or staying by the bit for that word and
 step; strings at a small edit distance meet again after each edit, so their
@@ -10,39 +11,56 @@ samples; candidates are confirmed by the exact edit distance of the words.
 
 With at most ``e`` edits an item of ``n`` words keeps a run of
 ``(n - e) / (e + 1)`` words, so only windows over a run of that many words of
-the item are embedded: that loses no pair.
+the item are embedded: that loses no pair.  Items of fewer than eight words
+allow no edits, and are found as runs of equal words.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from synthtab.llm.common import free_name, slices, texts
+from synthtab.llm.common import free_name, slices, texts, write_stage
 from synthtab.llm.shingles import constants, mix, word_hashes
 
 SLICE = 4 << 20
 #: One word in so many may be edited.
 WORDS_PER_EDIT = 8
-#: Items of fewer words are too common to be evidence.
-MIN_WORDS = 6
+#: Items of fewer words stand in texts by chance; ``skipped_items`` names them.
+MIN_WORDS = 3
 WALKS, TABLES_PER_WALK, SAMPLES = 8, 4, 3
 #: Bytes of items searched for in one pass over the documents.
 ITEM_BYTES = 32 << 20
 BITMAP = 22
 PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: Characters that are neither ASCII nor Latin letters; among them those that part words, and those that are words.
+OTHER = re.compile("[\x80-\xbf\xd7\xf7\u0250-\U0010ffff]")
+PARTING = regex.compile(r"[^\P{P}\x00-\x7f]|[^\P{S}\x00-\x7f]|[^\P{Z}\x00-\x7f]|[^\P{Cc}\x00-\x7f]")
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+
+
+def plain(text: bytes) -> bytes:
+    """The words of a text, parted by blanks."""
+    lower = text.decode("utf-8", "replace").lower()
+    if OTHER.search(lower):
+        lower = UNSPACED.sub(r" \g<0> ", PARTING.sub(" ", lower))
+    return lower.encode().translate(PLAIN)
 
 
 def words_of(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts together, and the first word of each text."""
-    plain = [t.decode("utf-8", "replace").lower().encode().translate(PLAIN) for t in texts_]
-    hashes, start, _ = word_hashes(b"\n".join(plain))
-    sizes = np.fromiter(map(len, plain), np.int64, len(plain))
+    plain_ = [plain(t) for t in texts_]
+    hashes, start, _ = word_hashes(b"\n".join(plain_))
+    sizes = np.fromiter(map(len, plain_), np.int64, len(plain_))
     return hashes, np.searchsorted(start, np.cumsum(sizes + 1) - sizes - 1)
 
 
@@ -194,16 +212,39 @@ def item_blocks(benchmark: DataFrame, most_bytes: int) -> Iterator[list[tuple[in
         yield block
 
 
+#: The items that this Python process has searched for last, by their block.
+_ready: dict[int, Items] = {}
+
+
+def ready(shared: Broadcast) -> Items:
+    """The tables of a block, made once for each Python worker and not for each task."""
+    number, ids, words = shared.value
+    if number not in _ready:
+        _ready.clear()
+        _ready[number] = Items(ids, words)
+    return _ready[number]
+
+
+def share(docs: DataFrame, block: list[tuple[int, bytes]]) -> Broadcast:
+    ids, words = long_enough(block)  # a block: bounded by its bytes
+    return docs.sparkSession.sparkContext.broadcast((uuid4().int, ids, words))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``doc_id, item_id, edits, first_word, n_words``: each item found in each document, at its best place.
 
-    Items of fewer than ``MIN_WORDS`` words (null and empty ones too) are never
-    found; null and empty documents hold nothing; repeated rows and items give
-    a row for each; without rows on either side there are none.
+    Of equally good places the first counts.  Items of fewer than
+    ``MIN_WORDS`` words (null and empty ones too) are never found, see
+    ``skipped_items``; null and empty documents hold nothing; repeated rows and
+    items give a row for each; without rows on either side there are none.
+    Each block of items is one pass over the documents, whose result is
+    staged before the next block is read.
     """
     spark, out = docs.sparkSession, None
     for block in item_blocks(benchmark, item_bytes):
-        found = search(docs, block)
+        shared = share(docs, block)
+        found, _ = write_stage(search(docs, shared), "items-found")
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], FOUND) if out is None else out
 
@@ -212,24 +253,41 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYT
     """Rows of ``docs`` (all columns) without those that hold an item.
 
     A narrow pass for each block of items: each row is judged by its own text,
-    so null and repeated ids do not matter and nothing is joined back.
+    so null and repeated ids do not matter and nothing is joined back.  What
+    is left after a block is staged if another one follows.
     """
+    before: Broadcast | None = None
     for block in item_blocks(benchmark, item_bytes):
-        docs = without_items(docs, block)
+        if before is not None:
+            docs, _ = write_stage(docs, "items-clean")
+            before.destroy()
+        before = share(docs, block)
+        docs = without_items(docs, before)
     return docs
 
 
-def without_items(docs: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
-    ids, words = long_enough(block)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, words))  # a block: bounded by its bytes
+def skipped_items(benchmark: DataFrame) -> DataFrame:
+    """``item_id, n_words`` of the items that are too short to be searched for; null and empty texts have no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, first = words_of(batch.column("text").to_pylist())
+            sizes = np.diff(np.append(first, len(hashes)))
+            columns = [batch.column("item_id"), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", "n_words"]).filter(pa.array(sizes < MIN_WORDS))
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "item_id long, n_words long")
+
+
+def without_items(docs: DataFrame, shared: Broadcast) -> DataFrame:
     schema, extra = docs.schema, free_name(docs, "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = None
+        items = ready(shared)
         for whole in batches:
             body = whole.append_column(extra, whole.column("text").cast(pa.binary()).fill_null(b""))
             for batch in slices(body, extra, SLICE):
-                items = items or Items(*shared.value)
                 found = {doc for doc, _ in items.find(*words_of(batch.column(extra).to_pylist()))}
                 keep = [i not in found for i in range(batch.num_rows)]
                 yield batch.select(whole.schema.names).filter(pa.array(keep))
@@ -248,15 +306,11 @@ def long_enough(block: list[tuple[int, bytes]]) -> tuple[list[int], list[np.ndar
     return [block[i][0] for i in chosen], [parts[i] for i in chosen]
 
 
-def search(docs: DataFrame, block: list[tuple[int, bytes]]) -> DataFrame:
-    ids, words = long_enough(block)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, words))  # a block: bounded by its bytes
-
+def search(docs: DataFrame, shared: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = None
+        items = ready(shared)
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                items = items or Items(*shared.value)
                 hashes, first = words_of(batch.column("text").to_pylist())
                 found = items.find(hashes, first)
                 if found:

@@ -170,3 +170,44 @@ def test_no_items_and_no_documents(spark, make):
     assert decontamination.keep_clean(make([(1, "a b c")]), none).count() == 1
     some = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     assert decontamination.contaminated(make([]), some).collect() == []
+
+
+def test_recall_against_every_window(spark, make):
+    """Every item against every part of every text, by brute force: at least 95 % of the pairs within the bound, and no other."""
+    rng = random.Random(17)
+    items = [(i, sentence(rng, n)) for i, n in enumerate([3, 4, 5, 6, 7, 8, 9, 12, 16, 20, 24, 32, 33, 40, 48, 64] * 2)]
+    docs = []
+    for d in range(120):
+        text = sentence(rng, rng.randint(0, 60))
+        for _ in range(rng.randint(0, 2)):
+            words = rng.choice(items)[1].split()
+            text += f" {edited(rng, words, rng.randint(0, len(words) // 8 + 1))} {sentence(rng, rng.randint(0, 30))}"
+        docs.append((d, text))
+
+    def hashes(texts):
+        found, first = decontamination.words_of([t.encode() for t in texts])
+        return np.split(found, first[1:])
+
+    bodies, wanted = hashes([t for _, t in docs]), hashes([t for _, t in items])
+    true = set()
+    for d, body in enumerate(bodies):
+        for i, item in enumerate(wanted):
+            edits, _ = decontamination.closest(item, body) if len(body) else (len(item), 0)
+            if edits <= len(item) // decontamination.WORDS_PER_EDIT:
+                true.add((d, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(make(docs), bench).collect()}
+    assert found <= true and len(found) >= 0.95 * len(true) > 50
+
+
+def test_short_items_other_scripts_and_dashes(spark, make):
+    items = [(1, "five words stand right here"), (2, "今日はとても天気がいいですね"), (3, "one two three four five six seven eight nine ten"), (4, "two words"), (5, None), (6, "«Que» pasa — hoy…"), (7, "")]
+    docs = [
+        (1, "so: FIVE words, stand right here!"), (2, "彼は「今日はとても天気がいいですね」と言った"), (3, "one—two three four five six “seven” eight nine ten"),
+        (4, "two words"), (5, "five words stand left here"), (6, "¿que pasa hoy?"), (7, "今日は天気"), (8, "x two words five words stand right"), (9, "five words stand right here " * 3),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["edits"], r["first_word"]) for r in decontamination.contaminated(make(docs), bench).collect()}
+    assert found == {(1, 1): (0, 1), (2, 2): (0, 2), (3, 3): (0, 0), (6, 6): (0, 0), (9, 1): (0, 0)}
+    assert {r["doc_id"] for r in decontamination.keep_clean(make(docs), bench, item_bytes=10).collect()} == {4, 5, 7, 8}
+    assert sorted((r["item_id"], r["n_words"]) for r in decontamination.skipped_items(bench).collect()) == [(4, 2), (5, 0), (7, 0)]
