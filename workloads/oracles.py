@@ -443,7 +443,7 @@ ORACLES["basic_stats_orders"] = union(
         f"min({c})::DOUBLE AS min, round(quantile_cont({c}::DOUBLE, 0.25), 4) AS q25, "
         f"round(quantile_cont({c}::DOUBLE, 0.5), 4) AS q50, round(quantile_cont({c}::DOUBLE, 0.75), 4) AS q75, "
         f"max({c})::DOUBLE AS max, round(skewness({c}), 4) AS skew, round(kurtosis({c}), 4) AS kurtosis FROM orders"
-        for c in ("o_totalprice", "o_custkey")
+        for c in ("o_orderkey", "o_totalprice", "o_custkey")
     ]
 )
 
@@ -564,8 +564,8 @@ def shown_noise(rows: str) -> str:
     return f"SELECT column_name, round(rounding_pct, 6) AS rounding_pct, round(precision, 6) AS precision FROM ({rows})"
 
 
-ORACLES["rounding_share_orders"] = shown_noise(noise_rows("orders", ["o_totalprice", "o_custkey"], ("o_custkey",)))
-ORACLES["min_gap_part"] = shown_noise(noise_rows("part", ["p_retailprice", "p_size"], ("p_size",)))
+ORACLES["rounding_share_orders"] = shown_noise(noise_rows("orders", ["o_orderkey", "o_totalprice", "o_custkey"], ("o_orderkey", "o_custkey")))
+ORACLES["min_gap_part"] = shown_noise(noise_rows("part", ["p_partkey", "p_retailprice", "p_size"], ("p_partkey", "p_size")))
 
 
 def fingerprint_sql(prefix: str, source: str, columns: list[str], numeric: list[str], whole_numbers, date, missing: str) -> str:
@@ -614,14 +614,12 @@ def column_profile(source: str, columns: dict[str, bool], places: int = 6) -> st
     return union(parts)
 
 
-ORACLES["profile_columns_orders"] = column_profile(
-    "orders", {"o_orderkey": True, "o_custkey": True, "o_totalprice": True, "o_orderstatus": False, "o_orderpriority": False}
-)
+ORACLES["profile_columns_orders"] = column_profile("orders", fx.SCANNED["orders"])
 ORACLES["scan_tables"] = " UNION ALL ".join(
     f"SELECT '{t}' AS source, (SELECT count(*) FROM {t}) AS rows, * FROM ({column_profile(t, columns)})" for t, columns in fx.SCANNED.items()
 )
 ORACLES["profile_columns_masked"] = f"WITH {MASKED} " + column_profile(
-    "m", {"l_quantity": True, "l_discount": True, "tax_mcar": True, "price_mar": True, "flag_b": False}, 4
+    "m", {c: c in M_NUMERIC for c in M_COLUMNS}, 4
 )
 
 
@@ -639,7 +637,7 @@ ORACLES["folder_of_csv"] = """
 SELECT o_orderkey::BIGINT AS order_key, o_custkey::BIGINT AS cust_key, printf('%08d', o_orderkey) AS code, o_totalprice AS amount, CASE WHEN o_orderkey % 3 = 0 THEN '1.50' END AS note FROM orders
 UNION ALL SELECT NULL, c_custkey::BIGINT, c_name, c_acctbal, 'n/a' FROM customer"""
 ORACLES["json_round_trip"] = "SELECT doc_id, text, n_chars FROM documents"
-ORACLES["parquet_round_trip"] = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+ORACLES["parquet_round_trip"] = "SELECT * FROM customer"
 ORACLES["cleaned_names"] = 'SELECT c_custkey AS key, c_name AS key_2, c_nationkey AS "column", c_acctbal AS "acct bal", c_mktsegment AS price FROM customer'
 
 # ---- reports -----------------------------------------------------------------------------------
@@ -694,7 +692,9 @@ def described(source: str, columns: dict[str, str]) -> str:
 ORACLES["describe_customer"] = described(
     "customer", {"c_custkey": "number", "c_name": "text", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "text"}
 )
-ORACLES["describe_events"] = described("events", {"ts": "time", "event_type": "text", "value": "number"})
+ORACLES["describe_events"] = described(
+    "events", {"event_id": "number", "ts": "time", "user_id": "number", "event_type": "text", "value": "number", "props": "text"}
+)
 
 
 # ---- quality ---------------------------------------------------------------------------------------

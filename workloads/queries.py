@@ -236,7 +236,7 @@ def apply_profile(spark, folder):
 
 @query
 def basic_stats_orders(spark, folder):
-    return rounded(st.basic_stats(table(spark, folder, "orders").select("o_totalprice", "o_custkey")), 4)
+    return rounded(st.basic_stats(table(spark, folder, "orders")), 4)
 
 
 @query
@@ -298,12 +298,12 @@ def missingness_masked(spark, folder):
 
 @query
 def rounding_share_orders(spark, folder):
-    return rounded(st.noise(table(spark, folder, "orders").select("o_totalprice", "o_custkey")))
+    return rounded(st.noise(table(spark, folder, "orders")))
 
 
 @query
 def min_gap_part(spark, folder):
-    return rounded(st.noise(table(spark, folder, "part").select("p_retailprice", "p_size")))
+    return rounded(st.noise(table(spark, folder, "part")))
 
 
 @query
@@ -318,14 +318,12 @@ def fingerprint_events(spark, folder):
 
 @query
 def profile_columns_orders(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
-    return rounded(st.profile_columns(orders))
+    return rounded(st.profile_columns(table(spark, folder, "orders")))
 
 
 @query
 def profile_columns_masked(spark, folder):
-    df = fx.masked_lineitem(spark, folder).drop("fee_mnar", "ship_a")
-    return rounded(st.profile_columns(df), 4)
+    return rounded(st.profile_columns(fx.masked_lineitem(spark, folder)), 4)
 
 
 @query
@@ -389,7 +387,7 @@ def json_round_trip(spark, folder):
 @query
 def parquet_round_trip(spark, folder):
     path = fresh(spark, "parquet")
-    st.write_parquet(table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    st.write_parquet(table(spark, folder, "customer"), path)
     return spark.read.parquet(path)
 
 
@@ -430,7 +428,7 @@ def describe_customer(spark, folder):
 
 @query
 def describe_events(spark, folder):
-    return st.column_statistics(table(spark, folder, "events").select("ts", "event_type", "value"))
+    return st.column_statistics(table(spark, folder, "events"))
 
 
 # ---- quality ---------------------------------------------------------------------------
