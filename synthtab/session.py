@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,9 +88,10 @@ def staging(spark: SparkSession) -> Iterator[None]:
 
 def _release_all() -> None:
     """At the end of Python the application's tables go, if its session still runs."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        drop_staged(spark, *list(_staged.get(spark.sparkContext.applicationId, [])))
+    with suppress(Exception):  # the JVM may have ended first
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext._jsc is not None:
+            drop_staged(spark, *list(_staged.get(spark.sparkContext.applicationId, [])))
 
 
 def stage(df: DataFrame) -> DataFrame:
