@@ -30,8 +30,8 @@ from synthtab.llm.common import drop_stage, free_name, join_cells, write_stage
 MIN_WORDS = 6
 #: Lines of any length but empty ones, for ``exact_words``.
 ANY_LINE = 1
-#: Words of a line up to which its running sums are kept in an array.
-LONG_LINE = 4096
+#: Words of a line whose running sums are made in one array.
+PIECE = 32
 ID = ["id_a", "id_b"]
 
 
@@ -82,67 +82,72 @@ def term(n: int, word: Column, place: Column) -> Column:
 def variants_of(lines: DataFrame) -> DataFrame:
     """``variant, k, place``: each line whole (k = -1), and without each of its words.
 
-    A variant is named by two sums over its words and their places, so that
-    all variants of a line come from running sums.  These are kept in an array
-    up to ``LONG_LINE`` words, where its copies cost little, and in a window
-    over the words beyond, in linear time.
+    A variant is named by two sums over its words and their places, where the
+    words behind the one left out move up by one.  With ``moved`` as a word's
+    term in the place before its own, and ``gain`` as what its own place adds
+    to that, the sum without word k is all ``moved``, less that of k, and the
+    gains of the words before it.  These are running sums: inside pieces of
+    ``PIECE`` words in an array, over the pieces of a line by a window.
     """
-    size = F.size("words")
-    short = lines.where(size <= LONG_LINE)
+    starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PIECE).cast("int"))
+    # The words are cut before rows are made, so that no row carries a whole long line.
+    pieces = F.transform(starts, lambda c: F.slice("words", c * PIECE + 1, F.lit(PIECE)))
+    rows = lines.select("place", F.size("words").alias("size"), F.posexplode(pieces).alias("piece", "part"))
 
-    def terms_of(n: int, moved: int) -> Column:
-        return F.transform("words", lambda w, i: term(n, w, i - moved))
+    def both(w: Column, i: Column) -> Column:
+        at = F.col("piece") * PIECE + i
+        moved = [term(n, w, at - 1) for n in (1, 2)]
+        return F.struct(*(x.alias(c) for x, c in zip(moved, ("m1", "m2"))), *(term(n, w, at).alias(c) for n, c in ((1, "t1"), (2, "t2"))))
+
+    def step(s: Column, x: Column) -> Column:
+        one, two = s["g1"], s["g2"]
+        left = F.struct((one - x["m1"]).alias("a"), (two - x["m2"]).alias("b"))
+        return F.struct(
+            (one + x["t1"] - x["m1"]).alias("g1"), (two + x["t2"] - x["m2"]).alias("g2"),
+            (s["m1"] + x["m1"]).alias("m1"), (s["m2"] + x["m2"]).alias("m2"), F.array_append(s["left"], left).alias("left"),
+        )
 
-    terms = [terms_of(n, moved) for n in (1, 2) for moved in (0, 1)]
-    own1, moved1, own2, moved2 = (F.col(c) for c in ("own1", "moved1", "own2", "moved2"))
-    short = short.select("place", size.alias("size"), *(t.alias(c) for t, c in zip(terms, ("own1", "moved1", "own2", "moved2"))))
     zero = F.lit(0).cast("long")
-    whole = [F.aggregate(x, zero, lambda s, v: s + v).alias(c) for x, c in ((own1, "o1"), (moved1, "m1"), (own2, "o2"), (moved2, "m2"))]
-    short = short.select("place", "size", F.arrays_zip("own1", "moved1", "own2", "moved2").alias("z"), *whole)
     empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    start = F.struct(F.col("m1").alias("a"), F.col("m2").alias("b"), empty.alias("out"))
+    start = F.struct(*(zero.alias(c) for c in ("g1", "g2", "m1", "m2")), empty.alias("left"))
+    rows = rows.select("place", "size", "piece", F.transform("part", both).alias("terms"))
+    rows = rows.select("place", "size", "piece", F.aggregate("terms", start, step).alias("s")).select("place", "size", "piece", "s.*")
+    whole = W.partitionBy("place")
+    before = whole.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({f"all{i}": F.sum(f"m{i}").over(whole) for i in (1, 2)} | {f"off{i}": F.coalesce(F.sum(f"g{i}").over(before), zero) for i in (1, 2)})
+    # The whole line, all terms, comes along with its last piece.
+    line = F.struct(F.lit(-1).alias("k"), (F.col("all1") + F.col("off1") + F.col("g1")).alias("a"), (F.col("all2") + F.col("off2") + F.col("g2")).alias("b"))
+    last = F.col("piece") == F.floor((F.col("size") - 1) / PIECE)
 
-    def step(s: Column, x: Column) -> Column:
-        # What stands before the word keeps its place, what stands behind it moves up.
-        left = F.struct((s["a"] - x["moved1"]).alias("a"), (s["b"] - x["moved2"]).alias("b"))
-        return F.struct((left["a"] + x["own1"]).alias("a"), (left["b"] + x["own2"]).alias("b"), F.array_append(s["out"], left).alias("out"))
-
-    out = F.aggregate("z", start, step, lambda s: s["out"])
-    one = F.struct(F.col("o1").alias("a"), F.col("o2").alias("b"))
-    short = short.select("place", "size", one.alias("one"), F.posexplode(out).alias("k", "v"))
-    # The whole line comes along with its first variant.
-    rows = F.when(F.col("k") == 0, F.array(F.struct(F.lit(-1).alias("k"), F.col("one").alias("v")), F.struct("k", "v"))).otherwise(F.array(F.struct("k", "v")))
-    short = short.select("place", "size", F.explode(rows).alias("r")).select("place", "size", "r.k", "r.v.a", "r.v.b")
-    word = lines.where(size > LONG_LINE).select("place", size.alias("size"), F.posexplode("words").alias("k", "w"))
-    before = W.partitionBy("place").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("place").orderBy("k").rowsBetween(1, W.unboundedFollowing)
-    sums = {c: F.coalesce(F.sum(term(n, F.col("w"), F.col("k"))).over(before), zero) + F.coalesce(F.sum(term(n, F.col("w"), F.col("k") - 1)).over(after), zero) for n, c in ((1, "a"), (2, "b"))}
-    long = word.select("place", "size", "k", *(v.alias(c) for c, v in sums.items()))
-    total = word.groupBy("place", "size").agg(*(F.sum(term(n, F.col("w"), F.col("k"))).alias(c) for n, c in ((1, "a"), (2, "b"))))
-    long = long.unionByName(total.select("place", "size", F.lit(-1).alias("k"), "a", "b"))
-    length = F.col("size") - F.when(F.col("k") < 0, 0).otherwise(1)
-    return short.unionByName(long).select(F.xxhash64(length, "a", "b").alias("variant"), "k", "place")
-
-
-def neighbours(lines: DataFrame) -> DataFrame:
-    """``place, other``: the earliest line within one word of a line and before it, where there is one.
+    def sums(v: Column, i: Column) -> Column:
+        return F.struct((F.col("piece") * PIECE + i).alias("k"), (F.col("all1") + F.col("off1") + v["a"]).alias("a"), (F.col("all2") + F.col("off2") + v["b"]).alias("b"))
+
+    made = F.transform("left", sums)
+    out = rows.select("place", "size", F.explode(F.when(last, F.array_append(made, line)).otherwise(made)).alias("v"))
+    length = F.col("size") - F.when(F.col("v.k") < 0, 0).otherwise(1)
+    return out.select(F.xxhash64(length, F.col("v.a"), F.col("v.b")).alias("variant"), F.col("v.k").alias("k"), "place")
+
+
+def neighbours(lines: DataFrame) -> tuple[DataFrame, str]:
+    """``place, other``: the earliest line within one word of a line and before it, where there is one; staged.
 
     ``lines``: ``place, words``, one row for each distinct line.
     """
-    rows = variants_of(lines)
-    cells = rows.groupBy("variant", "k").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
+    rows, rows_path = write_stage(variants_of(lines), "line-variants")
+    cells = rows.groupBy("variant", "k").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     same = W.partitionBy("variant")  # as many rows as a line has words
     whole, cut = (F.min(F.when(c, F.col("first"))).over(same) for c in (F.col("k") < 0, F.col("k") >= 0))
     # A whole line meets lines with one word more; a variant meets those with the same word left out, and the whole line.
     other = F.when(F.col("k") < 0, cut).otherwise(F.least("first", whole))
-    cells = cells.withColumn("other", other).where("other < last").select("variant", "k", "other", "n")
+    cells = cells.withColumn("other", other).where("other < last").select("variant", "k", "other")
     cells, path = write_stage(cells, "line-cells")
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    found = join_cells(rows, cells, ["variant", "k"], "n", total).where("other < place")
+    found = join_cells(rows, cells, ["variant", "k"]).where("other < place")
     found = found.groupBy("place").agg(F.min("other").alias("other"))
     two = lines.select(F.col("place").alias("other"), F.col("words").alias("two"))
     pairs = found.join(lines.select("place", F.col("words").alias("one")), "place").join(two, "other")
-    return pairs.where(within_one_word(F.col("one"), F.col("two"))).select("place", "other")
+    found, found_path = write_stage(pairs.where(within_one_word(F.col("one"), F.col("two"))).select("place", "other"), "lines-found")
+    drop_stage(lines.sparkSession, rows_path, path)
+    return found, found_path
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -177,10 +182,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int
     distinct = lines.groupBy(*ID).agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *(F.min(h).alias(h) for h in names))
     distinct, distinct_path = write_stage(distinct, "lines-distinct")
     half = distinct.where(F.col(names[0]).isNotNull()).select("id_a", F.explode(F.array(*names)).alias("half"))
-    shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = half.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     shared, shared_path = write_stage(shared, "lines-halves")
-    total = shared.agg(F.sum("n")).first()[0] or 0
-    asked = join_cells(half, shared, ["half"], "n", total).select("id_a").distinct()
+    asked = join_cells(half, shared, ["half"]).select("id_a").distinct()
     asked = distinct.join(asked.hint("merge"), "id_a", "left_semi").select("place")
     # The words of those lines, from the document where each comes first.
     # Shuffles at any size: what is small here is not where texts are many.
@@ -190,11 +194,10 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int
     near = rows.join(wanted.hint("merge"), same).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     near = near.select("w.place", words_of(F.get("lines", F.col("w.line_no"))).alias("words")).dropDuplicates(["place"])
     near, near_path = write_stage(near, "lines-near")
-    found, found_path = write_stage(neighbours(near), "lines-found")
+    found, found_path = neighbours(near)
     told = distinct.select(*ID, "place", "n").join(found.hint("merge"), "place", "left").where("n > 1 or other is not null")
-    told, told_path = write_stage(told.select(*ID, F.col("place").alias("first"), "other", "n"), "lines-told")
-    total = told.agg(F.sum("n")).first()[0] or 0
-    met = join_cells(lines.select("doc_id", "row_no", "line_no", "place", *ID), told, ID, "n", total)
+    told, told_path = write_stage(told.select(*ID, F.col("place").alias("first"), "other"), "lines-told")
+    met = join_cells(lines.select("doc_id", "row_no", "line_no", "place", *ID), told, ID)
     of = F.coalesce(F.least("other", "first"), F.col("first"))
     met = met.where("place <> first or other is not null").withColumn("of", of)
     doc = F.floor(F.col("of") / F.lit("1000000000000000000").cast("decimal(19,0)")).cast("decimal(20,0)")
