@@ -40,7 +40,9 @@ def words_of(line: Column) -> Column:
     others = "\t\x0b\x0c\r"
     some = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c")) | F.contains(line, F.lit("\r"))
     blank = F.when(some, F.translate(line, others, "    ")).otherwise(line)
-    return F.filter(F.split(F.lower(blank), " "), lambda w: w != "")
+    words = F.split(F.lower(blank), " ")
+    loose = F.contains(blank, F.lit("  ")) | F.startswith(blank, F.lit(" ")) | F.endswith(blank, F.lit(" ")) | (blank == "")
+    return F.when(loose, F.filter(words, lambda w: w != "")).otherwise(words)
 
 
 #: Place of a line as one number: doc_id, line number and 8 digits of its row's hash; a null doc_id comes first.
@@ -57,8 +59,7 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
     """``doc_id, row_no, line_no, place, words, id_a, id_b`` of every line with enough words; ``row_no`` tells rows with one doc_id apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.withColumn("words", words_of(F.col("line"))).where(F.size("words") >= min_words).drop("line")
-    joined = F.array_join("words", " ")
-    return rows.withColumns({"place": place_of(), "id_a": F.xxhash64(joined), "id_b": F.xxhash64(F.lit(7), joined)})
+    return rows.withColumns({"place": place_of(), "id_a": F.xxhash64("words"), "id_b": F.xxhash64(F.lit(7), "words")})
 
 
 def half_keys(words: Column) -> list[Column]:
@@ -69,7 +70,7 @@ def half_keys(words: Column) -> list[Column]:
         head = F.floor((m - 1) / 2).cast("int")
         tail = (m - 1 - head).cast("int")
         first, last = F.slice(words, F.lit(1), head), F.slice(words, size - tail + 1, tail)
-        return [F.xxhash64(F.lit(side), m, F.array_join(part, " ")) for side, part in ((1, first), (2, last))]
+        return [F.xxhash64(F.lit(side), m, part) for side, part in ((1, first), (2, last))]
 
     return [*pair(size), *pair(size + 1)]
 
@@ -209,7 +210,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
-    """``doc_id, n_dropped, dropped, of_docs`` of every document that loses lines: their numbers, and where they stand first."""
+    """``doc_id, n_dropped, dropped, of_docs`` of every document that loses lines: their numbers, and where they stand first.
+
+    Documents that lose none (null and empty texts too) have no row; a null id
+    is an id and comes first; rows alike in id and text share one row; of equal
+    lines the earliest stays; lines of any length are compared.
+    """
     dropped = repeated_lines(docs, min_words, exact_words)
     grouped = dropped.groupBy("doc_id", "row_no").agg(F.array_sort(F.collect_set(F.struct("line_no", "of_doc"))).alias("lines"))
     return grouped.select("doc_id", F.size("lines").alias("n_dropped"), F.col("lines.line_no").alias("dropped"), F.array_sort(F.array_distinct("lines.of_doc")).alias("of_docs"))
