@@ -302,7 +302,12 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, average: int = A
 
 
 def span_report(docs: DataFrame, min_bytes: int = MIN_BYTES, extend: bool = False) -> DataFrame:
-    """``doc_id, dup_bytes, spans, of_docs`` of every document with repeated passages."""
+    """``doc_id, dup_bytes, spans, of_docs`` of every document with repeated passages.
+
+    Documents without any (null and empty texts too) have no row; a null id is
+    an id; rows alike in id and text are one document with one row, other rows
+    with its id have their own; of equal passages the first place stays.
+    """
     spans = repeated_spans(docs, min_bytes, extend=extend)
     grouped = spans.groupBy("doc_id", "row_no").agg(
         F.sum(F.col("stop") - F.col("start")).alias("dup_bytes"), F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.flatten(F.collect_list("of_docs")).alias("of_docs")
