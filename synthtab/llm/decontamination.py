@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from synthtab.llm.common import free_name, slices, texts, write_stage
 from synthtab.llm.shingles import constants, mix, word_hashes
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: One word in so many may be edited.
 WORDS_PER_EDIT = 8
 #: Items of fewer words stand in texts by chance; ``skipped_items`` names them.
@@ -40,7 +40,7 @@ MIN_WORDS = 3
 WALKS, TABLES_PER_WALK, SAMPLES = 8, 4, 3
 #: Bytes of items searched for in one pass over the documents.
 ITEM_BYTES = 32 << 20
-BITMAP = 22
+BITMAP = 20
 PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Characters that are neither ASCII nor Latin letters; among them those that part words, and those that are words.
 OTHER = re.compile("[\x80-\xbf\xd7\xf7\u0250-\U0010ffff]")

@@ -21,7 +21,7 @@ from synthtab.llm.common import free_name, slices, texts
 from synthtab.llm.shingles import mix
 
 BUCKETS = 1 << 16
-SLICE = 2 << 20
+SLICE = 1 << 19
 ROUNDS = 6
 #: Trigrams of a language are counted with this many more for every bucket.
 SMOOTHING = 0.1

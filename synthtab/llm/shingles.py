@@ -15,7 +15,7 @@ BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text hashed at once.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,7 +36,7 @@ def constants(n: int, seed: int) -> np.ndarray:
 BYTES = constants(256, 11)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i < n."""
     up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
@@ -50,7 +50,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = SPACE[buf]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     start, end = edge[::2], edge[1::2]
-    size = 1 << max(16, int(len(buf)).bit_length())
+    size = 1 << max(21, int(len(buf)).bit_length())
     up, down = powers(size)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(BYTES[buf] * up[: len(buf)], out=total[1:])
