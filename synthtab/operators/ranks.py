@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, LongType, NumericType
 
 from synthtab.functions.literals import double_arrays, search_sorted
 
@@ -30,6 +31,8 @@ ROWS_PER_CELL = 200_000
 MAX_CELLS = 16_384
 #: Rows with one draw whose keys are compared on the driver.
 TIES = 1000
+#: Values with their ranks that every task may hold, to spare columns of few values the shuffles.
+FEW_NUMBERS = 250_000
 DIGEST_GROUPS = 256
 DIGEST_ACCURACY = 10_000
 LARGEST = sys.float_info.max  # stands for infinity while buckets are counted
@@ -538,7 +541,9 @@ def spearman_of_groups(
     The table is dealt out twice, whatever the number of columns and groups: by
     value, where each cell meets its rank, and back by row, where the ranks of
     a row are multiplied in blocks of rows; sums of pairs are all that leaves a
-    task.
+    task.  Columns of few values are not dealt out: their ranks are sent to all
+    tasks, and the values travel with one other cell of their row.  Rows that
+    have no other cell are multiplied where they lie.
     """
     names = list(columns)
     if len(names) < 2:
@@ -546,7 +551,22 @@ def spearman_of_groups(
     # Ranks among all rows, and among those where one of the columns with nulls is present.
     masks = [None, *(i for i, n in enumerate(names) if any(present[n] < rows for rows, present in known.values()))]
     rows = sum(rows for rows, _ in known.values())
-    sums = _rank_products(_ranked_rows(df, columns, masks, rows, group), len(names), masks)
+    kind = df.select(F.explode(_numbered(list(columns.values()), None)).alias("e")).select("e.value").schema["value"].dataType
+    columns = {n: c.cast(kind) for n, c in columns.items()}
+    few = _few_values(df, columns, kind, len(masks), group)
+    many = [n for n in names if n not in few]
+    flags = _flags(columns, masks)
+    tables = _rank_tables(df, {n: columns[n] for n in few}, flags, group)
+    carried = F.array(*(columns[n].cast("double") for n in few)).cast("array<double>")
+    alone = df
+    for n in many:
+        alone = alone.where(columns[n].isNull())
+    first = F.lit(0) if group is None else group.cast("int") * max(1, len(many))
+    kept = alone.select(F.monotonically_increasing_id().alias("row"), first.alias("col"), F.lit(None).cast("array<double>").alias("ranks"), carried.alias("few"))
+    parts = [kept] if few else []
+    if many:
+        parts.append(_ranked_rows(df, {n: columns[n] for n in many}, masks, rows, group, flags, carried if few else None))
+    sums = _rank_products(parts, names, many, few, tables, masks)
     out: dict[int, dict[tuple[str, str], float | None]] = {g: {} for g in known}
     for g, pairs in out.items():
         for i, a in enumerate(names):
@@ -556,9 +576,49 @@ def spearman_of_groups(
     return out
 
 
-def _ranked_rows(df: DataFrame, columns: dict[str, Column], masks: list[int | None], rows: int, group: Column | None = None) -> DataFrame:
-    """``row, has``: for each row its present columns with their centred ranks, one for each mask."""
-    flags = {f"n{k}": list(columns.values())[m].isNotNull() if m is not None else F.lit(True) for k, m in enumerate(masks)}
+def _flags(columns: dict[str, Column], masks: list[int | None]) -> dict[str, Column]:
+    """For each mask, whether its column is present."""
+    return {f"n{k}": list(columns.values())[m].isNotNull() if m is not None else F.lit(True) for k, m in enumerate(masks)}
+
+
+def _few_values(df: DataFrame, columns: dict[str, Column], kind: DataType, masks: int, group: Column | None) -> list[str]:
+    """Columns of so few values (in all groups) that every task can hold their ranks: ``FEW_NUMBERS`` numbers in all."""
+    if not isinstance(kind, NumericType) or isinstance(kind, DecimalType):
+        return []
+    keys = [c if group is None else F.when(c.isNotNull(), F.struct(group, c)) for c in columns.values()]
+    found = df.agg(*(x for c, k in zip(columns.values(), keys) for x in (F.approx_count_distinct(k), F.min(c), F.max(c)))).first()
+    # Whole numbers that doubles hold exactly; NaN and infinities are values like others.
+    exact = {n: not isinstance(kind, LongType) or all(v is None or abs(v) <= 2**53 for v in found[3 * i + 1 : 3 * i + 3]) for i, n in enumerate(columns)}
+    sizes = {n: found[3 * i] for i, n in enumerate(columns)}
+    out, held = [], 0
+    for n in sorted(columns, key=lambda n: sizes[n]):
+        held += sizes[n] * (1 + masks)
+        if exact[n] and held <= FEW_NUMBERS:
+            out.append(n)
+    return [n for n in columns if n in out]
+
+
+def _rank_tables(df: DataFrame, columns: dict[str, Column], flags: dict[str, Column], group: Column | None) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """By group and column: the sorted values and, for each mask, their centred ranks."""
+    if not columns:
+        return {}
+    counts = value_counts(df, Cells(columns, {n: [] for n in columns}, {}, 0), flags, group).toPandas()
+    out = {}
+    for col, part in counts.groupby("col"):
+        part = part.sort_values("value")
+        n = part[list(flags)].to_numpy(np.int64).T
+        ranks = np.cumsum(n, axis=1) - (n - 1) / 2 - (n.sum(axis=1, keepdims=True) + 1) / 2
+        out[divmod(int(col), len(columns))] = part["value"].to_numpy(float), np.where(n > 0, ranks, np.nan)
+    return out
+
+
+def _ranked_rows(
+    df: DataFrame, columns: dict[str, Column], masks: list[int | None], rows: int, group: Column | None = None,
+    flags: dict[str, Column] | None = None, carried: Column | None = None,
+) -> DataFrame:
+    """``row, col, ranks, few``: for each row its present columns with their centred ranks, one for each mask; all cells
+    of a row follow each other, and one of them has what is ``carried``."""
+    flags = flags or _flags(columns, masks)
     counts = value_counts(df, value_cells(df, columns, rows), flags, group)
     names = list(flags)
     # Where a cell starts follows from the totals of the cells before it: one row for each cell.
@@ -568,21 +628,30 @@ def _ranked_rows(df: DataFrame, columns: dict[str, Column], masks: list[int | No
     # Average rank less the mean of all ranks, so that products need no further centring.
     ranks = counts.select("col", "cell", "value", *names, *((running(n) - (F.col(n) - 1) / F.lit(2.0)).alias(f"r{n}") for n in names)).join(starts, ["col", "cell"])
     ranks = ranks.select("col", "value", F.array(*(F.when(F.col(n) > 0, F.col(f"r{n}") + F.col(f"o{n}")) for n in names)).alias("ranks"))
-    long = df.select(F.monotonically_increasing_id().alias("row"), _numbered(list(columns.values()), group).alias("e"))
-    long = long.select("row", F.inline("e")).where("value IS NOT NULL")
+    first = F.coalesce(*(F.when(c.isNotNull(), F.lit(i)) for i, c in enumerate(columns.values())))
+    few = F.lit(None).cast("array<double>") if carried is None else carried
+    if group is not None:
+        first = first + group.cast("int") * len(columns)
+    long = df.select(F.monotonically_increasing_id().alias("row"), _numbered(list(columns.values()), group).alias("e"), first.alias("first"), few.alias("few"))
+    long = long.select("row", "first", "few", F.inline("e")).where("value IS NOT NULL")
+    long = long.select("row", "col", "value", F.when(F.col("col") == F.col("first"), F.col("few")).alias("few"))
     # A value of very many rows makes one large partition, which adaptive execution cuts.
     met = long.join(ranks.hint("merge"), ["col", "value"])
-    return met.groupBy("row").agg(F.collect_list(F.struct("col", "ranks")).alias("has"))
+    return met.select("row", "col", "ranks", "few").repartition("row").sortWithinPartitions("row")
 
 
-def _rank_products(rows: DataFrame, width: int, masks: list[int | None]) -> dict[tuple[int, int, int], tuple[float, float, float]]:
+def _rank_products(
+    parts: list[DataFrame], names: list[str], many: list[str], few: list[str], tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], masks: list[int | None]
+) -> dict[tuple[int, int, int], tuple[float, float, float]]:
     """Sums of products of the centred ranks of each group's column pairs, and of their squares."""
+    width = len(names)
     place = {m: k for k, m in enumerate(masks)}
     mask = [place.get(i, 0) for i in range(width)]
+    at_many, at_few = np.array([names.index(n) for n in many], int), [names.index(n) for n in few]
+    spark = parts[0].sparkSession
+    shared = spark.sparkContext.broadcast(tables)
 
-    def products(columns: np.ndarray, row: np.ndarray, ranks: np.ndarray, rows: int) -> np.ndarray:
-        dense = np.full((len(masks), width, rows), np.nan)
-        dense[:, columns, row] = ranks.T
+    def products(dense: np.ndarray) -> np.ndarray:
         # dense[mask[j], i]: ranks of column i among the rows where j is present.
         out = np.zeros((3, width, width))
         for i in range(width):
@@ -592,24 +661,54 @@ def _rank_products(rows: DataFrame, width: int, masks: list[int | None]) -> dict
             out[:, i] = [np.einsum("jr,jr->j", p, q) for p, q in ((x, y), (x, x), (y, y))]
         return out
 
+    def block(table: pa.Table, sums: dict[int, np.ndarray]) -> None:
+        groups, cols = np.divmod(table["col"].to_numpy(), max(1, len(many)))
+        row = table["row"].to_numpy()
+        new = np.append(True, row[1:] != row[:-1])
+        line, group = np.cumsum(new) - 1, groups[new]
+        dense = np.full((len(masks), width, len(group)), np.nan)
+        ranked = table["ranks"].is_valid().to_numpy()
+        if ranked.any():
+            ranks = table["ranks"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(masks))
+            dense[:, at_many[cols[ranked]], line[ranked]] = ranks.T
+        has = table["few"].is_valid().to_numpy()
+        if few and has.any():
+            values = table["few"].combine_chunks().flatten()
+            present = values.is_valid().to_numpy(zero_copy_only=False).reshape(-1, len(few))
+            values = values.to_numpy(zero_copy_only=False).reshape(-1, len(few))
+            lines = line[has]
+            for k, i in enumerate(at_few):
+                for g in np.unique(group[lines]).tolist():
+                    mine = present[:, k] & (group[lines] == g)
+                    if mine.any():
+                        known, ranks = shared.value[g, k]
+                        dense[:, i, lines[mine]] = ranks[:, np.searchsorted(known, values[mine, k])]
+        for g in np.unique(group).tolist():
+            sums[g] = sums.get(g, 0.0) + products(dense[:, :, group == g])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            has = batch.column("has")
-            cells = has.flatten()
-            row = np.repeat(np.arange(len(has)), np.diff(has.offsets.to_numpy()))
-            groups, columns = np.divmod(cells.field("col").to_numpy(), width)
-            ranks = cells.field("ranks").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(masks))
-            for g in np.unique(groups).tolist():
-                mine = groups == g
-                lines, at = np.unique(row[mine], return_inverse=True)
-                sums[g] = sums.get(g, 0.0) + products(columns[mine], at, ranks[mine], len(lines))
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            row = table["row"].to_numpy()
+            # The last row may go on in the next batch.
+            start = int(np.flatnonzero(row != row[-1])[-1]) + 1 if (row != row[-1]).any() else 0
+            if start:
+                block(table.slice(0, start), sums)
+            held = table.slice(start)
+        if held is not None:
+            block(held, sums)
         i, j = np.triu_indices(width, 1)
         for g, found in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(i), g), i, j, *found[:, i, j])], ["g", "i", "j", "xy", "xx", "yy"])
 
-    found = rows.select("has").mapInArrow(run, "g long, i long, j long, xy double, xx double, yy double")
+    made = [p.mapInArrow(run, "g long, i long, j long, xy double, xx double, yy double") for p in parts]
+    found = made[0] if len(made) == 1 else made[0].unionByName(made[1])
     found = found.groupBy("g", "i", "j").agg(F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy"))
-    return {(r["g"], r["i"], r["j"]): (r["xy"], r["xx"], r["yy"]) for r in found.collect()}
+    out = {(r["g"], r["i"], r["j"]): (r["xy"], r["xx"], r["yy"]) for r in found.collect()}
+    shared.destroy()
+    return out

@@ -219,3 +219,21 @@ def test_the_plan_of_ks_does_not_hold_the_sample(spark, monkeypatch):
         ranks.ks_against_samples(df, columns(["hot", "tail"]), {"hot": rng.normal(0, 5, n), "tail": rng.pareto(1, n)})
     small, large = (len(x._jdf.queryExecution().optimizedPlan().toString()) for x in seen[-2:])
     assert abs(small - large) < 200
+
+
+@pytest.mark.parametrize("limit", [0, 100, 10**6])
+def test_spearman_with_columns_of_few_values(spark, limit, monkeypatch):
+    """The same with none, some or all columns looked up in tasks; only the others are dealt out."""
+    pdf, df = messy(spark)
+    names = [*COLUMNS, "small"]
+    pdf = pdf.assign(small=np.where(np.arange(len(pdf)) % 7 == 0, np.nan, np.arange(len(pdf)) % 5))
+    df = spark.createDataFrame(pdf[names].astype(float))
+    monkeypatch.setattr(ranks, "FEW_NUMBERS", limit)
+    dealt = []
+    rows_of = ranks._ranked_rows
+    monkeypatch.setattr(ranks, "_ranked_rows", lambda d, c, *a: dealt.extend(c) or rows_of(d, c, *a))
+    found = ranks.spearman(df, {n: ranks.clean_double(F.col(n)) for n in names})
+    expected = pdf[names].corr(method="spearman")
+    assert ("small" in dealt) == (limit == 0) and (limit < 10**6 or not dealt) and (limit != 100 or dealt)
+    for (a, b), rho in found.items():
+        assert rho is None if "same" in (a, b) else rho == pytest.approx(expected.loc[a, b], abs=1e-12)
