@@ -57,7 +57,9 @@ def place_of() -> Column:
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
     """``doc_id, row_no, line_no, place, words, id_a, id_b`` of every line with enough words; ``row_no`` tells rows with one doc_id apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # The hash is taken before rows are made, once a text and not once a line.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_no"), F.split("text", "\n").alias("lines"))
+    rows = rows.select("doc_id", "row_no", F.posexplode("lines").alias("line_no", "line"))
     rows = rows.withColumn("words", words_of(F.col("line"))).where(F.size("words") >= min_words).drop("line")
     return rows.withColumns({"place": place_of(), "id_a": F.xxhash64("words"), "id_b": F.xxhash64(F.lit(7), "words")})
 
@@ -192,8 +194,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int
     wanted = lines.join(asked.hint("merge"), "place", "left_semi").groupBy("doc_id", "row_no").agg(F.collect_set(F.struct("line_no", "place")).alias("wanted"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_no"), "text")
     same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row_no"] == wanted["row_no"])
-    near = rows.join(wanted.hint("merge"), same).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    near = near.select("w.place", words_of(F.get("lines", F.col("w.line_no"))).alias("words")).dropDuplicates(["place"])
+    # A text is cut into lines once, not once for each of them that is wanted.
+    near = rows.join(wanted.hint("merge"), same).select(F.split("text", "\n").alias("lines"), "wanted")
+    near = near.select("lines", F.explode("wanted").alias("w")).select("w.place", words_of(F.get("lines", F.col("w.line_no"))).alias("words")).dropDuplicates(["place"])
     near, near_path = write_stage(near, "lines-near")
     found, found_path = neighbours(near)
     told = distinct.select(*ID, "place", "n").join(found.hint("merge"), "place", "left").where("n > 1 or other is not null")

@@ -453,3 +453,12 @@ def test_rows_with_one_id_are_told_apart(make):
     assert sorted(key(r["doc_id"]) for r in found) == [1, 2]
     cut = substring_dedup.without_spans(make(rows), extend=True).collect()
     assert len(cut) == 5 and sum(passage in r["text"] for r in cut) == 1
+
+
+def test_line_dedup_hashes_a_text_once_and_not_once_a_line(spark):
+    from synthtab.llm.line_dedup import lines_of
+
+    docs = spark.createDataFrame([(1, "a b\nc d\na b")], "doc_id long, text string")
+    plan = lines_of(docs, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(text" not in plan[: plan.index("Generate")] and "xxhash64(text" in plan
+    assert lines_of(docs, 1).select("row_no").distinct().count() == 1
